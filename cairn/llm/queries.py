@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import embeddings, language, mixing, packing, topk
+from cairn.llm import embeddings, language, mixing, ngram_join, ordering, packing, substring_dedup, suffix_dedup, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,52 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(read, language_model(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
+    return rows.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Capture records made from the pages: each page is fetched at its id's hour, and asked for again three times.
+
+    The first is a full response with both validators. Of the later ones, the second bears the ETag as a weak one, the
+    third the date alone, and the fourth another ETag. Pages of one canonical URL share its history.
+    """
+    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    day = F.concat(F.lit("day "), (F.col("page_id") % 97).cast("string"))
+    k = F.col("k")
+    header = lambda name, value: F.struct(F.lit(name).alias("key"), value.alias("value"))
+    given = [
+        F.when(k == 0, header("ETag", tag)).when(k == 1, header("etag", F.concat(F.lit("W/"), tag))).when(k == 3, header("ETag", F.lit('"other"'))),
+        F.when(k.isin(0, 2), header("Last-Modified", day)),
+        F.when(k == 0, header("Content-Type", F.lit("text/html"))),
+        header("Date", F.concat(F.lit("fetch "), k.cast("string"))),
+        F.when(k > 0, header("Content-Length", F.lit("0"))),
+    ]
+    rows = pages.select("page_id", "url", "html", F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
+    return rows.select(
+        (F.col("page_id") * 4 + k).alias("record_id"), "url", (F.col("page_id") * 3600 + k * 100_000).alias("at"), (k > 0).alias("revisit"),
+        F.map_from_entries(F.filter(F.array(*given), lambda x: x.isNotNull())).alias("headers"),
+    )
+
+
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return rows.withColumn("headers", F.array_join(lines, "\n"))
+
+
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors.where("vec_id % 20 = 0"), vectors, k=20, scale=64.0)
@@ -43,11 +85,61 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(pieces)
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences in training order, as the shards hold them (ordering.write_shards makes files of these rows)."""
+    sequences = ordering.token_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return ordering.training_order(sequences)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=13)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+OP5_SQL = r"""
+WITH c AS (
+  SELECT page_id * 4 + k AS record_id, page_id * 3600 + k * 100000 AS ts, k > 0 AS revisit, k,
+    regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare,
+    CASE k WHEN 0 THEN '"' || md5(html) || '"' WHEN 1 THEN 'W/"' || md5(html) || '"' WHEN 3 THEN '"other"' END AS etag,
+    CASE WHEN k IN (0, 2) THEN 'day ' || CAST(page_id % 97 AS VARCHAR) END AS modified
+  FROM pages, (SELECT unnest([0, 1, 2, 3]) AS k)
+), u AS (
+  SELECT *, regexp_extract(bare, '^([^?]*)', 1) AS whole,
+    list_sort(list_filter(string_split(regexp_extract(bare, '^[^?]*\?(.*)$', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref)='))) AS asked
+  FROM c
+), n AS (
+  SELECT *, regexp_replace(lower(regexp_extract(whole, '^([^/]*)', 1)), '^www\.|:(80|443)$', '', 'g')
+    || regexp_replace(regexp_extract(whole, '^[^/]*(.*)$', 1), '/+$', '')
+    || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END AS url_key
+  FROM u
+), latest AS (
+  SELECT url_key, ts, max(record_id) AS record_id FROM n WHERE NOT revisit GROUP BY url_key, ts
+), f AS (
+  SELECT l.url_key, l.ts, l.record_id, n.etag, n.modified FROM latest l JOIN n ON n.record_id = l.record_id
+), j AS (
+  SELECT n.*, f.record_id AS old_id, f.etag AS old_etag, f.modified AS old_modified
+  FROM n ASOF LEFT JOIN f ON n.url_key = f.url_key AND n.ts > f.ts
+), o AS (
+  SELECT *, CASE WHEN NOT revisit THEN 'response' WHEN old_id IS NULL THEN 'orphan'
+    WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = old_etag THEN 'confirmed' ELSE 'changed' END
+    WHEN modified = old_modified THEN 'confirmed' ELSE 'changed' END AS outcome
+  FROM j
+)
+SELECT record_id, url_key, outcome, CASE outcome WHEN 'response' THEN record_id WHEN 'confirmed' THEN old_id END AS response_id,
+  CASE WHEN outcome = 'confirmed'
+    THEN 'content-type: text/html' || chr(10) || 'date: fetch ' || k || chr(10) || 'etag: ' || coalesce(etag, old_etag) || chr(10) || 'last-modified: ' || old_modified
+    ELSE concat_ws(chr(10), CASE WHEN k > 0 THEN 'content-length: 0' END, CASE WHEN k = 0 THEN 'content-type: text/html' END, 'date: fetch ' || k,
+      'etag: ' || etag, 'last-modified: ' || modified) END AS headers
+FROM o
+"""
+
 OP6_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
@@ -89,5 +181,11 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM m
 """
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_embedding_near_dedup, op6_topk_search, op7_packing, op10_source_mixing)}
-SQL = {"op6_topk_search": OP6_SQL, "op10_source_mixing": OP10_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_suffix_dedup, op3_ngram_jaccard, op4_embedding_near_dedup, op5_warc_revisits, op6_topk_search,
+        op7_packing, op8_training_order, op9_substring_dedup, op10_source_mixing,
+    )
+}
+SQL = {"op5_warc_revisits": OP5_SQL, "op6_topk_search": OP6_SQL, "op10_source_mixing": OP10_SQL}
