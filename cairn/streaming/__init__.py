@@ -1,0 +1 @@
+"""Scoring has no state: scoring.score and scoring.predict take streaming tables as they are."""
