@@ -473,7 +473,7 @@ COEF, INTERCEPT = [[((i * 7) % 11 - 5) / 5 for i in range(64)], [((i * 5) % 13 -
 
 
 @query(f"""WITH l AS (SELECT vec_id AS id, {", ".join(f"list_sum([{', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) * {w!r}::DOUBLE' for i, w in enumerate(ws))}]) + {b}::DOUBLE AS l{k}" for k, (ws, b) in enumerate(zip(COEF, INTERCEPT, strict=True)))} FROM embeddings)
-SELECT id, round(l0, 6) AS logit_normal, round(l1, 6) AS logit_sick, round(1 / (1 + exp(l0 - l1)), 5) AS prob_sick FROM l""")
+SELECT id, round(l0, 6) AS logit_normal, round(l1, 6) AS logit_sick, round(CAST(CAST(1 / (1 + exp(l0 - l1)) AS FLOAT) AS DOUBLE), 5) AS prob_sick FROM l""")
 def score_table(spark, sf_dir):
     rows = scoring.score(v.features(spark, sf_dir), COEF, INTERCEPT)
     rows = rows.select("id", F.col("logits")[0].alias("logit_normal"), F.col("logits")[1].alias("logit_sick"), F.col("prob_sick").cast("double").alias("prob_sick"))
