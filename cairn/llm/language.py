@@ -157,8 +157,8 @@ def train(
 ) -> LanguageModel | None:
     """Fits piece probabilities by expectation maximisation; None without labelled words.
 
-    Bounded: the `max_docs` labelled documents first by a hash of their id, of whose whole texts the `max_word_types`
-    most frequent (language, word) pairs reach the driver. `labelled`: doc_id, text, lang, none of them null.
+    Bounded: a share of the labelled documents, by a hash of their id, that is `max_docs` of them on average; of their
+    whole texts the `max_word_types` most frequent (language, word) pairs reach the driver. `labelled`: doc_id, text, lang, none of them null.
     """
 
     def count(batches):
@@ -173,7 +173,8 @@ def train(
                 pd.DataFrame(pairs, columns=["lang", "word"], dtype=str).value_counts().rename("n").reset_index(), preserve_index=False
             ).cast(pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])).to_batches()
 
-    sample = labelled.select("lang", "text", F.xxhash64("doc_id").alias("at"), "doc_id").orderBy("at", "doc_id", "text").limit(max_docs)
+    share = int(min(1.0, max_docs / max(labelled.count(), 1)) * 1_000_000)
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
     counted = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long")
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "lang", "word").limit(max_word_types).toPandas()
