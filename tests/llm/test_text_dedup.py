@@ -51,7 +51,7 @@ def test_substring_dedup_equals_brute_force(docs, texts, spread):
     assert sum(v[1] for v in found.values()) > 0
 
 
-@pytest.mark.parametrize("rule", [ngram_join.Jaccard(), ngram_join.Jaccard(floor=2, share=0.01)])
+@pytest.mark.parametrize("rule", [ngram_join.Jaccard(), ngram_join.Jaccard(floor=3), ngram_join.Jaccard(floor=3, small=2), ngram_join.Jaccard(heavy=3), ngram_join.Jaccard(floor=3, most=10, small=1)])
 def test_ngram_join_equals_brute_force(docs, texts, rule):
     got = ngram_join.near_duplicates(docs, rule).collect()
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in got}
