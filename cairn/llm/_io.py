@@ -79,6 +79,14 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches, limit: int = 1 << 23):
+    """Batches cut to about `limit` bytes of text each."""
+    for batch in batches:
+        _, offsets = text_buffer(batch["text"])
+        for lo, hi in row_chunks(offsets, limit):
+            yield batch.slice(lo, hi - lo)
+
+
 def row_chunks(offsets: np.ndarray, limit: int = 1 << 21):
     """Row ranges of about `limit` bytes each; a longer row stands alone."""
     lo = 0
