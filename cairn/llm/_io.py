@@ -9,15 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-NULL_ID = np.iinfo(np.int64).min
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read: `spark.checkpoint.dir`, or in local mode a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="cairn-")
     spark.conf.set("spark.checkpoint.dir", f"file://{root}")
@@ -48,26 +46,6 @@ def unpack(blob) -> pa.Table:
     return pa.ipc.open_stream(blob.as_buffer() if isinstance(blob, pa.Scalar) else blob).read_all()
 
 
-def unpack_all(blobs) -> pa.Table | None:
-    tables = [unpack(b) for b in blobs]
-    return pa.concat_tables(tables).combine_chunks() if tables else None
-
-
-def numbers(table: pa.Table, name: str) -> np.ndarray:
-    return table[name].to_numpy()
-
-
-def pack_by(bucket: np.ndarray, n: int, columns: dict) -> list[tuple[int, bytes]]:
-    """Splits columns by bucket number (below n) and packs each part that has rows."""
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(n + 1))
-    out = []
-    for k in np.flatnonzero(np.diff(edges)):
-        rows = order[edges[k] : edges[k + 1]]
-        out.append((int(k), pack(**{c: v.take(pa.array(rows)) if isinstance(v, pa.Array) else v[rows] for c, v in columns.items()})))
-    return out
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm._hash import BYTE_VALUES, SpanHash, mix, sliding_min, words
-from cairn.llm._io import materialise, partitions, row_chunks, text_buffer
+from cairn.llm._io import materialise, partitions, row_chunks, slices, text_buffer
 
 NORMAL, SPREAD, MARKER, DONE = 0, 1, 2, 3
 SEGMENT = 1 << 20
@@ -151,7 +151,7 @@ def to_records(spec: Spec, parts: int):
     """Batches of (id, text) to records, merged within each batch."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1 << 24):
             doc, start, count, seed, text = batch_records(batch, spec)
             keep, repeated = settle(doc, start, seed, text, spec.within)
             d, s, c = runs(doc[repeated], start[repeated], count[repeated])
