@@ -60,6 +60,21 @@ def test_ngram_join_equals_brute_force(docs, texts, rule):
     assert len({c for _, c in found.values()}) < len(found) - 10
 
 
+@pytest.mark.parametrize(("rule", "block"), [(ngram_join.Jaccard(), 2048), (ngram_join.Jaccard(floor=3, small=2), 7)])
+def test_ngram_join_counts_every_link(spark, docs, texts, monkeypatch, rule, block):
+    """Also within groups of near copies, whose sets are connected long before all their pairs are met."""
+    monkeypatch.setattr(ngram_join, "COUNTED", block)
+    words = [f"w{i}" for i in range(200)]
+    copies = {1000 + i: " ".join([*words[: 5 * i], f"new{i}", *words[5 * i + 1 :]]) for i in range(30)}
+    rows = spark.createDataFrame(list(copies.items()), "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(docs.select("doc_id", "text").union(rows), rule).collect()}
+    sets = {d: brute.shingles(t) for d, t in {**texts, **copies}.items()}
+    near = lambda a, b: a != b and 100 * len(a & b) >= 80 * len(a | b)
+    assert got.pop(None) == 0
+    assert got == {d: sum(near(own, other) for other in set(sets.values())) for d, own in sets.items()}
+    assert all(got[d] == 29 for d in copies)
+
+
 @pytest.mark.parametrize("operator", [suffix_dedup.remove_repeats, substring_dedup.remove_repeats, ngram_join.near_duplicates])
 def test_empty_and_null_tables(spark, docs, operator):
     assert operator(docs.limit(0)).count() == 0
