@@ -59,7 +59,8 @@ def training_order(sequences: DataFrame, key: int = 17, per_shard: int = 4096) -
 
     The sequences are written once; a row's number is its place in its file, after the rows of the files before, so
     nothing is sorted or shuffled for it and only one count a file reaches the driver. The keyed permutation turns
-    numbers into slots. Rows come back range-partitioned and sorted by slot: a reader of any range of slots reads on.
+    numbers into slots. Rows come back range-partitioned by whole shards and sorted by slot: a reader of any range of
+    slots reads on, and write_shards writes the partitions as they are.
     The same input, layout and key give the same order. Equal rows get slots of their own. An empty table gives none.
     Columns of sequences named slot, shard or place are replaced.
     """
@@ -77,31 +78,51 @@ def training_order(sequences: DataFrame, key: int = 17, per_shard: int = 4096) -
 
     placed = rows.withColumn("slot", slot("file_", "row_")).withColumn("shard", F.floor(F.col("slot") / per_shard))
     placed = placed.withColumn("place", (F.col("slot") % per_shard) * F.length("ids"))
-    return placed.select(*sequences.columns, "slot", "shard", "place").repartitionByRange("slot").sortWithinPartitions("slot")
+    return placed.select(*sequences.columns, "slot", "shard", "place").repartitionByRange("shard").sortWithinPartitions("slot")
 
 
 def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     """Writes each shard as one file of fixed-stride rows in slot order; returns shard, file, rows, stride.
 
+    `ordered` is as training_order returns it: each shard lies whole in one partition, by slot; other rows are an error.
     `folder` is a URI that executors reach (file:, hdfs:, s3:, ...). A file is written under another name and moved
     when whole, so a task that runs twice leaves one file.
     """
 
-    def write(table: pa.Table) -> pa.Table:
+    def write(batches):
         from pyarrow import fs
 
-        table = table.sort_by("slot")
         store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
-        name = f"shard-{table['shard'][0].as_py():08d}.bin"
-        draft = f"{root}/.{uuid.uuid4().hex}"
-        with store.open_output_stream(draft) as out:
-            for row in table["ids"]:
-                out.write(row.as_buffer())
-        store.move(draft, f"{root}/{name}")
-        return pa.table({"shard": table["shard"][:1], "file": [name], "rows": [len(table)], "stride": [len(table["ids"][0].as_buffer())]})
-
-    return ordered.select("shard", "slot", "ids").groupBy("shard").applyInArrow(write, "shard long, file string, rows long, stride long")
+        shard = out = draft = None
+        rows = stride = slot = 0
+
+        def finish() -> pa.RecordBatch:
+            out.close()
+            name = f"shard-{shard:08d}.bin"
+            store.move(draft, f"{root}/{name}")
+            columns = [pa.array([shard]), pa.array([name]), pa.array([rows]), pa.array([stride])]
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "file", "rows", "stride"])
+
+        try:
+            for batch in batches:
+                for number, at, place, ids in zip(*(batch[c].to_pylist() for c in ("shard", "slot", "place", "ids")), strict=True):
+                    if number != shard:
+                        if shard is not None:
+                            yield finish()
+                        store.create_dir(root, recursive=True)
+                        shard, rows, stride, slot, draft = number, 0, len(ids), at, f"{root}/.{uuid.uuid4().hex}"
+                        out = store.open_output_stream(draft)
+                    if at != slot + rows or place != rows * stride or len(ids) != stride:
+                        raise ValueError(f"slot {at} isn't next in shard {shard}: rows must come as training_order returns them")
+                    out.write(ids)
+                    rows += 1
+            if shard is not None:
+                yield finish()
+        finally:
+            if out is not None and not out.closed:
+                out.close()
+
+    return ordered.select("shard", "slot", "place", "ids").mapInArrow(write, "shard long, file string, rows long, stride long")
 
 
 def read_shards(spark: SparkSession, folder: str, stride: int, per_shard: int = 4096, from_slot: int = 0) -> DataFrame:

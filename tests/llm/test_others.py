@@ -1,6 +1,8 @@
+import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from cairn.llm import language, mixing, ordering, packing, queries, warc
+from cairn.llm._io import shared_folder
 from tests.llm import brute
 from tests.oracle import SF, compare
 
@@ -120,6 +123,25 @@ def test_feistel_is_a_permutation(size, key):
     assert sorted(ordering.feistel(np.arange(size), size, key).tolist()) == list(range(size))
 
 
+def test_training_order_query_writes_and_reads_shards(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    expected = {r.slot: bytes(r.ids) for r in ordering.training_order(ordering.token_sequences(documents, BPE)).collect()}
+    before = set(Path(shared_folder(spark).removeprefix("file://")).glob("shards-*/shard-*.bin"))
+    rows = queries.op8_training_order(spark, SF).collect()
+    files = sorted(set(Path(shared_folder(spark).removeprefix("file://")).glob("shards-*/shard-*.bin")) - before)
+    assert b"".join(f.read_bytes() for f in files) == b"".join(expected[k] for k in range(len(expected)))
+    assert [r.slot for r in rows] == list(range(len(expected)))
+    assert all(r.ids_sha256 == hashlib.sha256(expected[r.slot]).hexdigest() and r.place == r.slot % 4096 * 2048 for r in rows)
+
+
+def test_shards_are_written_from_their_partitions(spark, docs, tmp_path):
+    ordered = ordering.training_order(ordering.token_sequences(docs, BPE, 32), per_shard=16)
+    plan = ordering.write_shards(ordered, f"file://{tmp_path}/a")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    with pytest.raises(Exception, match="isn't next"):
+        ordering.write_shards(ordered.repartition(3), f"file://{tmp_path}/b").collect()
+
+
 def test_shards_round_trip(spark, docs, tmp_path):
     ordered = ordering.training_order(ordering.token_sequences(docs, BPE, 32), key=5, per_shard=16)
     rows = ordered.collect()
