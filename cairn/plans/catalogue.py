@@ -488,12 +488,12 @@ def parts(spark, sf_dir):
 @query()
 def head_history(spark, sf_dir):
     train, val, _ = parts(spark, sf_dir)
-    rows, _ = head.fit_head(train, val, epochs=4)
+    rows, _ = head.fit_head(train, val)
     return spark.createDataFrame([tuple(r.values()) for r in rows], "epoch int, " + ", ".join(f"{c} double" for c in list(rows[0])[1:]))
 
 
 @query()
 def head_report(spark, sf_dir):
     train, val, test = parts(spark, sf_dir)
-    _, model = head.fit_head(train, val, epochs=4)
+    _, model = head.fit_head(train, val)
     return head.report(val, test, model)

@@ -22,6 +22,14 @@ def test_query_without_sql_gives_rows(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+def test_head_is_fitted_to_its_end(spark):
+    """30 epochs, or 8 in a row that don't improve."""
+    rows = catalogue.QUERIES["head_history"](spark, SF).orderBy("epoch").collect()
+    best = max(rows, key=lambda r: (r.val_recall, -r.epoch)).epoch
+    assert [r.epoch for r in rows] == list(range(1, len(rows) + 1))
+    assert len(rows) == min(30, best + 8)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
