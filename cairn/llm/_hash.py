@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 64, 256, dtype=np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -29,7 +29,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class SpanHash:
-    """Fingerprints of any spans of a sequence of 64-bit values, by polynomial prefix sums."""
+    """Fingerprints of any short spans of a sequence of 64-bit values, by polynomial prefix sums.
+
+    Modulo 2^64 some texts over two symbols collide for every base, from 1,024 symbols on. So spans have at most some
+    hundred values here, and each value is itself a hash: of a whole word (`word_hashes`) or of eight bytes (`grams`).
+    """
 
     def __init__(self, values: np.ndarray):
         self.sums = np.zeros(len(values) + 1, np.uint64)
@@ -40,6 +44,39 @@ class SpanHash:
         return mix((self.sums[end] - self.sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
+#: Bytes in a gram.
+GRAM = 8
+#: Words up to this many bytes are hashed together, longer ones by xxh3.
+LONG_WORD = 64
+_INSIDE = np.array([(1 << 8 * n) - 1 for n in range(GRAM)] + [(1 << 64) - 1], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """A view of the eight bytes from each place on, zeros after the end."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(GRAM, np.uint8)]), GRAM)
+
+
+def grams(data: np.ndarray) -> np.ndarray:
+    """A hash of the eight bytes from each place on."""
+    return mix(np.ascontiguousarray(eights(data)[: len(data)]).view(np.uint64).ravel() + U(_BASE))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word's bytes: eight at a time go through a mixing step that depends on all before them."""
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) + U(_BASE))
+    windows, at = eights(data), np.flatnonzero(sizes <= LONG_WORD)
+    for lo in range(0, LONG_WORD, GRAM):
+        at = at[sizes[at] > lo]
+        if not len(at):
+            break
+        part = windows[starts[at] + lo].view(np.uint64).ravel() & _INSIDE[np.minimum(sizes[at] - lo, GRAM)]
+        out[at] = mix((out[at] ^ part) * U(_BASE))
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)

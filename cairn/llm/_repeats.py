@@ -1,21 +1,21 @@
-"""Exact search for long repeats over a whole corpus; shared by the suffix-array and suffix-tree operators.
+"""What the suffix-array and the suffix-tree operator share: which strings can repeat at all, and the way back.
 
 A window is `length` consecutive units (bytes or words) of a document. Every window is charged to its anchor: the place
-in it whose seed (`seed` units) has the least fingerprint, so equal windows have equal anchors. Consecutive windows of
-one anchor make a record: its seed's fingerprint and that of all the text its windows cover, about one record for every
-`length - seed` / 2 units. Three steps settle all windows:
-
-1. Records are grouped by seed. A seed that occurs once has no repeated window. A record whose whole text an earlier
-   one has is repeated in all its windows.
-2. The others (a few hundredths of the text: records of one seed with different surroundings) give their texts to an
-   index (suffix arrays or trees), which compares them unit by unit.
-3. The repeated windows come back to their documents.
-
-No group needs more than its own rows. Records that agree are merged in each batch before any shuffle, so a passage
-that a third of all documents share arrives once for each batch. A seed with many surroundings (`hot` in one batch, or
-`hot_total` in all) is spread by its surroundings in step 1 and window by window in step 2, again merged beforehand.
-
-Fingerprints have 64 bits; equal texts are taken as such where the seeds' and the whole texts' fingerprints agree.
+in it whose seed (`seed` units) has the least fingerprint, so equal windows have equal anchors and equal seeds.
+Consecutive windows of one anchor make a record, about one for every `length - seed` / 2 units; records of one seed and
+one text make a class.
+
+1. `classed`: records are sorted by seed. A seed that occurs once has no repeated window and is dropped. Of every other
+   class the earliest record stands for the class; the others are its followers.
+2. `context_rows`: the records that stand for classes get their texts from their documents.
+3. An index (suffix arrays or trees) compares these texts unit by unit and says which windows repeat earlier ones.
+4. `spans`: each follower takes the verdict of its class, as the index gives it: all its windows when the class's first
+   place counts as earlier, else those that are repeated at that place.
+5. `cut_rows`: spans go to their documents, one row a document.
+
+Nothing is gathered by key: sorts, joins and streams of batches carry all steps, so a task's memory doesn't follow the
+number of a key's rows. Records that agree are merged in each batch of documents before the shuffle, and a seed with
+many surroundings (more than `hot` in a batch) is spread by its surroundings.
 """
 
 from __future__ import annotations
@@ -28,10 +28,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._hash import BYTE_VALUES, SpanHash, mix, sliding_min, words
-from cairn.llm._io import materialise, partitions, row_chunks, slices, text_buffer
+from cairn.llm._hash import GRAM, SpanHash, grams, mix, sliding_min, word_hashes, words
+from cairn.llm._io import materialise, row_chunks, slices, text_buffer
 
-NORMAL, SPREAD, MARKER, DONE = 0, 1, 2, 3
+#: Kinds of rows: a record, one of a spread seed, a seed that is spread elsewhere, a follower; a class whose seed has no
+#: other class, one that shares its seed, a seed with very many classes.
+NORMAL, SPREAD, MARKER, FOLLOWER, ALONE, SHARED, HOT = range(7)
+#: Bit of a record that stands for followers of its batch.
+LEADS = 8
 SEGMENT = 1 << 20
 
 
@@ -41,24 +45,26 @@ class Spec:
     seed: int
     length: int
     within: bool  # whether an earlier start in the same document counts
-    hot: int = 64  # records of a seed in a batch, and surroundings in all, beyond which it is spread
+    hot: int = 256  # classes of a seed in a batch, and in all, beyond which it is spread
     hot_total: int = 10_000
 
+    @property
+    def less(self) -> int:
+        """A byte's value is that of the gram from it on: a span has so many values less than bytes."""
+        return 0 if self.by_word else GRAM - 1
+
 
 @dataclass
 class Units:
     values: np.ndarray  # 64 bits a unit
     offsets: np.ndarray  # of the rows, in units
-    starts: np.ndarray | None = None  # of words, in bytes
-    ends: np.ndarray | None = None
 
 
 def units(data: np.ndarray, offsets: np.ndarray, spec: Spec) -> Units:
     if not spec.by_word:
-        return Units(BYTE_VALUES[data], offsets)
+        return Units(grams(data), offsets)
     starts, ends, rows = words(data, offsets)
-    values = SpanHash(BYTE_VALUES[data])(starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    return Units(values, rows, starts, ends)
+    return Units(word_hashes(data, starts, ends), rows)
 
 
 def anchored(values: np.ndarray, offsets: np.ndarray, spec: Spec):
@@ -68,7 +74,7 @@ def anchored(values: np.ndarray, offsets: np.ndarray, spec: Spec):
         return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
     spans = SpanHash(values)
     at = np.arange(n - spec.seed + 1)
-    seeds = spans(at, at + spec.seed)
+    seeds = spans(at, at + spec.seed - spec.less)
     order = (seeds & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
     anchor = (sliding_min(order, spec.length - spec.seed + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -81,7 +87,7 @@ def anchored(values: np.ndarray, offsets: np.ndarray, spec: Spec):
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(windows)))
     start, anchor = windows[first], anchor[first]
-    text = spans(start, start + count - 1 + spec.length) ^ mix((anchor - start).astype(np.uint64))
+    text = spans(start, start + count - 1 + spec.length - spec.less) ^ mix((anchor - start).astype(np.uint64))
     return row_of[start], start, count, seeds[anchor], text
 
 
@@ -103,112 +109,136 @@ def batch_records(batch: pa.RecordBatch, spec: Spec):
     return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
 
 
-def settle(doc, start, seed, text, within: bool):
-    """Positions of the records to keep (the earliest of each seed and text) and of those that repeat an earlier one.
+def class_names(seed: np.ndarray, text: np.ndarray) -> np.ndarray:
+    return mix(seed ^ mix(text)).view(np.int64)
 
-    Without `within`, all records of the least document are kept. Rows that repeat an id fall away as equal.
-    """
-    if not len(doc):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.lexsort((start, doc, mix(seed ^ (text * np.uint64(3)))))
-    s, t, d, p = seed[order], text[order], doc[order], start[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-    repeated = (d != d[lead]) | ((p != p[lead]) & within)
-    again = np.zeros(len(order), bool)
-    again[1:] = ~new[1:] & (d[1:] == d[:-1]) & (p[1:] == p[:-1])
-    return order[~repeated & ~again], order[repeated]
-
-
-def runs(doc, start, count):
-    """Merges windows that follow each other."""
-    if not len(doc):
-        return doc, start, count
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], (start + count)[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])
-    first = np.flatnonzero(new)
-    return doc[first], start[first], np.maximum.reduceat(end, first) - start[first]
 
+def longs(**columns) -> pa.RecordBatch:
+    return pa.record_batch({k: pa.array(np.asarray(v, np.int64)) for k, v in columns.items()})
 
-def per_seed(seed: np.ndarray) -> np.ndarray:
-    """For each record, how many have its seed."""
-    _, kind, n = np.unique(seed, return_inverse=True, return_counts=True)
-    return n[kind] if len(seed) else np.zeros(0, np.int64)
 
+RECORDS = "seed long, text long, doc long, start long, kind long"
 
-RECORD = pa.schema([(c, pa.int64()) for c in ("part", "seed", "text", "doc", "start", "kind")])
 
+def to_records(spec: Spec):
+    """Batches of (id, text) to records, of which each batch's first of a class leads; kind: windows, and what the row is."""
 
-def record_table(part, seed, text, doc, start, count, flag) -> pa.Table:
-    columns = [part.astype(np.int64), seed.view(np.int64), text.view(np.int64), doc, start, count * 4 + flag]
-    return pa.Table.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], schema=RECORD)
-
-
-def to_records(spec: Spec, parts: int):
-    """Batches of (id, text) to records, merged within each batch."""
+    def rows(seed, text, doc, start, count, kind):
+        return longs(seed=seed.view(np.int64), text=text.view(np.int64), doc=doc, start=start, kind=count * 16 + kind)
 
     def run(batches):
         for batch in slices(batches, 1 << 24):
             doc, start, count, seed, text = batch_records(batch, spec)
-            keep, repeated = settle(doc, start, seed, text, spec.within)
-            d, s, c = runs(doc[repeated], start[repeated], count[repeated])
-            zeros = np.zeros(len(d), np.uint64)
-            done = record_table(d % parts, zeros, zeros, d, s, c, DONE)
-            doc, start, count, seed, text = (x[keep] for x in (doc, start, count, seed, text))
-            hot = per_seed(seed) > spec.hot
-            part = np.where(hot, mix(seed ^ text), seed) % np.uint64(parts)
+            order = np.lexsort((start, doc, text, seed))
+            doc, start, count, seed, text = (x[order] for x in (doc, start, count, seed, text))
+            new = np.ones(len(doc), bool)
+            new[1:] = (seed[1:] != seed[:-1]) | (text[1:] != text[:-1])
+            follows, lead = np.flatnonzero(~new), np.flatnonzero(new)
+            if not len(lead):
+                continue
+            name = class_names(seed[follows], text[follows]).view(np.uint64)
+            yield rows(name, np.zeros(len(name), np.uint64), doc[follows], start[follows], count[follows], FOLLOWER)
+            leads = np.diff(np.append(lead, len(doc))) > 1
+            doc, start, count, seed, text = (x[lead] for x in (doc, start, count, seed, text))
+            _, own, n = np.unique(seed, return_inverse=True, return_counts=True)
+            hot = n[own] > spec.hot
             marked = np.unique(seed[hot])
             zeros = np.zeros(len(marked), np.int64)
-            marks = record_table(marked % np.uint64(parts), marked, marked, zeros, zeros, zeros, MARKER)
-            yield from pa.concat_tables([done, marks, record_table(part, seed, text, doc, start, count, hot * SPREAD)]).to_batches()
+            yield rows(marked, zeros.view(np.uint64), zeros, zeros, zeros, MARKER)
+            yield rows(seed, text, doc, start, count, np.where(hot, SPREAD, NORMAL) + leads * LEADS)
 
     return run
 
 
-SETTLED = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("count", pa.int64()), ("key", pa.int64()), ("hot", pa.bool_())])
-
-
-def by_seed(spec: Spec):
-    """Group function of step 1: rows without key are repeated windows, those with one go on to the index."""
-
-    def run(table: pa.Table) -> pa.Table:
-        seed, text = (table[c].to_numpy().view(np.uint64) for c in ("seed", "text"))
-        doc, start, kind = (table[c].to_numpy() for c in ("doc", "start", "kind"))
-        count, flag = kind >> 2, kind & 3
-        done = flag == DONE
-        marked = seed[flag == MARKER]
-        live = np.flatnonzero((flag == NORMAL) | (flag == SPREAD))
-        spread = flag[live] == SPREAD
-        alone = (per_seed(seed[live]) == 1) & ~spread & ~np.isin(seed[live], marked)
-        live = live[~alone]
-        keep, repeated = settle(doc[live], start[live], seed[live], text[live], spec.within)
-        keep, repeated = live[keep], live[repeated]
-        _, kinds = np.unique(np.stack([seed[keep], text[keep]], 1), axis=0, return_inverse=True) if len(keep) else (0, np.zeros(0, np.int64))
-        first = np.zeros(len(keep), bool)
-        first[np.unique(kinds.ravel(), return_index=True)[1]] = True
-        _, own = np.unique(seed[keep], return_inverse=True) if len(keep) else (0, np.zeros(0, np.int64))
-        surroundings = np.bincount(own, first).astype(np.int64)[own] if len(keep) else np.zeros(0, np.int64)
-        hot = (flag[keep] == SPREAD) | np.isin(seed[keep], marked) | (surroundings > spec.hot_total)
-        open_ = hot | (surroundings > 1)
-        d, s, c = runs(*(np.concatenate([x[done], x[repeated]]) for x in (doc, start, count)))
-        keep, hot = keep[open_], hot[open_]
-        return pa.Table.from_arrays(
-            [
-                pa.array(np.concatenate([d, doc[keep]])),
-                pa.array(np.concatenate([s, start[keep]])),
-                pa.array(np.concatenate([c, count[keep]])),
-                pa.array(np.concatenate([np.zeros(len(d), np.int64), seed[keep].view(np.int64)]), mask=np.arange(len(d) + len(keep)) < len(d)),
-                pa.array(np.concatenate([np.zeros(len(d), bool), hot])),
-            ],
-            schema=SETTLED,
-        )
+CLASSED = "cls long, seed long, doc long, start long, count long, kind long"
+
+
+def settled(spec: Spec):
+    """Records in the order of (seed, text, doc, start) to classes' first records, followers, and seeds that are hot.
+
+    A stream: of what came before only the last class's first record is kept, with the number of its seed's classes.
+    """
+
+    def run(batches):
+        held = None  # (seed, text, doc, start, count, leads, given out), and how many classes its seed has so far
+        classes = 0
+
+        def rows(seed, text, doc, start, count, kind):
+            kind = np.full(len(seed), kind) if np.isscalar(kind) else kind
+            return longs(cls=class_names(seed, text), seed=seed.view(np.int64), doc=doc, start=start, count=count, kind=kind)
+
+        def last(held, classes):
+            one = [np.array([x]) for x in held]
+            if classes == 1 and one[5][0]:
+                yield rows(*one[:5], ALONE)
+            if classes > spec.hot_total:
+                yield rows(*one[:5], HOT)
+
+        for batch in batches:
+            seed, text = (batch[c].to_numpy().view(np.uint64) for c in ("seed", "text"))
+            doc, start, kind = (batch[c].to_numpy() for c in ("doc", "start", "kind"))
+            count, leads, kind = kind >> 4, kind & LEADS > 0, kind & (LEADS - 1)
+            passed = kind == FOLLOWER
+            if passed.any():
+                yield longs(cls=seed[passed].view(np.int64), seed=np.zeros(passed.sum()), doc=doc[passed], start=start[passed], count=count[passed], kind=kind[passed])
+            marks = kind == MARKER
+            if marks.any():
+                yield rows(seed[marks], text[marks], doc[marks], start[marks], count[marks], HOT)
+            live = ~passed & ~marks
+            if not live.any():
+                continue
+            spread = kind[live] == SPREAD
+            columns = [x[live] for x in (seed, text, doc, start, count, leads)] + [np.zeros(live.sum(), bool)]
+            if held is not None:
+                columns = [np.concatenate([[h], x]).astype(x.dtype) for h, x in zip(held, columns, strict=True)]
+                spread = np.concatenate([[False], spread])
+            s, t, d, p, c, more, given = columns
+            new_seed, new = np.ones(len(s), bool), np.ones(len(s), bool)
+            new_seed[1:] = s[1:] != s[:-1]
+            new[1:] = new_seed[1:] | (t[1:] != t[:-1])
+            if not new.all():
+                yield rows(*(x[~new] for x in (s, t, d, p, c)), FOLLOWER)
+            lead = np.flatnonzero(new)
+            more = more[lead] | (np.diff(np.append(lead, len(s))) > 1)
+            s, t, d, p, c, given, spread = (x[lead] for x in (s, t, d, p, c, given, spread))
+            edges = np.flatnonzero(new_seed[lead])
+            n = np.diff(np.append(edges, len(s)))
+            if held is not None:
+                n[0] += classes - 1
+            many = np.repeat(n, np.diff(np.append(edges, len(s)))) + spread > 1
+            open_ = np.arange(len(s)) >= edges[-1]  # the last seed may go on
+            out = ~given & (many | (more & ~open_))
+            yield rows(*(x[out] for x in (s, t, d, p, c)), np.where(many, SHARED, ALONE)[out])
+            hot = edges[:-1][n[:-1] > spec.hot_total]
+            yield rows(*(x[hot] for x in (s, t, d, p, c)), HOT)
+            held, classes = (s[-1], t[-1], d[-1], p[-1], c[-1], more[-1], given[-1] or out[-1]), int(n[-1])
+        if held is not None:
+            yield from last(held, classes)
 
     return run
 
 
+def judged(docs: DataFrame) -> DataFrame:
+    """id, text, rest (all columns but the text) of `docs`. An id whose rows have different texts stands for the text
+    of the least hash; rows with another text have a null id here."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
+    given = docs.select(F.col("doc_id").cast("long").alias("id"), "text", rest)
+    marks = given.where("id is not null").groupBy("id").agg(*(f(F.xxhash64("text")).alias(n) for f, n in ((F.min, "least"), (F.max, "most"))))
+    unclear = materialise(marks.where("least <> most").select(F.col("id").alias("unclear"), "least"))
+    if unclear.isEmpty():
+        return given
+    own = given.join(unclear, given["id"] == F.col("unclear"), "left")
+    return own.select(F.when(F.col("unclear").isNull() | (F.xxhash64("text") == F.col("least")), F.col("id")).alias("id"), "text", "rest")
+
+
+def classed(given: DataFrame, spec: Spec) -> DataFrame:
+    """Classes and followers of all rows with id and text, written once."""
+    records = given.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text").mapInArrow(to_records(spec), RECORDS)
+    spread = F.when(F.col("kind") % LEADS == SPREAD, F.xxhash64("seed", "text")).otherwise(F.col("seed"))
+    records = records.repartition(spread).sortWithinPartitions("seed", "text", "doc", "start")
+    return materialise(records.mapInArrow(settled(spec), CLASSED))
+
+
 def squeeze(batches):
     """Packs texts (zstd) for a shuffle; null stays null."""
     packer = zstandard.ZstdCompressor(level=1)
@@ -220,110 +250,94 @@ def squeeze(batches):
         yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
 
-def unsqueeze(column: pa.ChunkedArray) -> list[bytes]:
-    opener = zstandard.ZstdDecompressor()
-    return [b"" if t is None else opener.decompress(t) for t in column.to_pylist()]
+def packed(given: DataFrame) -> DataFrame:
+    return given.mapInArrow(squeeze, given.withColumn("text", F.lit(None).cast("binary")).schema)
 
 
-CONTEXT = pa.schema([("part", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("count", pa.int64()), ("context", pa.binary())])
+def unsqueeze(column) -> list[bytes]:
+    opener = zstandard.ZstdDecompressor()
+    return [b"" if t is None else opener.decompress(t) for t in column.to_pylist()]
 
 
-def contexts(spec: Spec, parts: int):
-    """Cogroup function: the texts of open records, each as `count - 1 + length` units; a hot seed's windows one by one.
+def context_rows(given: DataFrame, classes: DataFrame, cut, schema: str) -> DataFrame:
+    """The texts of the records that stand for classes: `cut()` makes an object whose `add(text, doc, records)` takes a
+    document and whose `rows()` yields batches of `schema` and forgets them.
 
-    A byte is a unit of one byte, a word one of eight (its fingerprint).
+    `records`: arrays cls, seed, start, count, kind of one document; a hot seed's kind is HOT. The list of a document's
+    records is no longer than itself. Documents that stand twice give their rows twice.
     """
+    hot = classes.where(F.col("kind") == HOT).select(F.col("seed").alias("hot_seed")).distinct()
+    reps = classes.where(F.col("kind").isin(ALONE, SHARED)).join(hot, F.col("seed") == F.col("hot_seed"), "left")
+    kind = F.when(F.col("hot_seed").isNull(), F.col("kind")).otherwise(HOT)
+    wanted = reps.groupBy("doc").agg(F.collect_list(F.struct("cls", "seed", "start", "count", kind.alias("kind"))).alias("records"))
+    texts = packed(given.where("id is not null").select("id", "text"))
+    rows = texts.join(wanted, texts["id"] == wanted["doc"])
 
-    def run(opened: pa.Table, texts: pa.Table) -> pa.Table:
-        doc, start, count, key = (opened[c].to_numpy() for c in ("doc", "start", "count", "key"))
-        hot = opened["hot"].to_numpy(zero_copy_only=False)
-        ids = texts["id"].to_numpy(zero_copy_only=False)
-        wanted, out, singles = np.isin(ids, doc), [], []
-        ids, first = np.unique(ids[wanted], return_index=True)
-        raw = texts["text"].take(pa.array(np.flatnonzero(wanted)[first]))
-        order = np.lexsort((start, doc))
-        edges = np.searchsorted(doc[order], ids), np.searchsorted(doc[order], ids, "right")
-        for i, (lo, hi) in enumerate(zip(*edges, strict=True)):
-            (text,) = unsqueeze(raw.slice(i, 1))
-            own = text
-            if spec.by_word:
-                data = np.frombuffer(text, np.uint8)
-                own = units(data, np.array([0, len(data)]), spec).values.tobytes()
-            size = 8 if spec.by_word else 1
-            last = -1
-            for r in order[lo:hi]:
-                if start[r] == last:
-                    continue
-                last = int(start[r])
-                if hot[r]:
-                    singles += [(own[p * size : (p + spec.length) * size], int(doc[r]), p) for p in range(last, last + int(count[r]))]
-                else:
-                    out.append((int(key[r] % parts), int(doc[r]), last, int(count[r]), own[last * size : (last + int(count[r]) - 1 + spec.length) * size]))
-        earliest: dict[bytes, tuple[int, int]] = {}
-        for window, d, p in singles:
-            if window not in earliest or (d, p) < earliest[window]:
-                earliest[window] = (d, p)
-        for window, d, p in singles:
-            if earliest[window] == (d, p) or (not spec.within and earliest[window][0] == d):
-                out.append((hash_part(window, parts), d, p, 1, window))
-            else:
-                out.append((d % parts, d, p, 1, None))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), CONTEXT.types, strict=True)], schema=CONTEXT) if out else CONTEXT.empty_table()
-
-    return run
-
-
-def hash_part(window: bytes, parts: int) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(window) % parts
-
-
-def indexed(spec: Spec, find):
-    """Group function of step 2. `find(windows, doc)` says which windows repeat an earlier one: windows (n, length) in
-    the order of (doc, start), bytes or word fingerprints."""
-
-    def run(table: pa.Table) -> pa.Table:
-        doc, start, count = (table[c].to_numpy() for c in ("doc", "start", "count"))
-        passed = table["context"].is_null().to_numpy(zero_copy_only=False)
-        order = np.lexsort((start, doc))
-        order = order[~passed[order]]
-        raw = b"".join(table["context"].take(pa.array(order)).to_pylist())
-        flat = np.frombuffer(raw, np.uint64 if spec.by_word else np.uint8)
-        c = count[order]
-        base = np.cumsum(c - 1 + spec.length) - (c - 1 + spec.length)
-        nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        d, p = np.repeat(doc[order], c), np.repeat(start[order], c) + nth
-        repeated = np.zeros(len(d), bool)
-        if len(d):
-            windows = np.lib.stride_tricks.sliding_window_view(flat, spec.length)[np.repeat(base, c) + nth]
-            repeated = find(windows, d)
-        found = runs(*(np.concatenate([x, y]) for x, y in ((doc[passed], d[repeated]), (start[passed], p[repeated]), (count[passed], np.ones(repeated.sum(), np.int64)))))
-        return pa.table(dict(zip(("doc", "start", "count"), found, strict=True)))
-
-    return run
-
-
-def repeated_windows(docs: DataFrame, spec: Spec, find) -> tuple[DataFrame, DataFrame]:
-    """(doc, start, count) rows of repeated windows, and `docs` as (part, id, text packed, rest).
-
-    `docs` needs doc_id and text; all its columns come back in `rest`, but for text. Rows without an id take no part.
+    def run(batches):
+        made = cut()
+        for batch in batches:
+            lists = batch["records"]
+            edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            fields = [x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten()]
+            for i, doc in enumerate(batch["id"].to_pylist()):
+                made.add(unsqueeze(batch["text"].slice(i, 1))[0], doc, [x[edges[i] : edges[i + 1]] for x in fields])
+            yield from made.rows()
+
+    return rows.select("id", "text", "records").mapInArrow(run, schema)
+
+
+#: What an index says: windows at..at+n of the record (cls, doc, start) repeat an earlier place; and n = 0 for each record.
+VERDICT = "cls long, doc long, start long, at long, n long"
+
+
+def spans(classes: DataFrame, verdicts: DataFrame, spec: Spec) -> DataFrame:
+    """doc, first, n: runs of repeated windows of records that stand for classes, and of their followers."""
+    said = verdicts.where("n > 0")
+    leads = verdicts.where("n = 0").groupBy("cls").agg(F.min(F.struct("doc", "start")).alias("lead"))
+    followers = classes.where(F.col("kind") == FOLLOWER).select("cls", "doc", "start", "count").join(leads, "cls")
+    later = F.col("doc") > F.col("lead.doc")
+    if spec.within:
+        whole, own = followers.where(later | (F.col("start") > F.col("lead.start"))), None
+    else:  # in the document of its class's first record, a follower shares that one's verdict
+        whole, own = followers.where(later), followers.where(~later).select("cls", F.col("doc").alias("d"), F.col("start").alias("s"))
+    found = said.select("doc", (F.col("start") + F.col("at")).alias("first"), "n").union(whole.select("doc", "start", "count"))
+    if own is not None:
+        own = own.join(said, "cls").where("d = doc").select("doc", F.col("s") + F.col("at"), "n")
+        found = found.union(own)
+    return found
+
+
+def cut_rows(given: DataFrame, found: DataFrame, cut, fields, schema) -> DataFrame:
+    """All rows of `given` (judged), by `cut(text, first, n)`: the values of the columns that `schema` adds to `fields`.
+
+    Rows without an id don't meet the join.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
-    given = docs.select(F.col("doc_id").cast("long").alias("id"), "text", rest)
-    records = given.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text")
-    records = records.mapInArrow(to_records(spec, 2 * n), "part long, seed long, text long, doc long, start long, kind long")
-    settled = records.groupBy("part").applyInArrow(by_seed(spec), "doc long, start long, count long, key long, hot boolean")
-    settled = materialise(settled)
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(2 * n)).alias("part")
-    packed = given.mapInArrow(squeeze, given.withColumn("text", F.lit(None).cast("binary")).schema).select(part("id"), "id", "text", "rest")
-    opened = settled.where(F.col("key").isNotNull()).select(part("doc"), "*")
-    given_texts = packed.select("part", "id", "text").where(F.col("id").isNotNull())
-    texts = opened.groupBy("part").cogroup(given_texts.groupBy("part")).applyInArrow(
-        contexts(spec, 8 * n), "part long, doc long, start long, count long, context binary"
-    )
-    compared = texts.groupBy("part").applyInArrow(indexed(spec, find), "doc long, start long, count long")
-    repeated = settled.where(F.col("key").isNull()).select("doc", "start", "count").union(compared)
-    return repeated.select(part("doc"), "*"), packed
+    runs = found.groupBy("doc").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    texts = packed(given)
+    joined = texts.where("id is not null").join(runs, F.col("id") == F.col("doc"), "left").select("text", "rest", "runs")
+    joined = joined.union(texts.where("id is null").select("text", "rest", F.lit(None).cast(runs.schema["runs"].dataType)))
+
+    def run(batches):
+        none = np.zeros(0, np.int64)
+        for batch in batches:
+            lists = batch["runs"]
+            edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            first, n = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten()) if len(lists.flatten()) else (none, none)
+            made = []
+            for i, text in enumerate(unsqueeze(batch["text"])):
+                lo, hi = edges[i], edges[i + 1]
+                order = lo + np.argsort(first[lo:hi], kind="stable")
+                made.append(cut(text, first[order], n[order]))
+            rest = batch["rest"]
+            columns = [rest.field(k) for k in range(len(fields))]
+            for values, field in zip(zip(*made, strict=True), list(schema)[len(fields) :], strict=True):
+                columns.append(pa.array(values, ARROW[field.dataType.simpleString()]))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return joined.mapInArrow(run, schema)
+
+
+SPAN = "array<struct<start:bigint,end:bigint>>"
+ARROW = {
+    "bigint": pa.int64(), "binary": pa.binary(), "string": pa.string(), SPAN: pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
+}

@@ -2,69 +2,180 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm._hash import words
-from cairn.llm._repeats import Spec, repeated_windows, unsqueeze
+from cairn.llm._io import materialise, partitions
+from cairn.llm._repeats import ALONE, SPAN, VERDICT, Spec, classed, context_rows, cut_rows, judged, spans
+
+#: Bytes of suffixes in a group; longer prefixes split a group with more.
+GROUP_BYTES = 1 << 23
+#: Prefixes that are too frequent are told to all tasks up to this many (some 100 MB at most), else they are joined.
+BROADCAST_PREFIXES = 100_000
+#: Equal suffixes of one batch beyond this many are sent once.
+OFTEN = 8
+
+SUFFIX = "cls long, doc long, start long, at long, suffix string"
+SUFFIX_ARROW = pa.schema([*((c, pa.int64()) for c in ("cls", "doc", "start", "at")), ("suffix", pa.string())])
+
+
+class Suffixes:
+    """Suffixes of records as `length` words with one space between. Of a seed without another class one is enough."""
+
+    def __init__(self, length: int):
+        self.length, self.out, self.found = length, [], {}
+
+    def add(self, text: bytes, doc: int, records) -> None:
+        words = text.split()
+        flat = b" ".join(words)
+        edges = np.cumsum([0, *(len(w) + 1 for w in words)]).tolist()
+        for cls, _, start, count, kind in zip(*(x.tolist() for x in records), strict=True):
+            for at in range(1 if kind == ALONE else count):
+                suffix = flat[edges[start + at] : edges[start + at + self.length] - 1]
+                self.found.setdefault(suffix, []).append((cls, doc, start, at))
+
+    def rows(self):
+        for suffix, places in self.found.items():
+            least = min(p[1] for p in places) if len(places) > OFTEN else None
+            # Many equal suffixes of a batch: those of later documents are known as repeated and bear no text.
+            self.out += [(*p, suffix.decode() if least is None or p[1] == least else None) for p in places]
+        self.found = {}
+        for lo in range(0, len(self.out), 20_000):
+            columns = zip(zip(*self.out[lo : lo + 20_000], strict=True), SUFFIX_ARROW.types, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], schema=SUFFIX_ARROW)
+        self.out = []
+
+
+def prefix(words: int) -> Column:
+    return F.substring_index("suffix", " ", words)
+
+
+def prefixed(suffixes: DataFrame, length: int, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Adds `prefix`: the fewest words of 4, 8 or all (for length 13) that suffixes of at most `group_bytes` begin with.
+
+    The counts cover all suffixes. Only suffixes under prefixes that are too frequent are counted again by more words. A
+    group that is still too large holds one whole suffix, which its task reads as a stream.
+    """
+    steps = [k for k in (4, 8) if k < length]
+    rows, longer = suffixes, []
+    for k in steps:
+        size = F.sum(F.octet_length("suffix") + 32)
+        often = rows.where("suffix is not null").groupBy(prefix(k).alias(f"p{k}")).agg(size.alias("size")).where(F.col("size") > group_bytes)
+        often = materialise(often.select(f"p{k}"))
+        n = often.count()
+        if not n:
+            break
+        often = F.broadcast(often) if n <= BROADCAST_PREFIXES else often
+        longer.append((k, often))
+        rows = rows.join(often, prefix(k) == often[f"p{k}"], "left_semi")
+    for k, often in longer:
+        suffixes = suffixes.join(often, prefix(k) == often[f"p{k}"], "left")
+    if not longer:
+        return suffixes.withColumn("prefix", prefix(steps[0]) if steps else F.col("suffix"))
+    last = [*steps, length][len(longer)]
+    chosen = reduce(lambda rest, step: F.when(F.col(f"p{step[0]}").isNull(), prefix(step[0])).otherwise(rest), reversed(longer), prefix(last))
+    return suffixes.withColumn("prefix", chosen).drop(*(f"p{k}" for k, _ in longer))
+
+
+def common_words(before: list[str], after: list[str]) -> int:
+    """Words that two suffixes share from their start."""
+    n = 0
+    for x, y in zip(before, after, strict=True):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def depths(suffixes: list[str], length: int) -> list[int]:
+    """For sorted suffixes, the depth in words of the node that joins each to the one before; 0 for the first.
+
+    Neighbours that share neither all nor their first letters need no splitting.
+    """
+    out = [0] * len(suffixes)
+    for i in range(1, len(suffixes)):
+        one, two = suffixes[i - 1], suffixes[i]
+        out[i] = length if one == two else 0 if one[:1] != two[:1] else common_words(one.split(" "), two.split(" "))
+    return out
+
 
+def subtrees(length: int):
+    """Batches of suffixes in the order of (suffix, doc): each with whether an earlier document has it too.
+
+    A subtree of suffixes of `length` words is its sorted leaves and the depths of the nodes that join neighbours. The
+    nodes as deep as a window is long are the maximal repeats; a leaf under one repeats when the node's first leaf is
+    of a smaller document. The last leaf's node goes on into the next batch.
+    """
+
+    def run(batches):
+        last = least = None
+        for batch in batches:
+            suffixes, doc = batch["suffix"].to_pylist(), batch["doc"].to_numpy()
+            first = np.full(len(doc), doc[0] if len(doc) else 0)
+            depth = np.array(depths(suffixes, length))
+            if len(doc):
+                depth[0] = length if suffixes[0] == last else 0
+                node = np.maximum.accumulate(np.where(depth < length, np.arange(len(doc)), 0))
+                first = doc[node]
+                if depth[0] == length:
+                    first[: np.flatnonzero(np.append(depth < length, True))[0]] = least
+                last, least = suffixes[-1], int(first[-1])
+            columns = [batch["cls"], batch["doc"], batch["start"], batch["at"], pa.array((doc > first).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["cls", "doc", "start", "at", "n"])
+
+    return run
 
-def subtree_repeats(suffixes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether each suffix hangs below a node at full depth that an earlier document's suffix shares.
 
-    A subtree is kept as its sorted suffixes and the depths at which neighbours part (its internal nodes are the
-    intervals of those depths). The intervals as deep as a window is long are the maximal repeats; a leaf repeats
-    when its interval has a leaf of a smaller document.
+def tree_verdicts(suffixes: DataFrame, length: int, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Splits suffixes by prefix into groups, sorts each into a subtree, and says what repeats.
+
+    Whole prefixes go to as many partitions as hold `group_bytes` each on average.
     """
-    order = np.lexsort((doc, *suffixes.T[::-1]))
-    leaves, owner = suffixes[order], doc[order]
-    depth = (leaves[1:] == leaves[:-1]).cumprod(axis=1).sum(axis=1)
-    node = np.concatenate([[0], np.cumsum(depth < suffixes.shape[1])])
-    least = owner[np.searchsorted(node, node)]  # leaves of a node are in order of document
-    repeated = np.empty(len(doc), bool)
-    repeated[order] = owner > least
-    return repeated
+    size = suffixes.agg(F.sum(F.octet_length("suffix") + 32)).first()[0] or 0
+    parts = max(size // group_bytes + 1, partitions(suffixes.sparkSession))
+    given = prefixed(suffixes.where("suffix is not null"), length, group_bytes)
+    leaves = given.repartition(parts, "prefix").select("cls", "doc", "start", "at", "suffix").sortWithinPartitions("suffix", "doc")
+    known = suffixes.where("suffix is null").select("cls", "doc", "start", "at", F.lit(1).cast("long"))
+    found = materialise(leaves.mapInArrow(subtrees(length), VERDICT).union(known))
+    heads = found.where("at = 0").select("cls", "doc", "start", F.lit(0).cast("long"), F.lit(0).cast("long"))
+    return found.where("n > 0").union(heads)
 
 
 def remove_repeats(docs: DataFrame, length: int = 13, **spread) -> DataFrame:
     """All columns of `docs` but text, and n_words, spans (removed, as first word and end), kept (the rest, by one space).
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A word goes when a window of `length` words that covers it also starts
-    in a document of smaller doc_id; windows are judged on the input and don't cross documents. Suffixes are split by
-    the prefix they share (four words; the whole window where a prefix has very many), so each subtree fits a task.
-    Null text has no words. Rows without doc_id lose nothing and count for nothing. Rows that repeat a doc_id should
-    repeat its text; they get the same spans. Columns of docs named n_words, spans or kept are replaced. Empty tables
-    give none.
+    in a document of smaller doc_id; windows are judged on the input and don't cross documents. One text of each class
+    of equal records goes to the trees, where suffixes are compared word by word; equal records (by two 64-bit
+    fingerprints, of seed and text) follow it. Suffixes are split by prefixes of as many words as leave a group small.
+    Null text has no words. Rows without doc_id lose nothing and count for nothing. Rows that repeat a doc_id with its
+    text get the same spans; where the texts of an id differ, that of the least hash is the document and the other rows
+    lose nothing and count for nothing. Columns of docs named n_words, spans or kept are replaced. Empty tables give
+    none.
     `spread`: hot and hot_total of Spec.
     """
     docs = docs.drop("n_words", "spans", "kept")
-    repeated, packed = repeated_windows(docs, Spec(by_word=True, seed=4, length=length, within=False, **spread), subtree_repeats)
+    spec = Spec(by_word=True, seed=4, length=length, within=False, **spread)
+    given = judged(docs)
+    classes = classed(given, spec)
+    suffixes = materialise(context_rows(given, classes, lambda: Suffixes(length), SUFFIX))
+    found = spans(classes, tree_verdicts(suffixes, length), spec)
     fields = [f for f in docs.schema.fields if f.name != "text"]
-    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.StringType())])
-
-    def cut(found: pa.Table, texts: pa.Table) -> pa.Table:
-        doc, start, count = (found[c].to_numpy() for c in ("doc", "start", "count"))
-        order = np.lexsort((start, doc))
-        doc, start, end = doc[order], start[order], (start + count - 1 + length)[order]
-        spans, kept, sizes = [], [], []
-        for row, text in zip(texts["id"].to_pylist(), unsqueeze(texts["text"]), strict=True):
-            lo, hi = (0, 0) if row is None else (np.searchsorted(doc, row), np.searchsorted(doc, row, "right"))
-            data = np.frombuffer(text, np.uint8)
-            first, last, _ = words(data, np.array([0, len(data)]))
-            gone = np.zeros(len(first) + 1, np.int64)
-            np.add.at(gone, np.minimum(start[lo:hi], len(first)), 1)
-            np.add.at(gone, np.minimum(end[lo:hi], len(first)), -1)
-            gone = np.cumsum(gone)[:-1] > 0
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
-            spans.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
-            kept.append(b" ".join([text[a:b] for a, b in zip(first[~gone].tolist(), last[~gone].tolist(), strict=True)]).decode())
-            sizes.append(len(first))
-        rest = texts["rest"].combine_chunks()
-        columns = {f.name: rest.field(i) for i, f in enumerate(fields)} if len(texts) else {f.name: [] for f in fields}
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table([*columns.values(), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string())], names=schema.names)
-
-    return repeated.groupBy("part").cogroup(packed.groupBy("part")).applyInArrow(cut, schema)
+    kind = T._parse_datatype_string(f"n_words long, spans {SPAN}, kept string")
+
+    def cut(text, first, n):
+        words = text.split()
+        gone = np.zeros(len(words) + 1, np.int64)
+        np.add.at(gone, first, 1)
+        np.add.at(gone, np.minimum(first + n - 1 + length, len(words)), -1)
+        gone = np.cumsum(gone)[:-1] > 0
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
+        kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if len(edges) else b" ".join(words)
+        return len(words), [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)], kept.decode()
+
+    return cut_rows(given, found, cut, fields, T.StructType([*fields, *kind.fields]))

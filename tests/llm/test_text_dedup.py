@@ -28,17 +28,79 @@ def test_suffix_dedup_keeps_other_columns_and_characters(docs, texts):
     assert all(r.t is not None and "�" not in r.t for r in rows.select(F.decode("kept", "UTF-8").alias("t")).collect())
 
 
-def test_index_family_levels_grow_geometrically():
-    family, rng, seen = suffix_dedup.IndexFamily(), np.random.default_rng(1), set()
-    for _ in range(9):
-        batch = rng.integers(97, 99, (50, 6)).astype(np.uint8).view("S6").ravel()
-        expected = []
-        for s in batch.tolist():
-            expected.append(s in seen)
-            seen.add(s)
-        assert family.add(batch).tolist() == expected
-    ranks = [r for r, _ in family.levels]
-    assert ranks == sorted(set(ranks), reverse=True) and sum(len(a) for _, a in family.levels) == len(seen)
+def test_index_family_levels_grow_geometrically(spark):
+    """Seven batches of random texts over two letters: what is known, and that no two levels are of one size."""
+    family, rng, seen = suffix_dedup.IndexFamily(12), np.random.default_rng(1), set()
+    for k in range(7):
+        rows, expected = [], set()
+        for i in range(20):
+            text = rng.integers(97, 99, 60).astype(np.uint8).tobytes()
+            rows.append((i % 3, 7, 100 * k + i, 0, 0, 49, bytearray(b"%d" % (i % 3) + text[1:])))
+            for at in range(49):
+                if (window := (i % 3, bytes(rows[-1][-1][at : at + 12]))) in seen:
+                    expected.add((100 * k + i, at))
+                seen.add(window)
+        batch = spark.createDataFrame(rows, "part long, cls long, doc long, start long, at long, count long, text binary")
+        said = family.add(batch).collect()
+        assert {(r.doc, p) for r in said for p in range(r["at"], r["at"] + r.n)} == expected
+        assert sum(r.n == 0 for r in said) == 20
+        sizes = [n.bit_length() for n, _ in family.levels]
+        assert sizes == sorted(set(sizes), reverse=True)
+    assert sum(n for n, _ in family.levels) == len(seen)
+    assert sum(r.n for _, level in family.levels for r in level.collect()) == len(seen)
+
+
+def test_prefixes_grow_until_groups_are_small(spark):
+    words = [" ".join([*("a b c d".split()), *(f"{i % 3}" for _ in range(4)), *(f"{i}" for _ in range(5))]) for i in range(60)]
+    rows = spark.createDataFrame([(1, i, 0, 0, w) for i, w in enumerate([*words, *["z " * 12 + "z"] * 50])], substring_dedup.SUFFIX)
+    found = substring_dedup.prefixed(rows, 13, 800).withColumn("size", F.octet_length("suffix") + 32)
+    groups = {r.prefix: (r.n, r.size) for r in found.groupBy("prefix").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
+    assert sum(n for n, _ in groups.values()) == 110
+    assert all(size <= 800 or len(p.split()) == 13 for p, (_, size) in groups.items())
+    assert {len(p.split()) for p in groups} == {13}
+    few = substring_dedup.prefixed(rows.where("doc < 60"), 13, 2000).select("prefix").distinct().collect()
+    assert {len(r.prefix.split()) for r in few} == {8}
+    got = {(r.doc, r.n) for r in substring_dedup.tree_verdicts(rows, 13, 800).where("n > 0").collect()}
+    assert got == {(i, 1) for i in range(61, 110)}
+
+
+#: The Thue-Morse word on a and b, and its complement: polynomials modulo 2^64 can't tell them apart.
+TWINS = [tuple("".join("ab"[(bin(i).count("1") + turn) % 2] for i in range(n)) for turn in (0, 1)) for n in (1024, 2048)]
+
+
+@pytest.mark.parametrize("twins", TWINS)
+def test_long_words_that_polynomials_confuse(spark, twins):
+    prose = " ".join(f"w{i}" for i in range(12))
+    rows = spark.createDataFrame([(i, f"{prose} {w}") for i, w in enumerate(twins)], "doc_id long, text string")
+    assert [len(r.spans) for r in substring_dedup.remove_repeats(rows).collect()] == [0, 0]
+    alone = spark.createDataFrame(list(enumerate(twins)), "doc_id long, text string")
+    assert {r.component_id for r in ngram_join.near_duplicates(alone).collect()} == {0, 1}
+
+
+def test_rows_of_one_id_with_other_texts(spark):
+    text = "".join(map(chr, np.random.default_rng(5).integers(97, 123, 300)))
+    prose = " ".join(f"w{i}" for i in range(40))
+    rows = spark.createDataFrame([(1, text), (2, text), (2, "short"), (3, prose), (4, prose), (4, "x")], "doc_id long, text string")
+    for operator in (suffix_dedup.remove_repeats, substring_dedup.remove_repeats):
+        got = operator(rows).select("doc_id", F.col("kept").cast("string").alias("kept"), "spans").collect()
+        assert len(got) == 6
+        assert all(s.end - s.start <= len(text) for r in got for s in r.spans)
+        assert {r.kept for r in got} >= {"short", "x", text, prose}
+
+
+@pytest.mark.parametrize("operator", [suffix_dedup.remove_repeats, substring_dedup.remove_repeats, ngram_join.near_duplicates])
+def test_long_texts(spark, operator):
+    """Texts of more than 2 MB: one without a space, and one twice with another end."""
+    rng = np.random.default_rng(2)
+    letters = "".join(map(chr, rng.integers(97, 123, 2_300_000)))
+    prose = " ".join(map(str, rng.integers(0, 10**6, 320_000)))
+    rows = spark.createDataFrame([(1, letters), (2, prose), (3, prose + " end"), (4, "short")], "doc_id long, text string")
+    got = {r.doc_id: r for r in operator(rows).collect()}
+    if operator is ngram_join.near_duplicates:
+        assert {d: r.component_id for d, r in got.items()} == {1: 1, 2: 2, 3: 2, 4: 4}
+    else:
+        assert bytes(got[3].kept, "ascii") == b"end" if operator is substring_dedup.remove_repeats else bytes(got[3].kept) == b" end"
+        assert [len(got[d].spans) for d in (1, 2, 4)] == [0, 0, 0]
 
 
 @pytest.mark.parametrize("spread", [{}, {"hot": 1, "hot_total": 1}])
