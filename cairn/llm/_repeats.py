@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,10 @@ NORMAL, SPREAD, MARKER, FOLLOWER, ALONE, SHARED, HOT = range(7)
 #: Bit of a record that stands for followers of its batch.
 LEADS = 8
 SEGMENT = 1 << 20
+#: Records whose texts a task holds before it gives them out.
+HELD = 20_000
+#: Packed bytes of the documents that a task cuts at a time.
+CUT_BYTES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -234,7 +239,8 @@ def judged(docs: DataFrame) -> DataFrame:
 def classed(given: DataFrame, spec: Spec) -> DataFrame:
     """Classes and followers of all rows with id and text, written once."""
     records = given.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text").mapInArrow(to_records(spec), RECORDS)
-    spread = F.when(F.col("kind") % LEADS == SPREAD, F.xxhash64("seed", "text")).otherwise(F.col("seed"))
+    # Followers only pass; a spread seed's records meet by class.
+    spread = F.when(F.col("kind") % LEADS == SPREAD, F.xxhash64("seed", "text")).when(F.col("kind") % 16 == FOLLOWER, F.xxhash64("doc", "start")).otherwise(F.col("seed"))
     records = records.repartition(spread).sortWithinPartitions("seed", "text", "doc", "start")
     return materialise(records.mapInArrow(settled(spec), CLASSED))
 
@@ -274,14 +280,18 @@ def context_rows(given: DataFrame, classes: DataFrame, cut, schema: str) -> Data
     rows = texts.join(wanted, texts["id"] == wanted["doc"])
 
     def run(batches):
-        made = cut()
+        made, held = cut(), 0
         for batch in batches:
             lists = batch["records"]
             edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             fields = [x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten()]
             for i, doc in enumerate(batch["id"].to_pylist()):
                 made.add(unsqueeze(batch["text"].slice(i, 1))[0], doc, [x[edges[i] : edges[i + 1]] for x in fields])
-            yield from made.rows()
+                held += edges[i + 1] - edges[i]
+                if held > HELD:
+                    yield from made.rows()
+                    held = 0
+        yield from made.rows()
 
     return rows.select("id", "text", "records").mapInArrow(run, schema)
 
@@ -319,20 +329,23 @@ def cut_rows(given: DataFrame, found: DataFrame, cut, fields, schema) -> DataFra
 
     def run(batches):
         none = np.zeros(0, np.int64)
-        for batch in batches:
-            lists = batch["runs"]
-            edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            first, n = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten()) if len(lists.flatten()) else (none, none)
-            made = []
-            for i, text in enumerate(unsqueeze(batch["text"])):
-                lo, hi = edges[i], edges[i + 1]
-                order = lo + np.argsort(first[lo:hi], kind="stable")
-                made.append(cut(text, first[order], n[order]))
-            rest = batch["rest"]
-            columns = [rest.field(k) for k in range(len(fields))]
-            for values, field in zip(zip(*made, strict=True), list(schema)[len(fields) :], strict=True):
-                columns.append(pa.array(values, ARROW[field.dataType.simpleString()]))
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        for whole in batches:
+            sizes = pa.compute.binary_length(whole["text"].fill_null(b"")).to_numpy(zero_copy_only=False)
+            for one, end in row_chunks(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), CUT_BYTES):
+                batch = whole.slice(one, end - one)
+                lists = batch["runs"]
+                edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                first, n = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten()) if len(lists.flatten()) else (none, none)
+                made = []
+                for i, text in enumerate(unsqueeze(batch["text"])):
+                    lo, hi = edges[i], edges[i + 1]
+                    order = lo + np.argsort(first[lo:hi], kind="stable")
+                    made.append(cut(text, first[order], n[order]))
+                rest = batch["rest"]
+                columns = [rest.field(k) for k in range(len(fields))]
+                for values, field in zip(zip(*made, strict=True), list(schema)[len(fields) :], strict=True):
+                    columns.append(pa.array(values, ARROW[field.dataType.simpleString()]))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return joined.mapInArrow(run, schema)
 

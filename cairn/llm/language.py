@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm._hash import SpanHash, mix
+from cairn.llm._hash import mix, word_hashes
 from cairn.llm._io import row_chunks, text_buffer
 
 UNDETERMINED = "und"
-#: Letter runs longer than this are scored in parts of it.
-LONGEST_WORD = 32
 MARK = 0x2581
+#: In training (not in scoring) letter runs are counted in parts of this many letters.
+TRAINED_RUN = 128
+#: Sums are rescaled every so many letters.
+RESCALE = 8
 
 
 @lru_cache(maxsize=1)
@@ -27,19 +29,36 @@ def letters() -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str, longest: int) -> list[str]:
+def vocabulary(path: str) -> list[str]:
     """The lower-case letter pieces (with or without the word mark) of a sentencepiece model, by id."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return list(dict.fromkeys(p for p in pieces if len(p) <= longest and p.removeprefix("▁").isalpha() and p == p.lower()))
+    return list(dict.fromkeys(p for p in pieces if p.removeprefix("▁").isalpha() and p == p.lower()))
 
 
 def spell(word: str) -> np.ndarray:
     return np.frombuffer(word.encode("utf-32-le"), "<u4")
 
 
+def letter_runs(texts: list[str]):
+    """Code points of the lower-cased texts end to end, the texts' offsets, and starts and ends of the runs of letters."""
+    lowered = [t.lower() for t in texts]
+    codes = spell("".join(lowered))
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in lowered])]).astype(np.int64)
+    inside = letters()[codes]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edges = offsets[:-1][offsets[:-1] < len(codes)]
+    first[edges] = inside[edges]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    edges = offsets[1:][offsets[1:] > 0] - 1
+    last[edges] = inside[edges]
+    return codes, offsets, np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 @dataclass
 class Pieces:
     """Looks pieces up by fingerprint. The last id is that of a letter outside the vocabulary."""
@@ -49,7 +68,12 @@ class Pieces:
     def __post_init__(self):
         self.longest = max(map(len, self.pieces), default=1)
         self.unknown = len(self.pieces)
-        self.index = pd.Index(np.array([self.fingerprint(spell(p)) for p in self.pieces], np.uint64))
+        sizes = np.array([len(p) for p in self.pieces])
+        prints = np.array([self.fingerprint(spell(p)) for p in self.pieces], np.uint64)
+        self.index = []  # for each length: fingerprints and ids
+        for n in range(1, self.longest + 1):
+            own = np.flatnonzero(sizes == n)
+            self.index.append((pd.Index(prints[own]), np.append(own, -1)))
 
     @staticmethod
     def fingerprint(codes) -> np.uint64:
@@ -67,35 +91,72 @@ class Pieces:
 
     def ids(self, grid: np.ndarray) -> list[np.ndarray]:
         """For each length, ids of the substrings by start; -1 where there is none."""
-        found = [self.index.get_indexer(h.ravel()).reshape(h.shape) for h in self.grow(grid, self.longest)]
+        found = []
+        for h, (index, own) in zip(self.grow(grid, self.longest), self.index, strict=False):
+            found.append(own[index.get_indexer(h.ravel())].reshape(h.shape))
         found[0][found[0] < 0] = self.unknown
         return found
 
 
-def forward(ids: list[np.ndarray], probs: np.ndarray) -> np.ndarray:
-    """Sums over all segmentations of each prefix: (words, letters + 1, languages). probs ends with a row of zeros."""
+def steps(ids: list[np.ndarray]) -> list[list[int]]:
+    """For each end, the lengths of pieces that some word has there."""
+    width = ids[0].shape[1]
+    out = [[] for _ in range(width + 1)]
+    for size, own in enumerate(ids, 1):
+        for end in (np.flatnonzero((own >= 0).any(axis=0)) + size).tolist():
+            out[end].append(size)
+    return out
+
+
+def forward_logs(ids: list[np.ndarray], probs: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """log of the sum over all segmentations of each word's first `ends` letters: (words, languages).
+
+    probs ends with a row of zeros. Only as many sums as the longest piece has letters are held; they are divided by
+    their maximum from time to time, whose logs add up, so a run of any length stays in range.
+    """
     n, width = ids[0].shape
-    sums = np.zeros((n, width + 1, probs.shape[1]))
-    sums[:, 0] = 1
+    held = [np.ones((n, probs.shape[1]))]
+    logs, out = np.zeros_like(held[0]), np.zeros_like(held[0])
+    of = np.argsort(ends, kind="stable")
+    edges = np.searchsorted(ends[of], np.arange(width + 2))
+    sizes = steps(ids)
     for end in range(1, width + 1):
-        for size in range(1, min(len(ids), end) + 1):
-            sums[:, end] += sums[:, end - size] * probs[ids[size - 1][:, end - size]]
-    return sums
+        total = np.zeros_like(logs)
+        for size in sizes[end]:
+            total += held[-size] * probs[ids[size - 1][:, end - size]]
+        held = [*held[1 - len(ids) :], total] if len(ids) > 1 else [total]
+        if edges[end] < edges[end + 1]:
+            done = of[edges[end] : edges[end + 1]]
+            out[done] = np.log(total[done]) + logs[done]
+        if end % RESCALE == 0:
+            top = np.max(held, axis=0)
+            held = [h / top for h in held]
+            logs += np.log(top)
+    return out
 
 
 def expected_counts(ids, probs, weights) -> np.ndarray:
-    """Expected piece counts of the words, `weights` (words, languages) times, under `probs`."""
-    ahead = forward(ids, probs)
+    """Expected piece counts of the words, `weights` (words, languages) times, under `probs`.
+
+    All sums are tilted by a factor a letter that makes the word's own sum 1; counts don't depend on it.
+    """
     n, width = ids[0].shape
+    tilt = np.exp(-forward_logs(ids, probs, np.full(n, width)) / width)
+    sizes = steps(ids)
+    ahead = np.zeros((n, width + 1, probs.shape[1]))
+    ahead[:, 0] = 1
+    for end in range(1, width + 1):
+        for size in sizes[end]:
+            ahead[:, end] += ahead[:, end - size] * probs[ids[size - 1][:, end - size]] * tilt**size
     behind = np.zeros_like(ahead)
-    behind[:, width] = weights / np.maximum(ahead[:, width], 1e-300)
+    behind[:, width] = weights / ahead[:, width]
     counts = np.zeros_like(probs)
-    for start in range(width - 1, -1, -1):
-        for size in range(1, min(len(ids), width - start) + 1):
-            own = ids[size - 1][:, start]
-            step = probs[own] * behind[:, start + size]
-            behind[:, start] += step
-            np.add.at(counts, own, ahead[:, start] * step)
+    for end in range(width, 0, -1):
+        for size in sizes[end]:
+            own = ids[size - 1][:, end - size]
+            step = probs[own] * tilt**size * behind[:, end]
+            behind[:, end - size] += step
+            np.add.at(counts, own, ahead[:, end - size] * step)
     return counts
 
 
@@ -106,44 +167,32 @@ class LanguageModel:
     probs: np.ndarray  # (pieces + unknown + a row of zeros, languages)
     priors: np.ndarray
 
-    def word_logs(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log of the summed probability of each word codes[start:end], by language."""
+    def word_logs(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, cells: int = 1 << 17) -> np.ndarray:
+        """log of the summed probability of each run codes[start:end], by language; runs of like length together."""
         out = np.zeros((len(starts), len(self.languages)))
         sizes = ends - starts
-        for size in np.unique(sizes):
-            rows = np.flatnonzero(sizes == size)
-            for part in np.array_split(rows, -(-len(rows) // 4096)):
-                grid = np.full((len(part), size + 1), MARK, np.int64)
-                grid[:, 1:] = codes[starts[part, None] + np.arange(size)]
-                out[part] = np.log(np.maximum(forward(self.pieces.ids(grid), self.probs)[:, -1], 1e-300))
+        order, lo = np.argsort(sizes, kind="stable"), 0
+        while lo < len(order):
+            widest = np.maximum(sizes[order[lo:]], 1)
+            fits = (widest <= max(8, widest[0] * 1.25)) & (widest * np.arange(1, len(widest) + 1) <= cells)
+            part = order[lo : lo + max(1, int(np.argmin(fits)) if not fits.all() else len(fits))]
+            width = int(sizes[part[-1]])
+            grid = np.full((len(part), width + 1), MARK, np.int64)
+            grid[:, 1:] = codes[np.minimum(starts[part, None] + np.arange(width), len(codes) - 1)]
+            out[part] = forward_logs(self.pieces.ids(grid), self.probs, sizes[part] + 1)
+            lo += len(part)
         return out
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        lowered = [t.lower() for t in texts.fill_null("").to_pylist()]
-        codes = spell("".join(lowered))
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in lowered])]).astype(np.int64)
-        inside = letters()[codes]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        edges = offsets[:-1][offsets[:-1] < len(codes)]
-        first[edges] = inside[edges]
-        starts = np.flatnonzero(first)
-        last = inside.copy()
-        last[:-1] &= ~inside[1:]
-        edges = offsets[1:][offsets[1:] > 0] - 1
-        last[edges] = inside[edges]
-        ends = np.flatnonzero(last) + 1
-        parts = -(-(ends - starts) // LONGEST_WORD)
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts = np.repeat(starts, parts) + nth * LONGEST_WORD
-        ends = np.minimum(np.repeat(ends, parts), starts + LONGEST_WORD)
-        logs = np.zeros((len(lowered), len(self.languages)))
+        codes, offsets, starts, ends = letter_runs(texts.fill_null("").to_pylist())
+        n = len(offsets) - 1
+        logs = np.zeros((n, len(self.languages)))
         if len(starts):
-            _, one, kind = np.unique(SpanHash(mix(codes.astype(np.uint64)))(starts, ends), return_index=True, return_inverse=True)
+            _, one, kind = np.unique(run_names(codes, starts, ends), return_index=True, return_inverse=True)
             own = self.word_logs(codes, starts[one], ends[one])[kind]
             doc = np.searchsorted(offsets, starts, "right") - 1
             for k in range(len(self.languages)):
-                logs[:, k] = np.bincount(doc, own[:, k], len(lowered))
+                logs[:, k] = np.bincount(doc, own[:, k], n)
         seen = np.diff(np.searchsorted(starts, offsets)) > 0
         logs += self.priors
         posterior = np.exp(logs - logs.max(axis=1, keepdims=True))
@@ -153,55 +202,80 @@ class LanguageModel:
         return names, np.where(seen, posterior[np.arange(len(best)), best], 0.0)
 
 
-def train(
-    labelled: DataFrame, vocabulary_path: str, max_docs: int = 4000, max_word_types: int = 60_000, rounds: int = 3, longest_piece: int = 6
-) -> LanguageModel | None:
+def run_names(codes, starts, ends) -> np.ndarray:
+    """A hash of each run of code points."""
+    data = codes.astype("<u4").view(np.uint8)
+    return word_hashes(data, starts * 4, ends * 4)
+
+
+def sample_bound(rows: int, wanted: int) -> int:
+    """Of hashes in 0..2^62-1, those below this number are a sample of `wanted` of `rows` rows on average; all if fewer."""
+    return (1 << 62) if rows <= wanted else max(1, (wanted << 62) // rows)
+
+
+def train(labelled: DataFrame, vocabulary_path: str, docs_a_language: int = 1000, rounds: int = 3) -> LanguageModel | None:
     """Fits piece probabilities by expectation maximisation; None without labelled words.
 
-    Bounded: a share of the labelled documents, by a hash of their id, that is `max_docs` of them on average; of their
-    whole texts the `max_word_types` most frequent (language, word) pairs reach the driver. `labelled`: doc_id, text, lang, none of them null.
+    Bounded by rows: of each language a share of its documents, by a hash of id and text, that is `docs_a_language` of
+    them on average (all, if fewer). All words of their whole texts are learned from. Pieces are all lower-case letter
+    pieces of the vocabulary, and the sample's letters. `labelled`: doc_id, text, lang; rows without text or lang don't
+    count. Priors are the languages' shares of words in the sample, each weighed by its share of documents.
     """
 
     def count(batches):
         for batch in batches:
-            pairs = [
-                (lang, word[lo : lo + LONGEST_WORD])
-                for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True)
-                for word in "".join(c if c.isalpha() else " " for c in text.lower()).split()
-                for lo in range(0, len(word), LONGEST_WORD)
-            ]
-            yield from pa.Table.from_pandas(
-                pd.DataFrame(pairs, columns=["lang", "word"], dtype=str).value_counts().rename("n").reset_index(), preserve_index=False
-            ).cast(pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])).to_batches()
-
-    share = int(min(1.0, max_docs / max(labelled.count(), 1)) * 1_000_000)
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long")
-    counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "lang", "word").limit(max_word_types).toPandas()
-    if rows.empty:
+            codes, offsets, starts, ends = letter_runs(batch["text"].to_pylist())
+            parts = -(-(ends - starts) // TRAINED_RUN)
+            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            starts = np.repeat(starts, parts) + nth * TRAINED_RUN
+            ends = np.minimum(np.repeat(ends, parts), starts + TRAINED_RUN)
+            doc = np.searchsorted(offsets, starts, "right") - 1
+            _, one, kind = np.unique(run_names(codes, starts, ends), return_index=True, return_inverse=True) if len(starts) else (0, starts, starts)
+            lang, names = np.unique(np.array(batch["lang"].to_pylist(), object)[doc].astype(str), return_inverse=True) if len(starts) else (starts, starts)
+            pair, n = np.unique(names * len(one) + kind, return_counts=True)
+            words = [codes[starts[i] : ends[i]].tobytes().decode("utf-32-le") for i in one[pair % max(len(one), 1)]]
+            yield pa.record_batch(
+                [pa.array(lang[pair // max(len(one), 1)].tolist(), pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"]
+            )
+
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not rows:
+        return None
+    bounds = F.create_map(*(F.lit(x) for lang, n in sorted(rows.items()) for x in (lang, sample_bound(n, docs_a_language))))
+    drawn = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
+    counted = labelled.where(drawn < F.element_at(bounds, F.col("lang"))).select("lang", "text").mapInArrow(count, "lang string, word string, n long")
+    counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+    if counted.empty:
         return None
-    languages = sorted(rows["lang"].unique())
-    table = rows.pivot_table(index="word", columns="lang", values="n", fill_value=0)[languages]
+    languages = sorted(counted["lang"].unique())
+    table = counted.pivot_table(index="word", columns="lang", values="n", fill_value=0)[languages]
+    weights = table.to_numpy(float)
     alphabet = sorted({c for w in table.index for c in w})
-    pieces = Pieces(list(dict.fromkeys([*vocabulary(vocabulary_path, longest_piece), *alphabet, "▁"])))
+    pieces = Pieces(list(dict.fromkeys([*vocabulary(vocabulary_path), *alphabet, "▁"])))
     spelled = [spell("▁" + w).astype(np.int64) for w in table.index]
     sizes = np.array([len(w) for w in spelled])
-    groups = [(np.flatnonzero(sizes == n), pieces.ids(np.stack([spelled[i] for i in np.flatnonzero(sizes == n)]))) for n in np.unique(sizes)]
+    groups = []
+    for n in np.unique(sizes):
+        own = np.flatnonzero(sizes == n)
+        for part in np.array_split(own, -(-len(own) // 4096)):
+            groups.append((part, pieces.ids(np.stack([spelled[i] for i in part]))))
     probs = np.full((pieces.unknown + 2, len(languages)), 1 / (pieces.unknown + 1))
     probs[-1] = 0
     for _ in range(rounds):
-        counts = sum(expected_counts(ids, probs, table.to_numpy(float)[rows]) for rows, ids in groups) + 0.01
+        counts = sum(expected_counts(ids, probs, weights[part]) for part, ids in groups) + 0.01
         counts[-1] = 0
         probs = counts / counts.sum(axis=0)
-    share = table.to_numpy(float).sum(axis=0)
+    whole = np.array([rows[k] for k in languages], float)
+    share = weights.sum(axis=0) * whole / np.minimum(whole, docs_a_language)
     return LanguageModel(languages, pieces, probs, np.log(share / share.sum()))
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """Replaces or adds lang_pred and score; all other columns of `docs` stay.
 
-    Only the text is read. Null texts and texts without a letter give `und` and score 0, as do all texts without a
+    Only the text is read, all of it; every run of letters counts with the sum over all its segmentations, however long
+    it is. Null texts and texts without a letter give `und` and score 0, as do all texts without a
     model. Ties go to the language first by code point. The score is the posterior of the language named. Rows that
     repeat get equal results; an empty table gives none.
     """

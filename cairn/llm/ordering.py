@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
 import numpy as np
@@ -14,6 +16,8 @@ from cairn.llm._hash import mix
 from cairn.llm._io import materialise
 from cairn.llm.packing import encoder
 
+MANIFEST = "manifest.json"
+
 
 def feistel(index: np.ndarray, size: int, key: int, rounds: int = 4) -> np.ndarray:
     """A keyed permutation of 0..size-1: Feistel rounds over the next even power of two, walked until inside."""
@@ -33,8 +37,12 @@ def feistel(index: np.ndarray, size: int, key: int, rounds: int = 4) -> np.ndarr
 def token_sequences(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 50256) -> DataFrame:
     """doc_id, piece, n_ids, ids: each document's ids and `end_id`, cut into pieces of `length` ids (16 bits each).
 
-    The last piece is filled up with `end_id`; n_ids counts the others. Null text gives a piece of `end_id` alone.
+    The last piece is filled up with `end_id`; n_ids counts the others. Null and empty texts give a piece of `end_id`
+    alone; null ids stay null, rows that repeat an id give pieces of their own, an empty table none, and columns but
+    doc_id and text aren't read. An id beyond 16 bits is an error.
     """
+    if end_id >= 1 << 16:
+        raise ValueError("ids are written in 16 bits")
 
     def cut(batches):
         encode = encoder(vocabulary)
@@ -42,6 +50,8 @@ def token_sequences(docs: DataFrame, vocabulary: str, length: int = 1024, end_id
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 ids = np.append(encode([text or ""])[0], np.uint32(end_id))
+                if ids.max() >= 1 << 16:
+                    raise ValueError("ids are written in 16 bits")
                 full = np.full(-(-len(ids) // length) * length, end_id, "<u2")
                 full[: len(ids)] = ids
                 raw = full.tobytes()
@@ -55,21 +65,24 @@ def token_sequences(docs: DataFrame, vocabulary: str, length: int = 1024, end_id
 
 
 def training_order(sequences: DataFrame, key: int = 17, per_shard: int = 4096) -> DataFrame:
-    """Adds slot, shard and place (bytes from the shard's start) to `sequences` (ids of one size, and any columns).
-
-    The sequences are written once; a row's number is its place in its file, after the rows of the files before, so
-    nothing is sorted or shuffled for it and only one count a file reaches the driver. The keyed permutation turns
-    numbers into slots. Rows come back range-partitioned by whole shards and sorted by slot: a reader of any range of
-    slots reads on, and write_shards writes the partitions as they are.
-    The same input, layout and key give the same order. Equal rows get slots of their own. An empty table gives none.
-    Columns of sequences named slot, shard or place are replaced.
+    """Adds slot, shard and place (bytes from the shard's start) to `sequences` (doc_id, piece, ids of one size, any others).
+
+    Sequences are sorted by (doc_id, piece, hash of the ids) into ranges and written once; a row's number is its place
+    in its file, after the rows of the files before. So numbers follow the data, not files or partitions, and only one
+    count a range reaches the driver. The keyed permutation turns numbers into slots. Rows come back range-partitioned
+    by whole shards and sorted by slot: a reader of any range of slots reads on, and write_shards writes the partitions
+    as they are.
+    Null ids come first. Rows that agree in the three are interchangeable and get slots of their own. An empty table
+    gives none. Columns of sequences named slot, shard or place are replaced.
     """
     sequences = sequences.drop("slot", "shard", "place")
-    rows = materialise(sequences).select("*", F.col("_metadata.file_name").alias("file_"), F.col("_metadata.row_index").alias("row_"))
+    by = [F.col("doc_id").asc_nulls_first(), F.col("piece").asc_nulls_first(), F.xxhash64("ids").asc_nulls_first()]
+    rows = materialise(sequences.repartitionByRange(*by).sortWithinPartitions(*by))
+    rows = rows.select("*", F.col("_metadata.file_name").alias("file_"), F.col("_metadata.row_index").alias("row_"))
     counts = {r["file_"]: r["count"] for r in rows.groupBy("file_").count().collect()}
     size, before = 0, {}
-    for name in sorted(counts):
-        before[name] = size
+    for name in sorted(counts, key=lambda name: [int(x) for x in re.findall(r"\d+", re.sub(r"-[0-9a-f]{8}(-[0-9a-f]+)+", "", name))]):
+        before[name] = size  # files are named by the number of their range
         size += counts[name]
 
     @F.pandas_udf("long")
@@ -81,27 +94,33 @@ def training_order(sequences: DataFrame, key: int = 17, per_shard: int = 4096) -
     return placed.select(*sequences.columns, "slot", "shard", "place").repartitionByRange("shard").sortWithinPartitions("slot")
 
 
-def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
-    """Writes each shard as one file of fixed-stride rows in slot order; returns shard, file, rows, stride.
+def write_shards(ordered: DataFrame, folder: str, per_shard: int = 4096) -> dict:
+    """Writes each shard as one file of fixed-stride rows in slot order, and a manifest, which is returned: per_shard, rows, stride.
 
     `ordered` is as training_order returns it: each shard lies whole in one partition, by slot; other rows are an error.
     `folder` is a URI that executors reach (file:, hdfs:, s3:, ...). A file is written under another name and moved
-    when whole, so a task that runs twice leaves one file.
+    when whole, so a task that runs twice leaves one file; a run that was cut short goes on where the folder has its
+    shards already. An empty table gives a manifest of no rows.
     """
 
     def write(batches):
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
-        shard = out = draft = None
+        shard = out = draft = held = None
         rows = stride = slot = 0
 
         def finish() -> pa.RecordBatch:
-            out.close()
-            name = f"shard-{shard:08d}.bin"
-            store.move(draft, f"{root}/{name}")
-            columns = [pa.array([shard]), pa.array([name]), pa.array([rows]), pa.array([stride])]
-            return pa.RecordBatch.from_arrays(columns, names=["shard", "file", "rows", "stride"])
+            if out is None:
+                if held != rows * stride:
+                    raise ValueError(f"shard {shard} is there already with other rows")
+            else:
+                out.close()
+                store.move(draft, name(shard))
+            return pa.record_batch({"shard": [shard], "rows": [rows], "stride": [stride]})
+
+        def name(shard) -> str:
+            return f"{root}/shard-{shard:08d}.bin"
 
         try:
             for batch in batches:
@@ -110,33 +129,64 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
                         if shard is not None:
                             yield finish()
                         store.create_dir(root, recursive=True)
-                        shard, rows, stride, slot, draft = number, 0, len(ids), at, f"{root}/.{uuid.uuid4().hex}"
-                        out = store.open_output_stream(draft)
+                        shard, rows, stride, slot, out = number, 0, len(ids), at, None
+                        info = store.get_file_info(name(shard))
+                        held = info.size if info.type == fs.FileType.File else None
+                        if held is None:
+                            draft = f"{root}/.{uuid.uuid4().hex}"
+                            out = store.open_output_stream(draft)
                     if at != slot + rows or place != rows * stride or len(ids) != stride:
                         raise ValueError(f"slot {at} isn't next in shard {shard}: rows must come as training_order returns them")
-                    out.write(ids)
+                    if out is not None:
+                        out.write(ids)
                     rows += 1
             if shard is not None:
                 yield finish()
         finally:
             if out is not None and not out.closed:
                 out.close()
+                store.delete_file(draft)
+
+    written = ordered.select("shard", "slot", "place", "ids").mapInArrow(write, "shard long, rows long, stride long")
+    n, rows, last, least, most = written.agg(F.count("*"), F.sum("rows"), F.max("shard"), F.min("stride"), F.max("stride")).first()
+    if n and (last + 1 != n or least != most or -(-rows // per_shard) != n):
+        raise ValueError("shards are missing, or their rows differ in size")
+    manifest = {"per_shard": per_shard, "rows": rows or 0, "stride": most or 0}
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/{MANIFEST}") as out:
+        out.write(json.dumps(manifest).encode())
+    return manifest
+
+
+def read_shards(spark: SparkSession, folder: str, from_slot: int = 0, rows_a_read: int = 512) -> DataFrame:
+    """slot, ids from a slot on, as the manifest describes the folder: earlier shards aren't opened, and the first one is
+    read from the slot's place on. A task reads a shard, some rows at a time."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    with store.open_input_stream(f"{root}/{MANIFEST}") as file:
+        manifest = json.loads(file.read())
+    per_shard, rows, stride = (manifest[k] for k in ("per_shard", "rows", "stride"))
+    first, shards = from_slot // per_shard, -(-rows // per_shard)
+
+    def read(batches):
+        from pyarrow import fs
 
-    return ordered.select("shard", "slot", "place", "ids").mapInArrow(write, "shard long, file string, rows long, stride long")
-
-
-def read_shards(spark: SparkSession, folder: str, stride: int, per_shard: int = 4096, from_slot: int = 0) -> DataFrame:
-    """slot, ids from a slot on: earlier shards aren't opened, earlier rows of the first one are skipped."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder)
-    shard = F.regexp_extract(F.col("path"), r"shard-(\d+)\.bin$", 1).cast("long")
-    files = files.select(shard.alias("shard"), "content").where(shard >= from_slot // per_shard)
-
-    def split(batches):
+        store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for number, content in zip(batch["shard"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                n = len(content) // stride
-                slots = number * per_shard + np.arange(n)
-                rows = [content[i * stride : (i + 1) * stride] for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(rows, pa.binary())], names=["slot", "ids"])
-
-    return files.mapInArrow(split, "slot long, ids binary").where(F.col("slot") >= from_slot)
+            for shard in batch["id"].to_pylist():
+                slot, end = max(from_slot, shard * per_shard), min(rows, (shard + 1) * per_shard)
+                with store.open_input_file(f"{root}/shard-{shard:08d}.bin") as file:
+                    file.seek((slot - shard * per_shard) * stride)
+                    while slot < end:
+                        n = min(rows_a_read, end - slot)
+                        content = file.read(n * stride)
+                        ids = [content[i * stride : (i + 1) * stride] for i in range(n)]
+                        yield pa.record_batch({"slot": pa.array(np.arange(slot, slot + n)), "ids": pa.array(ids, pa.binary())})
+                        slot += n
+
+    numbers = spark.range(first, max(first, shards), 1, max(1, min(shards - first, 10_000)))
+    return numbers.mapInArrow(read, "slot long, ids binary")

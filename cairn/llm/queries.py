@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import embeddings, language, mixing, ngram_join, ordering, packing, substring_dedup, suffix_dedup, topk, warc
-from cairn.llm._io import materialise, shared_folder
+from cairn.llm._io import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,13 +92,11 @@ def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sequences in training order, written as shards in the shared folder, with the digest of each as read from there."""
     sequences = ordering.token_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     ordered, folder = ordering.training_order(sequences), f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
-    rows = ordered.select("doc_id", "piece", "n_ids", "slot", "shard")
-    file = materialise(ordering.write_shards(ordered, folder)).first()
-    if file is None:
-        return rows.withColumns({"place": F.lit(None).cast("long"), "ids_sha256": F.lit(None).cast("string")})
-    held = ordering.read_shards(spark, folder, file.stride).select("slot", F.sha2("ids", 256).alias("ids_sha256"))
-    rows = rows.withColumn("place", F.col("slot") % 4096 * file.stride).join(held, "slot", "left")
-    return rows.select("doc_id", "piece", "n_ids", "slot", "shard", "place", "ids_sha256").repartitionByRange("slot").sortWithinPartitions("slot")
+    manifest = ordering.write_shards(ordered, folder)
+    held = ordering.read_shards(spark, folder).select(F.col("slot").alias("held"), F.sha2("ids", 256).alias("ids_sha256"))
+    rows = ordered.select("doc_id", "piece", "n_ids", "slot", "shard", (F.col("slot") % manifest["per_shard"] * manifest["stride"]).alias("place"))
+    rows = rows.join(held, F.col("slot") == F.col("held"), "left").drop("held")
+    return rows.repartitionByRange("slot").sortWithinPartitions("slot")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

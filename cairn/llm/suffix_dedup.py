@@ -121,8 +121,7 @@ def scan_batch(length: int):
         cls, doc, start, at, n = (batch[c].to_numpy() for c in ("cls", "doc", "start", "at", "n"))
         twice = np.zeros(len(batch), bool)  # rows of a document that stands twice
         twice[1:] = (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]) & (at[1:] == at[:-1]) & (cls[1:] == cls[:-1])
-        bare = batch["text"].is_null().to_numpy(zero_copy_only=False) & ~twice
-        own = np.flatnonzero(~bare & ~twice)
+        own = np.flatnonzero(~twice)
         texts = batch["text"].take(pa.array(own)).to_pylist()
         text, count = np.frombuffer(b"".join(texts), np.uint8), n[own]
         base = np.cumsum([0, *map(len, texts[:-1])]) if texts else np.zeros(0, np.int64)
@@ -141,12 +140,11 @@ def scan_batch(length: int):
         ends = np.flatnonzero(repeated & ~np.concatenate([repeated[1:] & (nth[1:] > 0), [False]]))
         of = own[context[edges]]
         heads = np.flatnonzero((at == 0) & ~twice)
-        zeros, lone = np.zeros(len(heads), np.int64), np.flatnonzero(bare)
-        part = table["part"][0].as_py()
-        rows = np.concatenate([of, heads, lone])
+        zeros, part = np.zeros(len(heads), np.int64), table["part"][0].as_py()
+        rows = np.concatenate([of, heads])
         columns = [
             np.full(len(rows), part), cls[rows], doc[rows], start[rows],
-            np.concatenate([at[of] + nth[edges], zeros, at[lone]]), np.concatenate([ends - edges + 1, zeros, n[lone]]),
+            np.concatenate([at[of] + nth[edges], zeros]), np.concatenate([ends - edges + 1, zeros]),
         ]
         nulls = pa.nulls(len(rows), pa.binary())
         said = pa.Table.from_arrays([*(pa.array(np.asarray(c, np.int64)) for c in columns), nulls, nulls], schema=INDEXED_ARROW)
@@ -173,21 +171,25 @@ class IndexFamily:
     def __init__(self, length: int):
         self.length, self.levels = length, []  # (suffixes, table)
 
+    def merge(self) -> None:
+        """Merges the last two levels while they are of one size, as the power of two below it."""
+        while len(self.levels) > 1 and self.levels[-2][0].bit_length() <= self.levels[-1][0].bit_length():
+            (n, one), (m, two) = self.levels[-2:]
+            both = one.union(two).groupBy("part").applyInArrow(merge_levels(self.length), INDEXED)
+            self.levels[-2:] = [(n + m, materialise(both))]
+
     def add(self, batch: DataFrame) -> DataFrame:
         """What repeats an earlier suffix of this or an earlier batch. `batch`: part, cls, doc, start, at, count, text.
 
-        What is new becomes a level; levels merge while the last two are of one size, as the power of two below it.
+        What is new becomes a level. Levels of one size merge before the next batch is scanned.
         """
+        self.merge()
         rows = batch.select("part", "cls", "doc", "start", "at", F.col("count").alias("n"), "text", F.lit(None).cast("binary").alias("array"))
         for _, level in self.levels:
             rows = rows.union(level)
         found = materialise(rows.groupBy("part").applyInArrow(scan_batch(self.length), INDEXED))
         fresh = found.where("array is not null")
         size = fresh.agg(F.sum("n")).first()[0]
-        while size and self.levels and self.levels[-1][0].bit_length() <= size.bit_length():
-            more, level = self.levels.pop()
-            fresh = materialise(level.union(fresh).groupBy("part").applyInArrow(merge_levels(self.length), INDEXED))
-            size += more
         if size:
             self.levels.append((size, fresh))
         return found.where("array is null").select("cls", "doc", "start", "at", "n")
@@ -195,20 +197,21 @@ class IndexFamily:
 
 def index_verdicts(contexts: DataFrame, length: int, batches: int = BATCHES) -> DataFrame:
     """Puts the documents' contexts into an index family, batch by batch in the order of doc_id."""
-    found = contexts.agg(F.sum(F.length("text"))).first()[0] or 0
-    cuts = sorted(set(contexts.approxQuantile("doc", [k / batches for k in range(1, batches)], 0.01))) if found else []
-    # A hot seed's windows are dealt by themselves; rows without text go anywhere.
-    key = F.when(F.col("seed") != 0, F.xxhash64("seed")).otherwise(F.xxhash64(F.coalesce("text", F.col("doc").cast("string").cast("binary"))))
-    contexts = contexts.withColumn("part", F.pmod(key, F.lit(found // PART_BYTES + 1)))
-    family, verdicts = IndexFamily(length), None
+    given = contexts.where("text is not null")
+    found = given.agg(F.sum(F.length("text") + 64)).first()[0] or 0
+    cuts = sorted(set(given.approxQuantile("doc", [k / batches for k in range(1, batches)], 0.01))) if found else []
+    # A hot seed's windows are dealt by themselves.
+    key = F.when(F.col("seed") != 0, F.xxhash64("seed")).otherwise(F.xxhash64("text"))
+    given = given.withColumn("part", F.pmod(key, F.lit(found // PART_BYTES + 1)))
+    bare = contexts.where("text is null").select("cls", "doc", "start", "at", "count")
+    verdicts, family = bare.union(bare.where("at = 0").withColumn("count", F.lit(0).cast("long"))).toDF("cls", "doc", "start", "at", "n"), IndexFamily(length)
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
         inside = F.lit(True)
         if lo is not None:
             inside = inside & (F.col("doc") > int(lo))
         if hi is not None:
             inside = inside & (F.col("doc") <= int(hi))
-        said = family.add(contexts.where(inside))
-        verdicts = said if verdicts is None else verdicts.union(said)
+        verdicts = verdicts.union(family.add(given.where(inside)))
     return verdicts
 
 

@@ -1,3 +1,5 @@
+from fractions import Fraction
+import random
 import hashlib
 import math
 import zlib
@@ -136,10 +138,19 @@ def test_training_order_query_writes_and_reads_shards(spark):
 
 def test_shards_are_written_from_their_partitions(spark, docs, tmp_path):
     ordered = ordering.training_order(ordering.token_sequences(docs, BPE, 32), per_shard=16)
-    plan = ordering.write_shards(ordered, f"file://{tmp_path}/a")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+    assert ordered._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     with pytest.raises(Exception, match="isn't next"):
-        ordering.write_shards(ordered.repartition(3), f"file://{tmp_path}/b").collect()
+        ordering.write_shards(ordered.repartition(3), f"file://{tmp_path}/b", 16)
+    assert not list((tmp_path / "b").glob(".*")), "a failed task takes its draft away"
+
+
+@pytest.mark.parametrize("parts", [3, 5, 50])
+def test_slots_dont_follow_the_partitioning(spark, docs, parts):
+    sequences = ordering.token_sequences(docs, BPE, 32)
+    slots = lambda rows: sorted((r.slot, r.doc_id, r.piece, bytes(r.ids)) for r in ordering.training_order(rows).collect())
+    one = slots(sequences.coalesce(1))
+    assert [r[0] for r in one] == list(range(len(one)))
+    assert slots(sequences.repartition(parts)) == one
 
 
 def test_shards_round_trip(spark, docs, tmp_path):
@@ -148,10 +159,23 @@ def test_shards_round_trip(spark, docs, tmp_path):
     assert [r.slot for r in rows] == list(range(len(rows)))
     assert all(r.shard == r.slot // 16 and r.place == r.slot % 16 * 64 for r in rows)
     folder = f"file://{tmp_path}/shards"
-    files = ordering.write_shards(ordered, folder).collect()
-    assert sum(f.rows for f in files) == len(rows)
-    back = {r.slot: bytes(r.ids) for r in ordering.read_shards(spark, folder, 64, 16, from_slot=21).collect()}
-    assert back == {r.slot: bytes(r.ids) for r in rows if r.slot >= 21}
+    manifest = ordering.write_shards(ordered, folder, 16)
+    assert manifest == {"per_shard": 16, "rows": len(rows), "stride": 64}
+    for from_slot in (0, 21, 32, len(rows) - 1, len(rows)):
+        back = {r.slot: bytes(r.ids) for r in ordering.read_shards(spark, folder, from_slot, 5).collect()}
+        assert back == {r.slot: bytes(r.ids) for r in rows if r.slot >= from_slot}
+    files = sorted((tmp_path / "shards").glob("shard-*.bin"))
+    content, old = [f.read_bytes() for f in files], files[0].stat().st_mtime_ns
+    for f in files[3:7]:
+        f.unlink()  # as after a run that was cut short
+    (tmp_path / "shards" / ordering.MANIFEST).unlink()
+    assert ordering.write_shards(ordered, folder, 16) == manifest
+    assert [f.read_bytes() for f in files] == content and files[0].stat().st_mtime_ns == old
+    files[2].write_bytes(b"x")
+    with pytest.raises(Exception, match="there already"):
+        ordering.write_shards(ordered, folder, 16)
+    none = ordering.write_shards(ordered.limit(0), f"file://{tmp_path}/none", 16)
+    assert none["rows"] == 0 and ordering.read_shards(spark, f"file://{tmp_path}/none").count() == 0
     tokenizer = Tokenizer.from_file(BPE)
     one = sorted((r.piece, bytes(r.ids), r.n_ids) for r in rows if r.doc_id == 31)
     ids = np.concatenate([np.frombuffer(b, "<u2")[:n] for _, b, n in one])
@@ -170,16 +194,57 @@ def every_segmentation(word, probs, longest):
     return sum(probs.get(word[:n], 0.0) * every_segmentation(word[n:], probs, longest) for n in range(1, min(longest, len(word)) + 1))
 
 
+def exact_log(word, probs, longest):
+    """log of the same sum for long words, in fractions."""
+    sums = [Fraction(1)]
+    for end in range(1, len(word) + 1):
+        sums.append(sum(sums[end - n] * Fraction(probs.get(word[end - n : end], 0.0)) for n in range(1, min(longest, end) + 1)))
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+
 def test_forward_sums_all_segmentations():
     pieces = language.Pieces(["a", "b", "ab", "ba", "aba", "▁", "▁a"])
-    probs = np.random.default_rng(1).random((9, 2))
+    probs = np.random.default_rng(1).random((9, 2)) / 1000
     probs[-1] = 0
-    for word in ("abab", "aaaa", "babaab", "axb"):
-        spelled = language.spell("▁" + word).astype(np.int64)[None]
-        got = language.forward(pieces.ids(spelled), probs)[0, -1]
+    long = "".join(random.Random(4).choice("abx") for _ in range(500))
+    words = ["abab", "aaaa", "babaab", "axb", long]
+    model = language.LanguageModel(["p", "q"], pieces, probs, np.zeros(2))
+    ends = np.cumsum([len(w) for w in words])
+    got = model.word_logs(language.spell("".join(words)), ends - [len(w) for w in words], ends)
+    for row, word in zip(got, words, strict=True):
         for k in range(2):
             table = dict(zip(pieces.pieces, probs[:, k])) | {"x": probs[7, k]}
-            assert got[k] == pytest.approx(every_segmentation("▁" + word, table, 3))
+            assert row[k] == pytest.approx(exact_log("▁" + word, table, 3))
+            if word is not long:
+                assert row[k] == pytest.approx(math.log(every_segmentation("▁" + word, table, 3)))
+
+
+def test_expected_counts_are_those_of_all_segmentations():
+    pieces = language.Pieces(["a", "b", "ab", "▁"])
+    probs = np.array([[0.2], [0.1], [0.3], [0.4], [0.05], [0]])
+    ids = pieces.ids(language.spell("▁ab").astype(np.int64)[None])
+    counts = language.expected_counts(ids, probs, np.array([[2.0]]))[:, 0]
+    one, two = 0.4 * 0.2 * 0.1, 0.4 * 0.3
+    assert counts == pytest.approx(np.array([2 * one, 2 * one, 2 * two, 2 * (one + two), 0, 0]) / (one + two))
+
+
+def test_the_training_sample_never_becomes_empty():
+    for rows in (1, 1000, 10**8, 4 * 10**9, 10**10, 10**14, 10**17):
+        assert language.sample_bound(rows, 1000) / 2**62 * rows == pytest.approx(min(rows, 1000), rel=1e-3)
+    assert language.sample_bound(10**19, 1) >= 1
+
+
+def test_whole_vocabulary_is_used():
+    pieces = language.vocabulary(queries.public_tokenizers.path("piece_bpe_32k.model"))
+    assert max(map(len, pieces)) > 10 and "▁because" in pieces
+
+
+def test_language_of_long_texts(spark):
+    model = queries.language_model(spark.read.parquet(f"{SF}/documents.parquet"))
+    given = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and length(text) > 200").limit(3).collect()
+    rows = [(i, (r.text + " ") * (1_200_000 // len(r.text)), r.lang) for i, r in enumerate(given)] + [(9, "ab" * 20_000, None)]
+    found = language.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()
+    assert [r.lang_pred for r in found[:3]] == [r.lang for r in found[:3]] and found[3].lang_pred != "und"
 
 
 def test_language_accuracy_on_held_out_documents(spark):

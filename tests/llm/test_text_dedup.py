@@ -44,6 +44,7 @@ def test_index_family_levels_grow_geometrically(spark):
         said = family.add(batch).collect()
         assert {(r.doc, p) for r in said for p in range(r["at"], r["at"] + r.n)} == expected
         assert sum(r.n == 0 for r in said) == 20
+        family.merge()
         sizes = [n.bit_length() for n, _ in family.levels]
         assert sizes == sorted(set(sizes), reverse=True)
     assert sum(n for n, _ in family.levels) == len(seen)
