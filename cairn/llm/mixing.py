@@ -47,8 +47,9 @@ def mix_sources(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share=(3, 2
 
     A document is emitted floor(rate) times, and once more with probability equal to the fraction, by a uniform from
     md5(seed, doc_id); rate = target / source_size of its source. Null text has size 0; a source without words has
-    target 0 and its documents 0 copies; null ids share one draw, and so do rows that repeat an id. An empty table
-    gives no rows. Columns of docs named size, source_size, target or copies are replaced.
+    target 0 and its documents 0 copies; rows without an id draw by their text, and rows that repeat an id (or,
+    without one, a text) share a draw. An empty table gives no rows. Columns of docs named size, source_size, target or
+    copies are replaced.
     """
     made = ("size", "source_size", "target", "copies")
     docs = docs.drop(*made).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
@@ -58,6 +59,7 @@ def mix_sources(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share=(3, 2
         targets = F.broadcast(targets)
     mixed = docs.join(targets, docs["source"].eqNullSafe(targets["mix_source"]), "left").drop("mix_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), own))
     uniform = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     return mixed.withColumn("copies", (F.floor(rate) + (uniform < rate - F.floor(rate)).cast("long")).cast("int"))

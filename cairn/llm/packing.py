@@ -52,7 +52,9 @@ def encoder(vocabulary: str):
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): each document's ids and `end_id`, cut from the end.
 
-    All pieces but the first have `capacity` ids. Null text counts as empty: one piece that holds `end_id`.
+    All pieces but the first have `capacity` ids. Null and empty texts give one piece that holds `end_id`. Null ids stay
+    null, rows that repeat an id give pieces of their own, an empty table none, and columns but doc_id and text aren't
+    read.
     """
 
     def cut(batches):
@@ -139,22 +141,27 @@ def plan_table(plan) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in rows.items()}
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 1024, salts: int = 256) -> DataFrame:
-    """Adds sequence_id and offset to `pieces` (doc_id, piece, start, length in 1..capacity, ids_crc32, ...).
+def pack_pieces(pieces: DataFrame, capacity: int = 1024, cell: int = 100_000) -> DataFrame:
+    """Adds sequence_id and offset to `pieces` (doc_id, piece, start, length in 1..capacity, ids_crc32, any others).
 
     Only the histogram of lengths (at most `capacity` rows) reaches the driver, where the bins are planned; every
     piece finds its own place from its rank among the pieces of its length. Ranks come from two levels: counts by
-    (length, salt), then a window inside one salt, so that no length stands in one task. Pieces that agree in all
-    columns are interchangeable. An empty table gives none.
+    (length, salt), then a window inside one salt of about `cell` pieces at most, so that no length stands in one task.
+    Pieces that agree in doc_id, piece and ids_crc32 are interchangeable, null ids too. An empty table gives none.
+    Columns of pieces named sequence_id or offset are replaced; others may have any name.
     """
-    salted = materialise(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")))
-    cells = salted.groupBy("length", "salt").count()
+    pieces = pieces.drop("sequence_id", "offset")
+    rows = materialise(pieces.select(F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("row")))
+    histogram = {r["length"]: r["count"] for r in rows.groupBy(F.col("row.length").alias("length")).count().collect()}
+    salts = max(histogram.values(), default=0) // cell + 1
+    salt = F.pmod(F.xxhash64("row.doc_id", "row.piece", "row.ids_crc32"), F.lit(salts))
+    rows = rows.withColumns({"length": F.col("row.length"), "salt": salt})
     above = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("length", "salt").count()
     cells = cells.withColumn("above", F.coalesce(F.sum("count").over(above), F.lit(0))).select("length", "salt", "above")
-    histogram = {r["length"]: r["count"] for r in salted.groupBy("length").count().collect()}
-    table = salted.sparkSession.sparkContext.broadcast(plan_table(bin_plan(histogram, capacity)))
-    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("rank", F.row_number().over(inside) - 1).join(cells, ["length", "salt"])
+    table = rows.sparkSession.sparkContext.broadcast(plan_table(bin_plan(histogram, capacity)))
+    inside = Window.partitionBy("length", "salt").orderBy("row.doc_id", "row.piece", "row.ids_crc32")
+    ranked = rows.withColumn("rank", F.row_number().over(inside) - 1).join(cells, ["length", "salt"])
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -169,4 +176,4 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, salts: int = 256) -> Da
         return pd.DataFrame({"sequence_id": out[:, 0], "offset": out[:, 1]})
 
     placed = ranked.withColumn("place", place("length", F.col("above") + F.col("rank")))
-    return placed.select(*pieces.columns, "place.sequence_id", "place.offset")
+    return placed.select("row.*", "place.sequence_id", "place.offset")

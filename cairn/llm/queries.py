@@ -162,7 +162,7 @@ QUALIFY rank <= 20
 
 OP10_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
@@ -180,9 +180,9 @@ WITH d AS (
 ), u AS (
   SELECT source, source_size, CASE WHEN stops THEN 2.0::DOUBLE * source_size ELSE CAST(weight * lo AS DOUBLE) / lw END AS target FROM t, g
 ), m AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT doc_id, text, size, source_size, target,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
-    CAST(concat('0x', substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+    CAST(concat('0x', substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,

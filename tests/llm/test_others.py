@@ -49,6 +49,9 @@ def test_mixing_edges(spark, docs):
     again = [sorted((r.doc_id or -1, r.copies) for r in mixing.mix_sources(docs.repartition(n)).collect()) for n in (1, 7)]
     assert again[0] == again[1]
     assert mixing.mix_sources(docs.limit(0)).count() == 0
+    no_ids = spark.createDataFrame([(None, f"word{i} x y", "one") for i in range(400)] + [(k, "a b c d e", "two") for k in range(900)], "doc_id long, text string, source string")
+    rows = [r for r in mixing.mix_sources(no_ids).collect() if r.source == "one"]
+    assert abs(sum(r.size * r.copies for r in rows) - rows[0].target) < 0.15 * rows[0].target
     bare = spark.createDataFrame([(1, None, None), (2, "", None)], "doc_id long, text string, source string")
     assert [r.copies for r in mixing.mix_sources(bare).collect()] == [0, 0]
 
@@ -90,6 +93,10 @@ def test_packing_edges(spark, docs, texts):
     rows = packing.pack_pieces(packing.token_pieces(table, BPE, 64), 64).collect()
     check_packed(rows, own, 64)
     assert packing.pack_pieces(packing.token_pieces(docs.limit(0), BPE)).count() == 0
+    clash = packing.token_pieces(table, BPE, 64).withColumns({c: F.lit("extra") for c in ("salt", "rank", "count", "above", "place", "row", "offset")})
+    found = packing.pack_pieces(clash, 64, cell=10)
+    assert set(found.columns) == set(clash.columns) | {"sequence_id"}
+    check_packed(found.collect(), own, 64)
     assert packing.pack_pieces(packing.token_pieces(docs, BPE)).where("doc_id is null").count() >= 1
 
 

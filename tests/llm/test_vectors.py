@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from cairn.llm import embeddings, topk
+from cairn.llm import embeddings, queries, topk
 from tests.llm import brute
 
 SCHEMA = "vec_id long, embedding array<float>, label int, cls string, rank int, part string"
@@ -109,3 +109,28 @@ def test_vector_edges(spark):
     rows = sorted(map(tuple, embeddings.near_duplicates(no_id).collect()), key=str)
     assert rows == [(7, 1, 7, True), (7, 1, 7, True), (None, 0, None, False)]
     assert topk.top_k(no_id, no_id, 2).count() == 0
+
+
+def test_top_k_of_vectors_of_very_different_length(spark, monkeypatch):
+    """Many slices, of which few can serve a query."""
+    monkeypatch.setattr(topk, "INDEX_BLOCK", 32)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(topk, "TOGETHER", 5)
+    x = vectors(400) / np.linspace(0.2, 40, 400)[::-1, None]
+    whole = table(spark, x).repartition(3)
+    got = sorted(map(tuple, topk.top_k(whole.where("vec_id % 20 = 0"), whole, 7).collect()))
+    assert got == brute.top_k(list(range(400)), x.astype(np.float32), range(0, 400, 20), 7)
+
+
+def test_scores_out_of_range_are_an_error(spark):
+    whole = table(spark, [[3e38, 1.0], [3e38, 2.0]])
+    with pytest.raises(Exception, match="2\\^52|overflow|cast"):
+        topk.top_k(whole, whole, 2).collect()
+
+
+def test_registered_queries_on_given_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    given = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in given], float)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in queries.op4_embedding_near_dedup(spark, sf).collect()}
+    assert found == brute.near_vectors([r.vec_id for r in given], x)
