@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators import metrics, scoring, threshold
+from cairn.operators import balance, losses, metrics, scoring, threshold
 from cairn.operators.losses import CLASSIFICATION
 
 
@@ -52,13 +52,29 @@ def gradient(rows: DataFrame, coef: np.ndarray, intercept: np.ndarray, kind: str
     return out[0], max(out[1], 1e-300), out[2 : 2 + classes * dim].reshape(classes, dim), out[2 + classes * dim :]
 
 
+def epoch_batches(train: DataFrame, size: int | None, strategy: str, seed: int, epoch: int):
+    """The tables of an epoch's steps, one after another: the whole table, or full batches in the epoch's order."""
+    if size is None:
+        yield train
+        return
+    order = balance.training_order(train.select("id", F.col("y").alias("label")), "id", strategy, None, seed, epoch)
+    rows = losses.batches(order.select("draw", "id").join(train, "id"), "draw", size, drop_last=True).persist()
+    for k in range((rows.agg(F.max("batch")).first()[0] or 0) + 1 if not rows.isEmpty() else 0):
+        yield rows.where(F.col("batch") == k)
+    rows.unpersist()
+
+
 def fit_head(
     train: DataFrame, val: DataFrame, loss: str = "weighted_ce", class_weights=(0.6, 1.0), epochs: int = 30, lr: float = 1e-2,
     weight_decay: float = 1e-4, dropout: float = 0.0, gamma: float = 2.0, patience: int = 8, metric: str = "val_recall", seed: int = 42,
+    batch_size: int | None = None, strategy: str = "none",
 ):
-    """(history, model): full-batch AdamW epochs with validation, best epoch and early stop.
+    """(history, model): AdamW epochs with validation, best epoch and early stop.
 
-    `train` and `val`: id long, features array, y int (0 or 1). history is a list of 11-field rows; model has coef,
+    A step takes all rows; or, with `batch_size`, as many in the order of `strategy` (sampler: drawn with replacement by
+    class weights; loss_weights, none: shuffled), a short last batch left out, and the epoch's loss is the mean of its
+    batches'. Each step is a pass over its batch, so batches of a large table should be large.
+    `train` and `val`: id long, features array, y int (0 or 1); rows with a null among them don't count. history is a list of 11-field rows; model has coef,
     intercept, epoch and best_score of the best epoch. No epoch that improves is an error.
     """
     kind = CLASSIFICATION.get(loss.lower())
@@ -66,19 +82,23 @@ def fit_head(
         raise ValueError(f"unknown loss: {loss}")
     dim, classes = train.select(F.size("features")).first()[0], 2
     weights = np.ones(classes) if kind == "ce" else np.asarray(class_weights, float)
-    train, val = train.persist(), val.persist()
+    whole = "id is not null and y is not null and features is not null"
+    train, val = train.where(whole).persist(), val.where(whole).persist()
     theta = np.zeros(classes * dim + classes)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    history, model, best, waited = [], None, -math.inf, 0
+    history, model, best, waited, taken = [], None, -math.inf, 0, 0
     for epoch in range(1, epochs + 1):
-        coef, intercept = theta[: classes * dim].reshape(classes, dim), theta[classes * dim :]
-        value, weight, dw, db = gradient(train, coef, intercept, kind, weights, gamma, 1 - dropout, seed + epoch)
-        slope = np.concatenate([dw.ravel(), db]) / weight
-        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
-        theta = theta * (1 - lr * weight_decay) - lr * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.999**epoch)) + 1e-8)
+        values = []
+        for batch in epoch_batches(train, batch_size, strategy, seed, epoch):
+            coef, intercept, taken = theta[: classes * dim].reshape(classes, dim), theta[classes * dim :], taken + 1
+            value, weight, dw, db = gradient(batch, coef, intercept, kind, weights, gamma, 1 - dropout, seed + epoch)
+            values.append(value / weight)
+            slope = np.concatenate([dw.ravel(), db]) / weight
+            first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+            theta = theta * (1 - lr * weight_decay) - lr * (first / (1 - 0.9**taken)) / (np.sqrt(second / (1 - 0.999**taken)) + 1e-8)
         new = {"coef": theta[: classes * dim].reshape(classes, dim).tolist(), "intercept": theta[classes * dim :].tolist()}
         val_sum, val_weight, *_ = gradient(val, np.array(new["coef"]), np.array(new["intercept"]), kind, weights, gamma, 1.0, seed)
-        row = {"epoch": epoch, "train_loss": float(value / weight), "val_loss": float(val_sum / val_weight)}
+        row = {"epoch": epoch, "train_loss": float(np.mean(values)) if values else 0.0, "val_loss": float(val_sum / val_weight)}
         for phase, table in (("train", train), ("val", val)):
             got = metrics.binary_metrics(scored(table, new)).first()
             row |= {f"{phase}_{m}": float(got[m]) for m in ("recall", "specificity", "f1", "auc")}

@@ -75,7 +75,7 @@ def batches(rows: DataFrame, order: str, size: int = 64, drop_last: bool = False
     The order's range is cut into fixed buckets whose running counts place the rows, so no task holds all rows.
     """
     edge = rows.agg(F.min(order).alias("lo_"), F.max(order).alias("hi_"))
-    keyed = rows.crossJoin(edge).withColumn("bucket_", F.floor((F.col(order) - F.col("lo_")) * buckets / (F.col("hi_") - F.col("lo_") + 1)))  # one row
+    keyed = rows.crossJoin(edge).withColumn("bucket_", F.floor((F.col(order).cast("double") - F.col("lo_")) / (F.col("hi_").cast("double") - F.col("lo_") + 1) * buckets))  # one row
     cells = keyed.groupBy("bucket_").agg(F.count("*").alias("n_"))
     before = Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -30,22 +30,26 @@ def rates() -> dict[str, Column]:
 def auroc(scores: DataFrame, by: tuple[str, ...] = (), buckets: int = 1024) -> DataFrame:
     """auc (by groups): tie-aware, NaN with one class only.
 
-    Scores are counted by value first. Values fall into fixed buckets of score, whose running sums place them; inside
-    a bucket a window adds the rest. The sum is of whole numbers and doesn't depend on order.
+    Scores are counted by value first. Values fall into buckets of their log-odds (scores crowd near 0 and 1), whose
+    running sums place them; inside a bucket a window adds the rest. The sum is of whole numbers, as decimals: it
+    doesn't depend on order and holds 10^18 rows of each class. Rows whose y is neither 0 nor 1 don't count.
     """
     by = list(by)
-    bucket = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor(F.col("prob") * buckets)))
+    p = F.col("prob").cast("double")
+    odds = F.when(p <= 0, -20.0).when(p >= 1, 20.0).otherwise(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.ln(p / (1 - p)))))
+    bucket = F.least(F.lit(buckets - 1), F.floor((odds + 20) * buckets / 40))
     values = scores.withColumn("prob", finite(F.col("prob"))).groupBy(*by, "prob").agg(
         F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")
     )
     values = values.withColumn("bucket", bucket)
     inside = Window.partitionBy(*by, "bucket").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
     values = values.withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    pair = F.col("p") * (2 * F.col("below") + F.col("n"))
+    whole = lambda c: F.col(c).cast("decimal(18,0)")
+    pair = whole("p") * (2 * whole("below") + whole("n"))
     cells = values.groupBy(*by, "bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(pair.cast("decimal(38,0)")).alias("own"))
     before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    twice = F.sum(F.col("own") + 2 * (F.col("p") * F.col("below")).cast("decimal(37,0)"))
+    twice = F.sum(F.col("own") + (2 * whole("p") * whole("below")).cast("decimal(38,0)"))
     both = F.sum("p").cast("double") * F.sum("n").cast("double")
     return cells.groupBy(*by).agg(F.when(both > 0, twice.cast("double") / (2 * both)).otherwise(F.lit(float("nan"))).alias("auc"))
 

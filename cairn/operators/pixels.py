@@ -1,12 +1,14 @@
 """Image preparation and augmentation over tables of pixels.
 
 Rows have image_id, h, w, c and pixels: a flat array, by rows with channels last for raw bytes, by channel (CHW) once
-`to_tensor` has run. Steps without a built-in form work on Arrow batches, image by image within NumPy.
+`to_tensor` has run. Resizing works on Arrow batches, on all images of one shape together; the rest is built-in
+functions. Null pixels stay null.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,12 @@ GRAY = ((0.5,), (0.5,))
 RGB = ((0.485, 0.456, 0.406), (0.229, 0.224, 0.225))
 
 
+def once(column: Column) -> Column:
+    """`column` where pixels aren't null. As it names the pixels twice, the optimizer doesn't put the step that makes
+    them inside the lambda, where each pixel would make them all again."""
+    return F.when(F.col("pixels").isNotNull(), column)
+
+
 def gray(images: DataFrame) -> DataFrame:
     """8-bit luma of blue-green-red bytes; one-channel images stay."""
     part = lambda i, k: F.col("pixels")[i * 3 + k]
@@ -28,6 +36,7 @@ def gray(images: DataFrame) -> DataFrame:
     return images.withColumns({"pixels": F.when(F.col("c") == 1, F.col("pixels")).otherwise(luma), "c": F.lit(1)})
 
 
+@lru_cache(maxsize=256)
 def weights(size: int, out: int) -> np.ndarray:
     """(out, size) triangle weights; the support widens with the reduction."""
     scale = size / out
@@ -41,38 +50,41 @@ def weights(size: int, out: int) -> np.ndarray:
     return table
 
 
-def per_image(images: DataFrame, step, schema: str | None = None) -> DataFrame:
-    """`step(row: dict, block: (h, w, c) or (c, h, w) array)` gives the new block; only pixels, h and w change."""
+def per_shape(images: DataFrame, step) -> DataFrame:
+    """`step` takes a stack of blocks of one shape, (n, h, w, c) or (n, c, h, w), and gives another; pixels, h and w change."""
     floats = dict(images.dtypes)["pixels"] in ("array<float>", "array<double>")
 
     def run(batches):
-        for batch in batches:
-            columns, rows = {n: batch[n] for n in batch.schema.names}, batch.select([n for n in batch.schema.names if n != "pixels"]).to_pylist()
-            made, sizes = [], []
-            flat, cuts = batch["pixels"].flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(batch["pixels"]).to_numpy(zero_copy_only=False))])
-            for i, row in enumerate(rows):
-                shape = (row["c"], row["h"], row["w"]) if floats else (row["h"], row["w"], row["c"])
-                block = step(row, flat[int(cuts[i]) : int(cuts[i + 1])].reshape(shape))
-                made.append(block.ravel())
-                sizes.append(block.shape[1:] if floats else block.shape[:2])
-            columns["pixels"] = pa.array(made, batch.schema.field("pixels").type)
-            for k, name in enumerate("hw"):
-                columns[name] = pa.array([s[k] for s in sizes], batch.schema.field(name).type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        for whole in batches:
+            yield whole.filter(whole["pixels"].is_null())
+            batch = whole.filter(whole["pixels"].is_valid())
+            sizes = np.stack([batch[k].to_numpy(zero_copy_only=False) for k in "hwc"], 1)
+            for h, w, c in np.unique(sizes, axis=0).tolist():
+                part = batch.filter(pa.array((sizes == (h, w, c)).all(axis=1)))
+                flat = part["pixels"].flatten().to_numpy(zero_copy_only=False)
+                stack = step(flat.reshape(len(part), *((c, h, w) if floats else (h, w, c))))
+                columns = {n: part[n] for n in part.schema.names}
+                kind = part.schema.field("pixels").type
+                made = pa.array(stack.ravel(), kind.value_type)
+                columns["pixels"] = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * (len(made) // len(part))), made, type=kind)
+                for k, size in zip("hw", stack.shape[2:] if floats else stack.shape[1:3], strict=True):
+                    columns[k] = pa.array(np.full(len(part), size), part.schema.field(k).type)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), schema=whole.schema)
 
     return images.mapInArrow(run, images.schema)
 
 
 def resize(images: DataFrame, size: int) -> DataFrame:
-    """size x size, aspect not kept; bilinear, rounded where pixels are whole numbers."""
+    """size x size, aspect not kept; bilinear, rounded where pixels are whole numbers. Rows without pixels stay as they are."""
 
-    def step(row, block):
-        floats = block.dtype.kind == "f"
-        hwc = block.transpose(1, 2, 0) if floats else block
-        out = np.einsum("ij,jkc->ikc", weights(hwc.shape[0], size), np.einsum("ij,kjc->kic", weights(hwc.shape[1], size), hwc.astype(float)))
-        return out.transpose(2, 0, 1).astype(block.dtype) if floats else np.clip(np.floor(np.round(out, 9) + 0.5), 0, 255).astype(block.dtype)
+    def step(stack):
+        floats = stack.dtype.kind == "f"
+        nhwc = stack.transpose(0, 2, 3, 1) if floats else stack
+        across = np.einsum("ij,nkjc->nkic", weights(nhwc.shape[2], size), nhwc.astype(float))
+        out = np.einsum("ij,njkc->nikc", weights(nhwc.shape[1], size), across)
+        return out.transpose(0, 3, 1, 2).astype(stack.dtype) if floats else np.clip(np.floor(np.round(out, 9) + 0.5), 0, 255).astype(stack.dtype)
 
-    return per_image(images, step)
+    return per_shape(images, step)
 
 
 def to_tensor(images: DataFrame) -> DataFrame:
@@ -80,7 +92,7 @@ def to_tensor(images: DataFrame) -> DataFrame:
     area = F.col("h") * F.col("w")
     source = lambda i: F.col("pixels")[((i % area) * F.col("c") + F.floor(i / area)).cast("int")]
     chw = F.transform(F.sequence(F.lit(0), area * F.col("c") - 1), lambda i: (source(i) / 255).cast("float"))
-    return images.withColumn("pixels", chw)
+    return images.withColumn("pixels", once(chw))
 
 
 def repeat_channels(images: DataFrame, channels: int) -> DataFrame:
@@ -99,22 +111,22 @@ def coin(name: str, seed: int, epoch: int) -> Column:
     return uniform(seed, epoch, F.lit(name), F.col("image_id"))
 
 
-def moved(images: DataFrame, row: Column | int, column) -> Column:
-    """Pixels by source index: `row` rows up and the column that `column(x)` gives; 0 outside."""
-    h, w = F.col("h"), F.col("w")
+def moved(images: DataFrame, source) -> Column:
+    """Pixels taken from the place (row, column) that `source(y, x)` gives for each place; 0 outside."""
+    h, w, c, floats = F.col("h"), F.col("w"), F.col("c"), dict(images.dtypes)["pixels"] in ("array<float>", "array<double>")
 
-    def source(i):
-        y, x = F.floor(i / w).cast("int") % h + row, column(i % w)
-        at = i - i % (h * w) + y * w + x
+    def pixel(i):
+        place = i % (h * w) if floats else F.floor(i / c).cast("int")
+        y, x = source(F.floor(place / w).cast("int"), place % w)
+        at = i - place + y * w + x if floats else (y * w + x) * c + i % c
         return F.when((y >= 0) & (y < h) & (x >= 0) & (x < w), F.col("pixels")[at.cast("int")]).otherwise(F.lit(0))
 
-    kind = dict(images.dtypes)["pixels"]
-    return F.transform(F.sequence(F.lit(0), h * w * F.col("c") - 1), source).cast(kind)
+    return once(F.transform(F.sequence(F.lit(0), h * w * c - 1), pixel).cast(dict(images.dtypes)["pixels"]))
 
 
 def flip(images: DataFrame, p: float = 0.5, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """Mirrors columns (of CHW or one-channel rows) where the image's coin falls below p."""
-    mirrored = moved(images, F.lit(0), lambda x: F.col("w") - 1 - x)
+    """Mirrors columns where the image's coin falls below p."""
+    mirrored = moved(images, lambda y, x: (y, F.col("w") - 1 - x))
     return images.withColumn("pixels", F.when(coin("flip", seed, epoch) < p, mirrored).otherwise(F.col("pixels")))
 
 
@@ -122,58 +134,51 @@ def translate(images: DataFrame, share: float = 0.1, seed: int = 42, epoch: int
     """Shifts by whole pixels, at most `share` of each side; zeros come in."""
     shift = lambda side, name: F.round((2 * coin(name, seed, epoch) - 1) * share * side).cast("int")
     shifted = images.withColumns({"dy_": shift(F.col("h"), "dy"), "dx_": shift(F.col("w"), "dx")})
-    return shifted.withColumn("pixels", moved(images, -F.col("dy_"), lambda x: x - F.col("dx_"))).drop("dy_", "dx_")
-
-
-def generator(seed: int, epoch: int, name: str, image_id) -> np.random.Generator:
-    digest = hashlib.md5(f"{seed}:{epoch}:{name}:{image_id}".encode()).digest()
-    return np.random.default_rng(int.from_bytes(digest[:8], "little"))
+    return shifted.withColumn("pixels", moved(images, lambda y, x: (y - F.col("dy_"), x - F.col("dx_")))).drop("dy_", "dx_")
 
 
 def rotate(images: DataFrame, degrees: float = 15, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """Nearest neighbour about the centre, same size; zeros come in."""
+    """By an angle of at most `degrees`; nearest neighbour about the centre, same size; zeros come in."""
+    angle = F.radians((2 * coin("rotate", seed, epoch) - 1) * degrees)
+    turned = images.withColumns({"cos_": F.cos(angle), "sin_": F.sin(angle)})
+    cos, sin, cy, cx = F.col("cos_"), F.col("sin_"), (F.col("h") - 1) / 2, (F.col("w") - 1) / 2
 
-    def step(row, block):
-        angle = np.deg2rad(generator(seed, epoch, "rotate", row["image_id"]).uniform(-degrees, degrees))
-        hwc = block.transpose(1, 2, 0) if block.dtype.kind == "f" else block
-        h, w = hwc.shape[:2]
-        y, x = np.mgrid[:h, :w]
-        cy, cx = (h - 1) / 2, (w - 1) / 2
-        sx = np.floor(np.cos(angle) * (x - cx) - np.sin(angle) * (y - cy) + cx + 0.5).astype(int)
-        sy = np.floor(np.sin(angle) * (x - cx) + np.cos(angle) * (y - cy) + cy + 0.5).astype(int)
-        inside = (sx >= 0) & (sx < w) & (sy >= 0) & (sy < h)
-        out = np.where(inside[..., None], hwc[np.clip(sy, 0, h - 1), np.clip(sx, 0, w - 1)], 0).astype(block.dtype)
-        return out.transpose(2, 0, 1) if block.dtype.kind == "f" else out
+    def source(y, x):
+        along = F.floor(cos * (x - cx) - sin * (y - cy) + cx + 0.5).cast("int")
+        return F.floor(sin * (x - cx) + cos * (y - cy) + cy + 0.5).cast("int"), along
 
-    return per_image(images, step)
+    return turned.withColumn("pixels", moved(images, source)).drop("cos_", "sin_")
 
 
 def sharpen(images: DataFrame, factor: float = 1.2, p: float = 0.3, seed: int = 42, epoch: int = 0) -> DataFrame:
     """Moves away from a 3x3 smooth (centre 5, others 1, over 13) by `factor`; the border stays."""
+    kind = dict(images.dtypes)["pixels"]
+    h, w, c, floats = F.col("h"), F.col("w"), F.col("c"), kind in ("array<float>", "array<double>")
 
-    def step(row, block):
-        if generator(seed, epoch, "sharpen", row["image_id"]).random() >= p:
-            return block
-        floats = block.dtype.kind == "f"
-        hwc = (block.transpose(1, 2, 0) if floats else block).astype(float)
-        smooth = hwc.copy()
-        if min(hwc.shape[:2]) > 2:
-            near = sum(hwc[1 + a : hwc.shape[0] - 1 + a, 1 + b : hwc.shape[1] - 1 + b] for a in (-1, 0, 1) for b in (-1, 0, 1))
-            smooth[1:-1, 1:-1] = (near + 4 * hwc[1:-1, 1:-1]) / 13
-        out = np.clip(smooth + factor * (hwc - smooth), 0, 1 if floats else 255)
-        return out.transpose(2, 0, 1).astype(block.dtype) if floats else np.floor(out + 0.5).astype(block.dtype)
+    def pixel(value, i):
+        place = i % (h * w) if floats else F.floor(i / c).cast("int")
+        y, x, step = F.floor(place / w), place % w, F.lit(1) if floats else c
+        near = [F.col("pixels")[(i + (a * w + b) * step).cast("int")] for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        smooth = (sum(near[1:], near[0]).cast("double") + 4 * value) / 13
+        sharp = F.greatest(F.lit(0.0), F.least(F.lit(1.0 if floats else 255.0), smooth + factor * (value - smooth)))
+        inner = (y > 0) & (y < h - 1) & (x > 0) & (x < w - 1)
+        return F.when(inner, sharp if floats else F.floor(sharp + 0.5)).otherwise(value)
 
-    return per_image(images, step)
+    return images.withColumn("pixels", F.when(coin("sharpen", seed, epoch) < p, F.transform("pixels", pixel).cast(kind)).otherwise(F.col("pixels")))
 
 
 def noise(images: DataFrame, std: float = 0.01, p: float = 0.3, mean: float = 0.0, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """Gaussian noise on tensors, clamped to [0, 1]."""
+    """Gaussian noise on tensors where the image's coin falls below p, clamped to [0, 1]: two uniforms from one md5 a pixel."""
 
-    def step(row, block):
-        rng = generator(seed, epoch, "noise", row["image_id"])
-        return block if rng.random() > p else np.clip(block + rng.normal(mean, std, block.shape), 0, 1).astype(block.dtype)
+    def pixel(value, i):
+        digest = F.md5(F.concat_ws(":", F.lit(f"{seed}:{epoch}:grain"), F.col("image_id").cast("string"), i.cast("string")))
+        part = lambda at: F.conv(F.substring(digest, at, 13), 16, 10).cast("long").cast("double")
+        radius = F.sqrt(-2 * F.ln((part(1) + 1) / float(1 << 52)))
+        moved_ = value + mean + std * radius * F.cos(2 * math.pi * part(14) / float(1 << 52))
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), moved_)).cast("float")
 
-    return per_image(images, step)
+    noisy = F.transform("pixels", pixel).cast(dict(images.dtypes)["pixels"])
+    return images.withColumn("pixels", F.when(coin("noise", seed, epoch) < p, noisy).otherwise(F.col("pixels")))
 
 
 def prepare(images: DataFrame, size: int | None = 224, train: bool = False, channels: int = 1, seed: int = 42, epoch: int = 0) -> DataFrame:

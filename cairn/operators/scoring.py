@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.paths import decode_label
 from cairn.functions.probability import softmax
+from cairn.operators import pixels
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,3 +31,14 @@ def predict(rows: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
         key, label.alias("predicted_label"), decode_label(label).alias("predicted_class"), normal.alias("prob_normal"), sick.alias("prob_sick"),
         F.greatest(normal, sick).alias("confidence"), F.lit(float(threshold)).alias("threshold"),
     )
+
+
+def predict_images(images: DataFrame, model: dict, size: int | None = 224, threshold: float = 0.5) -> DataFrame:
+    """Decoded images to prediction records, all in one pass: gray where the model has one channel, resized, made a tensor, scored.
+
+    `images`: image_id, h, w, c and pixels (bytes). `model`: coef and intercept, and input_channels (1 without it).
+    """
+    channels = model.get("input_channels", 1)
+    given = pixels.gray(images) if channels == 1 else images
+    ready = pixels.prepare(given, size=size, channels=channels).withColumnRenamed("pixels", "features")
+    return predict(score(ready, model["coef"], model["intercept"]), "image_id", threshold)

@@ -47,7 +47,7 @@ def stratified_split(patients: DataFrame, train: float = 0.8, val: float = 0.1,
     """patient_id, class, split with exact sizes in each class; membership follows md5(seed:patient_id)."""
     if abs(train + val + test - 1) > 1e-6:
         raise ValueError("the ratios must sum to 1")
-    patients = patients.select("patient_id", "class").persist()  # one row a patient; read several times below
+    patients = patients.select("patient_id", "class")
     counts = class_totals(patients)
     first = quotas(counts, val + test)
     second = quotas({c: counts[c] - first[c] for c in counts}, test / (val + test))
@@ -86,7 +86,7 @@ def kfold(patients: DataFrame, k: int = 10, val_ratio: float = 0.1, seed: int =
     Patients are dealt to folds in turn, class after class (classes by name). Each fold's rest is ordered by
     md5(seed + fold:patient_id). All folds are made in one pass.
     """
-    patients = patients.select("patient_id", "class").persist()  # one row a patient; read several times below
+    patients = patients.select("patient_id", "class")
     counts = class_totals(patients)
     if not counts or max(counts.values()) < k:
         raise ValueError("every class has fewer patients than folds")
@@ -118,9 +118,10 @@ def split_summary(images: DataFrame) -> DataFrame:
     )
 
 
-def fold_summary(images: DataFrame) -> DataFrame:
-    """For each fold the patients and images of each split, on one row."""
-    patients = images.groupBy("fold", "split", "patient_id").agg(F.count("*").alias("n"))  # no distinct counts, no expansion
+def fold_summary(images: DataFrame, assigned: DataFrame) -> DataFrame:
+    """For each fold the patients and images of each split, on one row. Images are counted by patient before they meet the folds."""
+    counts = images.groupBy("patient_id").agg(F.count("*").alias("n"))
+    patients = assigned.select("fold", "split", "patient_id").join(counts, "patient_id")
     own = lambda s: F.col("split") == s
     return patients.groupBy(fold_name(F.col("fold")).alias("fold")).agg(
         *[F.count_if(own(s)).alias(f"n_{s}_patients") for s in ("train", "val", "test")],

@@ -131,7 +131,7 @@ def kfold_assign(spark, sf_dir):
   {", ".join(f"count(DISTINCT i.patient_id) FILTER (split = '{s}') AS n_{s}_patients, count(*) FILTER (split = '{s}') AS n_{s}_images" for s in ("train", "val", "test"))}
   FROM v_images i JOIN assigned a ON i.patient_id = a.patient_id GROUP BY fold""")
 def kfold_summary(spark, sf_dir):
-    return splits.fold_summary(splits.split_images(v.images(spark, sf_dir), kfold_assign(spark, sf_dir)))
+    return splits.fold_summary(v.images(spark, sf_dir), kfold_assign(spark, sf_dir))
 
 
 @query(f"WITH {v.IMAGES} SELECT image_path, CASE class WHEN 'Normal' THEN 0 ELSE 1 END AS label, class AS decoded FROM v_images")
@@ -414,7 +414,8 @@ def early_stop(spark, sf_dir):
 
 
 def spread(images: DataFrame, digits: int | None = None) -> DataFrame:
-    rows = images.select("image_id", F.posexplode("pixels").alias("at_", "value"))
+    # outer: else a filter on the pixels is pushed down through all steps that make them
+    rows = images.select("image_id", F.posexplode_outer("pixels").alias("at_", "value"))
     value = F.col("value") if digits is None else F.round(F.col("value").cast("double"), digits)
     return rows.select("image_id", F.col("at_").cast("long").alias("place"), value.alias("value"))
 
@@ -462,9 +463,38 @@ def pixels_translate(spark, sf_dir):
     return spread(pixels.translate(v.pixels(spark, sf_dir), 0.2))
 
 
-@query()
+def grain(at: int) -> str:
+    return f"CAST(CAST(concat('0x', substr(md5('42:0:grain:' || image_id || ':' || i), {at}, 13)) AS BIGINT) AS DOUBLE)"
+
+
+NEAR = " + ".join(f"pixels[i + {a * 8 + b} + 1]" for a in (-1, 0, 1) for b in (-1, 0, 1))
+SMOOTH = f"((CAST({NEAR} AS DOUBLE) + 4 * pixels[i + 1]) / 13)"
+AUGMENTED = f"""turned AS (
+  SELECT image_id, list_transform(range(64), lambda i: CASE WHEN sy(i, a) BETWEEN 0 AND 7 AND sx(i, a) BETWEEN 0 AND 7 THEN pixels[sy(i, a) * 8 + sx(i, a) + 1] ELSE 0 END) AS pixels
+  FROM (SELECT *, radians((2 * {coin_sql("rotate")} - 1) * 15) AS a FROM v_pixels)
+), flipped AS (
+  SELECT image_id, list_transform(range(64), lambda i: CASE WHEN coin < 0.5 THEN pixels[i // 8 * 8 + 8 - i % 8] ELSE pixels[i + 1] END) AS pixels
+  FROM (SELECT *, {coin_sql("flip")} AS coin FROM turned)
+), shifted AS (
+  SELECT image_id, list_transform(range(64), lambda i: CASE WHEN i // 8 - dy BETWEEN 0 AND 7 AND i % 8 - dx BETWEEN 0 AND 7 THEN pixels[(i // 8 - dy) * 8 + i % 8 - dx + 1] ELSE 0 END) AS pixels
+  FROM (SELECT *, CAST(round((2 * {coin_sql("dy")} - 1) * 0.1::DOUBLE * 8) AS INTEGER) AS dy, CAST(round((2 * {coin_sql("dx")} - 1) * 0.1::DOUBLE * 8) AS INTEGER) AS dx FROM flipped)
+), sharp AS (
+  SELECT image_id, list_transform(range(64), lambda i: CASE WHEN coin < 0.3 AND i // 8 BETWEEN 1 AND 6 AND i % 8 BETWEEN 1 AND 6
+    THEN CAST(floor(greatest(0, least(255, {SMOOTH} + 1.2::DOUBLE * (pixels[i + 1] - {SMOOTH}))) + 0.5::DOUBLE) AS INTEGER) ELSE pixels[i + 1] END) AS pixels
+  FROM (SELECT *, {coin_sql("sharpen")} AS coin FROM shifted)
+), pixel AS (
+  SELECT image_id, i, CAST(CAST(CAST(pixels[i + 1] AS DOUBLE) / 255 AS FLOAT) AS DOUBLE) AS value, {coin_sql("noise")} AS coin FROM sharp, (SELECT unnest(range(64)) AS i)
+), noisy AS (
+  SELECT image_id, i, CASE WHEN coin < 0.3 THEN CAST(CAST(greatest(0, least(1, value + 0.01::DOUBLE * sqrt(-2 * ln(({grain(1)} + 1) / 4503599627370496.0::DOUBLE))
+    * cos(2 * pi() * {grain(14)} / 4503599627370496.0::DOUBLE))) AS FLOAT) AS DOUBLE) ELSE value END AS value FROM pixel
+)"""
+TURN = "CAST(floor({0}(a) * (i % 8 - 3.5::DOUBLE) {1} {2}(a) * (i // 8 - 3.5::DOUBLE) + 3.5::DOUBLE + 0.5::DOUBLE) AS INTEGER)"
+AUGMENTED = AUGMENTED.replace("sx(i, a)", TURN.format("cos", "-", "sin")).replace("sy(i, a)", TURN.format("sin", "+", "cos"))
+
+
+@query(f"WITH {v.PIXELS}, {AUGMENTED} SELECT image_id, i AS place, round(CAST(CAST((value - 0.5) / 0.5 AS FLOAT) AS DOUBLE), 4) AS value FROM noisy")
 def pixels_augment(spark, sf_dir):
-    return spread(pixels.prepare(v.pixels(spark, sf_dir), size=8, train=True), 6)
+    return spread(pixels.prepare(v.pixels(spark, sf_dir), size=8, train=True), 4)
 
 
 # Head
@@ -480,6 +510,21 @@ def score_table(spark, sf_dir):
     return rounded(rounded(rows, "logit_normal", "logit_sick"), "prob_sick", digits=5)
 
 
+#: A luma with the byte's place, a tensor of one channel around 0, and the two logits of the head.
+PREDICTED = f"""luma AS (
+  SELECT image_id, list_transform(range(64), lambda i: (CAST(CAST(CAST((19595 * (255 - pixels[i + 1]) + 38470 * pixels[64 - i] + 7471 * pixels[i + 1] + 32768) >> 16 AS DOUBLE) / 255 AS FLOAT) AS DOUBLE) - 0.5) / 0.5) AS x
+  FROM v_pixels
+), l AS (SELECT image_id, {", ".join(f"list_sum([{', '.join(f'CAST(CAST(x[{i + 1}] AS FLOAT) AS DOUBLE) * {w!r}::DOUBLE' for i, w in enumerate(ws))}]) + {b}::DOUBLE AS l{k}" for k, (ws, b) in enumerate(zip(COEF, INTERCEPT, strict=True)))} FROM luma
+), p AS (SELECT image_id, 1 / (1 + exp(l1 - l0)) AS n, 1 / (1 + exp(l0 - l1)) AS s FROM l)"""
+
+
+@query(f"""WITH {v.PIXELS}, {PREDICTED} SELECT image_id, CASE WHEN s >= 0.5 THEN 1 ELSE 0 END AS predicted_label, CASE WHEN s >= 0.5 THEN 'Sick' ELSE 'Normal' END AS predicted_class,
+  round(n, 5) AS prob_normal, round(s, 5) AS prob_sick, round(greatest(n, s), 5) AS confidence, 0.5::DOUBLE AS threshold FROM p""")
+def image_predict(spark, sf_dir):
+    model = {"coef": COEF, "intercept": INTERCEPT}
+    return rounded(scoring.predict_images(v.pixels(spark, sf_dir, True), model, size=None), "prob_normal", "prob_sick", "confidence", digits=5)
+
+
 def parts(spark, sf_dir):
     rows = v.features(spark, sf_dir)
     return rows.where("id % 10 < 8"), rows.where("id % 10 = 8"), rows.where("id % 10 = 9")

@@ -63,16 +63,21 @@ SCORES = """v_scores AS (
 
 
 def logits(spark: SparkSession, sf_dir: str, binary: bool = False) -> DataFrame:
+    """All 64 elements folded into 10 (or 2) logits: number k is the sum of the elements k, k + 10, ..."""
     n = 2 if binary else 10
-    values = F.transform(F.slice("embedding", 1, n), lambda x: x.cast("double"))
+    values = F.array(*[sum((F.col("embedding")[i].cast("double") for i in range(k + n, 64, n)), F.col("embedding")[k].cast("double")) for k in range(n)])
     label = F.col("label") % 2 if binary else F.col("label")
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), values.alias("logits"), label.cast("int").alias("y"))
 
 
-LOGITS = """v_logits AS (
-  SELECT vec_id AS id, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS logits, label AS y FROM embeddings
+def folded(n: int) -> str:
+    return "[" + ", ".join(" + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(k, 64, n)) for k in range(n)) + "]"
+
+
+LOGITS = f"""v_logits AS (
+  SELECT vec_id AS id, {folded(10)} AS logits, label AS y FROM embeddings
 ), v_binary AS (
-  SELECT vec_id AS id, list_transform(embedding[1:2], lambda x: CAST(x AS DOUBLE)) AS logits, label % 2 AS y FROM embeddings
+  SELECT vec_id AS id, {folded(2)} AS logits, label % 2 AS y FROM embeddings
 )"""
 
 

@@ -43,7 +43,7 @@ def test_entry_without_the_language_model_operators(tmp_path):
         "import sys, importlib.abc\n"
         "class Gone(importlib.abc.MetaPathFinder):\n"
         "    def find_spec(self, name, path=None, target=None):\n"
-        "        if name.startswith(('cairn.llm', 'corpus_pipeline')): raise ModuleNotFoundError(name)\n"
+        "        if name.startswith(('cairn.llm', 'corpus_pipeline')): raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
         "assert e.queries() and not any(k.startswith('op') for k in e.queries()) and 'pipeline' not in e.queries()\n"
