@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from cairn.llm._io import materialise, pack, unpack
 
-BLOCK_SCHEMA = "dim int, ids binary, segments binary, norm double"
-INDEX_BLOCK, QUERY_BLOCK, BLOCKS_A_SLICE = 4096, 4096, 2
+BLOCK_SCHEMA = "dim int, ids binary, segments binary, norm double, n long"
+INDEX_BLOCK, QUERY_BLOCK = 4096, 4096
+#: Vectors of the index that a task takes.
+SLICE = 8192
 #: So many of a block's queries are scored together.
 TOGETHER = 256
 #: When at most this share of a block can still be among the best, its members are rescored.
@@ -45,8 +47,8 @@ def posting_blocks(size: int):
                     order = np.lexsort((row, value, axis, -np.abs(value)))
                     segments = pack(axis=axis[order].astype(np.int32), impact=value[order], row=row[order].astype(np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(dim)], pa.int32()), pa.array([pack(vec_id=part["vec_id"])]), pa.array([segments]), pa.array([longest])],
-                        names=["dim", "ids", "segments", "norm"],
+                        [pa.array([int(dim)], pa.int32()), pa.array([pack(vec_id=part["vec_id"])]), pa.array([segments]), pa.array([longest]), pa.array([len(part)])],
+                        names=["dim", "ids", "segments", "norm", "n"],
                     )
 
     return run
@@ -193,8 +195,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, scale: float = 64
     index = materialise(index.mapInArrow(posting_blocks(INDEX_BLOCK), BLOCK_SCHEMA).withColumn("block", F.monotonically_increasing_id()))
     asked = materialise(asked.repartition(n // QUERY_BLOCK + 1).mapInArrow(posting_blocks(QUERY_BLOCK), BLOCK_SCHEMA))
     asked = asked.select("dim", "ids", "segments", F.xxhash64("ids").alias("part"))
-    order = Window.partitionBy("dim").orderBy(F.desc("norm"), "block")  # a row here is a block, not a vector
-    numbers = index.select("dim", "block", "norm").withColumn("slice", F.floor((F.row_number().over(order) - 1) / BLOCKS_A_SLICE))
+    # A row of this window is a block, not a vector.
+    order = Window.partitionBy("dim").orderBy(F.desc("norm"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(order), F.lit(0))
+    numbers = index.select("dim", "block", "norm", "n").withColumn("slice", F.floor(before / SLICE)).drop("n")
     index = index.select("block", "ids", "segments").join(numbers, "block")
     bounds = numbers.groupBy("dim", "slice").agg(F.max("norm").alias("norm"))
 

@@ -115,6 +115,7 @@ def test_top_k_of_vectors_of_very_different_length(spark, monkeypatch):
     """Many slices, of which few can serve a query."""
     monkeypatch.setattr(topk, "INDEX_BLOCK", 32)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(topk, "SLICE", 50)
     monkeypatch.setattr(topk, "TOGETHER", 5)
     x = vectors(400) / np.linspace(0.2, 40, 400)[::-1, None]
     whole = table(spark, x).repartition(3)
