@@ -283,3 +283,26 @@ def test_head_learns(spark):
     with pytest.raises(ValueError, match="loss"):
         head.fit_head(train, val, loss="other")
     assert scoring.predict(logit_frame(spark, [[0.0, 0.0]], [0]), "id").first().predicted_class == "Sick"
+
+
+@pytest.mark.parametrize("strategy", ["sampler", "loss_weights"])
+def test_head_takes_steps_from_batches(spark, strategy):
+    """150 rows make two full batches of 64 an epoch, in an order that the strategy draws."""
+    rng = np.random.default_rng(8)
+    y = (rng.random(150) < 0.3).astype(int)
+    x = rng.normal(size=(150, 3)) + 2 * y[:, None]
+    rows = spark.createDataFrame([(i, [float(v) for v in r], int(k)) for i, (r, k) in enumerate(zip(x, y))] + [(900, None, 1)], "id long, features array<double>, y int")
+    sizes = [b.count() for b in head.epoch_batches(rows.where("id < 900"), 64, strategy, 42, 1)]
+    assert sizes == [64, 64]
+    log, model = head.fit_head(rows, rows, epochs=2, lr=0.1, metric="val_auc", batch_size=64, strategy=strategy)
+    assert len(log) == 2 and model["best_score"] > 0.8
+
+
+def test_steps_on_pixels_keep_nulls_and_other_channels(spark):
+    block = np.arange(2 * 3 * 3) % 251
+    rows = spark.createDataFrame([(1, 2, 3, 3, block.tolist()), (2, 4, 4, 1, list(range(16))), (3, 2, 2, 1, None)], "image_id int, h int, w int, c int, pixels array<int>")
+    small = {r.image_id: r for r in pixels.resize(rows, 2).collect()}
+    assert small[3].pixels is None and [len(small[i].pixels) for i in (1, 2)] == [12, 4]
+    turned = {r.image_id: r.pixels for r in pixels.flip(rows, 1.0).collect()}
+    assert turned[1] == block.reshape(2, 3, 3)[:, ::-1].ravel().tolist() and turned[3] is None
+    assert {r.image_id: r.pixels for r in pixels.sharpen(rows, 1.0, 1.1).collect()}[2] == list(range(16))
