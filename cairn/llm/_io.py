@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -29,6 +30,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def bucketed(df: DataFrame, by: str):
+    """A reader of `df`, written once in the shared folder in as many buckets of `by` as a shuffle has partitions.
+
+    Joins by that column don't shuffle it again. The table's name goes at the end, its files stay.
+    """
+    spark, name = df.sparkSession, f"cairn_{uuid.uuid4().hex}"
+    n = min(partitions(spark), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    out = df.repartition(n, by).write.option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
+    out.format("parquet").bucketBy(n, by).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
