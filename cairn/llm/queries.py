@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import embeddings, language, mixing, ngram_join, ordering, packing, substring_dedup, suffix_dedup, topk, warc
+from cairn.llm import embeddings, fim, language, merkle, mixing, ngram_join, ordering, packing, substring_dedup, suffix_dedup, topk, toxicity, warc
 from cairn.llm._io import shared_folder
 
 
@@ -110,6 +110,36 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows; those whose id's crc32 is divisible by 7 are folded from a row with n_chars + 1."""
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle.leaf(*fields[:3], F.col("n_chars") + 1, fields[4]))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", merkle.leaf(*fields).alias("digest"), tampered.alias("tampered"))
+    proven = merkle.proofs(merkle.manifest(rows, group="lang", order="doc_id"))
+    proven = proven.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "digest"), F.col("proof")))
+    return proven.select(
+        "doc_id", F.col("digest").alias("leaf"), "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    model = toxicity.train(docs, labels)
+    scored = toxicity.score(docs.withColumn("held_out", held), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 OP5_SQL = r"""
 WITH c AS (
   SELECT page_id * 4 + k AS record_id, page_id * 3600 + k * 100000 AS ts, k > 0 AS revisit, k,
@@ -189,11 +219,88 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM m
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units FROM documents
+), c AS (
+  SELECT *, len(units) AS n, CAST(concat('0x', substr(h, 1, 8)) AS BIGINT) % (len(units) + 1) AS a,
+    CAST(concat('0x', substr(h, 9, 8)) AS BIGINT) % (len(units) + 1) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST(concat('0x', substr(h, 17, 8)) AS BIGINT) % 100 >= 100 THEN 'plain'
+      WHEN CAST(concat('0x', substr(h, 25, 8)) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (
+  SELECT *, coalesce(array_to_string(units[1:least(a, b)], ''), '') AS prefix,
+    coalesce(array_to_string(units[least(a, b) + 1:greatest(a, b)], ''), '') AS middle,
+    coalesce(array_to_string(units[greatest(a, b) + 1:], ''), '') AS suffix FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+
+def sized(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def leaf_sql(chars: str) -> str:
+    return f"sha256({' || '.join(map(sized, ('doc_id', 'source', 'lang', chars, 'text')))})"
+
+
+def tree_sql(name: str, leaves: str) -> str:
+    """All nodes of the trees of `leaves` (tree, i, n, h), level by level."""
+    return f"""{name} AS (
+  SELECT tree, 0 AS level, i, n, h FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY tree, level, i // 2, n
+)"""
+
+
+OP12_SQL = f"""
+WITH RECURSIVE bits AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), crc AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS sum FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), bits
+), d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf_sql("n_chars")} AS h, {leaf_sql("n_chars + 1")} AS other FROM documents
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d
+), {tree_sql("nodes", "l")}, tops AS (
+  SELECT tree AS name, h FROM nodes WHERE n = 1
+), f AS (
+  SELECT '' AS tree, name, h, row_number() OVER (ORDER BY name) - 1 AS i, count(*) OVER () AS n FROM tops
+), {tree_sql("forest", "f")}, root AS (
+  SELECT h AS root FROM forest WHERE n = 1
+), whole AS (
+  SELECT tree, level, i, n, h FROM nodes UNION ALL SELECT '/', level, i, n, h FROM forest
+), starts AS (
+  SELECT l.tree, l.i, l.h, l.doc_id, CASE WHEN crc.sum % 7 = 0 THEN l.other ELSE l.h END AS start, f.i AS top, f.h AS subroot,
+    (SELECT max(level) FROM nodes) AS most
+  FROM l JOIN f ON l.tree = f.name LEFT JOIN crc ON crc.doc_id = l.doc_id
+), steps AS (
+  SELECT s.tree, s.i, w.level AS step, (s.i >> w.level) % 2 = 1 AS is_right, b.h FROM starts s JOIN whole w ON w.tree = s.tree AND w.i = s.i >> w.level AND w.n > 1
+    LEFT JOIN whole b ON b.tree = s.tree AND b.level = w.level AND b.i = xor(w.i, 1)
+  UNION ALL
+  SELECT s.tree, s.i, most + 1 + w.level, (s.top >> w.level) % 2 = 1, b.h FROM starts s JOIN whole w ON w.tree = '/' AND w.i = s.top >> w.level AND w.n > 1
+    LEFT JOIN whole b ON b.tree = '/' AND b.level = w.level AND b.i = xor(w.i, 1)
+), paths AS (
+  SELECT tree, i, coalesce(string_agg(h, '' ORDER BY step), '') AS siblings, list({{'r': is_right, 'd': h}} ORDER BY step) AS path FROM steps GROUP BY tree, i
+), folds AS (
+  SELECT s.tree, s.i, s.start AS acc, 1 AS k, p.path FROM starts s LEFT JOIN paths p ON s.tree = p.tree AND s.i = p.i
+  UNION ALL
+  SELECT tree, i, sha256(CASE WHEN path[k].d IS NULL THEN acc WHEN path[k].r THEN path[k].d || acc ELSE acc || path[k].d END), k + 1, path FROM folds WHERE k <= len(path)
+)
+SELECT s.doc_id, s.h AS leaf, s.subroot, root, sha256(coalesce(p.siblings, '')) AS proof_sha256, g.acc AS folded_root, g.acc = root AS verified
+FROM starts s LEFT JOIN paths p ON s.tree = p.tree AND s.i = p.i JOIN folds g ON g.tree = s.tree AND g.i = s.i AND g.k = coalesce(len(p.path), 0) + 1, root
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_suffix_dedup, op3_ngram_jaccard, op4_embedding_near_dedup, op5_warc_revisits, op6_topk_search,
-        op7_packing, op8_training_order, op9_substring_dedup, op10_source_mixing,
+        op7_packing, op8_training_order, op9_substring_dedup, op10_source_mixing, op11_fill_in_middle, op12_merkle_manifest, op13_toxicity,
     )
 }
-SQL = {"op5_warc_revisits": OP5_SQL, "op6_topk_search": OP6_SQL, "op10_source_mixing": OP10_SQL}
+SQL = {"op5_warc_revisits": OP5_SQL, "op6_topk_search": OP6_SQL, "op10_source_mixing": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
