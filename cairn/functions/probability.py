@@ -47,10 +47,12 @@ def grid(low: float, high: float, steps: int) -> list[float]:
 
 
 def decided(score: Column, threshold: float | Column) -> Column:
-    """1 where a float32 score reaches the threshold as float32; NaN scores are an error."""
+    """1 where a float32 score reaches the threshold as float32; NaN and null scores are an error."""
     level = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     return (finite(score) >= level.cast("float")).cast("int")
 
 
 def finite(score: Column) -> Column:
-    return F.when(F.isnan(score), F.raise_error(F.lit("NaN score")).cast("float")).otherwise(score)
+    """The score; NaN and null are an error, so that no metric leaves such rows out or ranks them."""
+    kind = F.when(score.isNull(), "null score").otherwise("NaN score")
+    return F.when(score.isNull() | F.isnan(score), F.raise_error(kind).cast("float")).otherwise(score)

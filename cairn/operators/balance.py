@@ -59,9 +59,13 @@ def shuffled(rows: DataFrame, key: str, seed: int = 42, epoch: int = 0) -> DataF
     return number_rows(rows, order_key(seed, epoch, F.col(key)), [key], name="draw")
 
 
-def training_order(rows: DataFrame, key: str, strategy: str = "sampler", weights: list[float] | None = None, seed: int = 42, epoch: int = 0) -> DataFrame:
+def check_strategy(strategy: str) -> None:
     if strategy not in ("sampler", "loss_weights", "none"):
         raise ValueError(f"unknown imbalance strategy: {strategy}")
+
+
+def training_order(rows: DataFrame, key: str, strategy: str = "sampler", weights: list[float] | None = None, seed: int = 42, epoch: int = 0) -> DataFrame:
+    check_strategy(strategy)
     if strategy == "sampler":
         return weighted_sample(rows, key, weights, seed + epoch)
     return shuffled(rows, key, seed, epoch).select("draw", "label", key)

@@ -1,7 +1,14 @@
-"""Binary metrics of score tables (y int, prob float)."""
+"""Binary metrics of score tables (y int, prob float).
+
+A score table is counted once, by group and score (`histogram`); the counts are exact, add up over parts of the table
+(`merged`), and answer every threshold, AUROC and report. A null or NaN score is an error everywhere; rows whose y is
+neither 0 nor 1 (null too) don't count.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,45 +34,77 @@ def rates() -> dict[str, Column]:
     return {"recall": ratio(tp, tp + fn), "specificity": ratio(tn, tn + fp), "f1": ratio(2 * tp, 2 * tp + fp + fn)}
 
 
-def auroc(scores: DataFrame, by: tuple[str, ...] = (), buckets: int = 1024) -> DataFrame:
-    """auc (by groups): tie-aware, NaN with one class only.
+def histogram(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, prob, p, n: how many rows of each class have a score. Null groups are groups."""
+    checked = scores.withColumn("prob", finite(F.col("prob")))
+    return checked.groupBy(*by, "prob").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
+
+
+def merged(parts: list[DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
+    """The histogram of all the parts' rows together."""
+    return reduce(DataFrame.unionByName, parts).groupBy(*by, "prob").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
 
-    Scores are counted by value first. Values fall into buckets of their log-odds (scores crowd near 0 and 1), whose
-    running sums place them; inside a bucket a window adds the rest. The sum is of whole numbers, as decimals: it
-    doesn't depend on order and holds 10^18 rows of each class. Rows whose y is neither 0 nor 1 don't count.
+
+def summary(counted: DataFrame, levels: dict[str, float | Column], by: tuple[str, ...] = (), buckets: int = 1024) -> DataFrame:
+    """by, auc, loss, and tn_, fp_, fn_ and tp_ of each named threshold, all from one pass over a histogram.
+
+    auc is tie-aware, NaN with one class only. Scores fall into buckets of their log-odds (they crowd near 0 and 1),
+    whose running sums place them; inside a bucket a window adds the rest. The sum is of whole numbers, as decimals: it
+    doesn't depend on order and holds 10^18 rows of each class. loss is the mean cross-entropy of scores kept 1e-7 away
+    from 0 and 1. A threshold may be a column of the histogram. Without rows and groups: one row of zero counts, auc NaN.
     """
-    by = list(by)
-    p = F.col("prob").cast("double")
+    by, p = list(by), F.col("prob").cast("double")
     odds = F.when(p <= 0, -20.0).when(p >= 1, 20.0).otherwise(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.ln(p / (1 - p)))))
-    bucket = F.least(F.lit(buckets - 1), F.floor((odds + 20) * buckets / 40))
-    values = scores.withColumn("prob", finite(F.col("prob"))).groupBy(*by, "prob").agg(
-        F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")
-    )
-    values = values.withColumn("bucket", bucket)
+    values = counted.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((odds + 20) * buckets / 40)))
     inside = Window.partitionBy(*by, "bucket").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
     values = values.withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     whole = lambda c: F.col(c).cast("decimal(18,0)")
     pair = whole("p") * (2 * whole("below") + whole("n"))
-    cells = values.groupBy(*by, "bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(pair.cast("decimal(38,0)")).alias("own"))
+    safe = F.greatest(F.least(p, F.lit(1 - 1e-7)), F.lit(1e-7))
+    hits = {k: decided(F.col("prob"), t) == 1 for k, t in levels.items()}
+    sides = [F.sum(F.when(hit, F.col(c)).otherwise(0)).alias(f"{name}_{k}") for k, hit in hits.items() for c, name in (("p", "tp"), ("n", "fp"))]
+    cells = values.groupBy(*by, "bucket").agg(
+        F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(pair.cast("decimal(38,0)")).alias("own"),
+        F.sum(-F.col("p") * F.ln(safe) - F.col("n") * F.ln(1 - safe)).alias("loss"), *sides,
+    )
     before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
     twice = F.sum(F.col("own") + (2 * whole("p") * whole("below")).cast("decimal(38,0)"))
     both = F.sum("p").cast("double") * F.sum("n").cast("double")
-    return cells.groupBy(*by).agg(F.when(both > 0, twice.cast("double") / (2 * both)).otherwise(F.lit(float("nan"))).alias("auc"))
+    found = cells.groupBy(*by).agg(
+        F.when(both > 0, twice.cast("double") / (2 * both)).otherwise(F.lit(float("nan"))).alias("auc"), (F.sum("loss") / F.sum(F.col("p") + F.col("n"))).alias("loss"),
+        F.coalesce(F.sum("p"), F.lit(0)).alias("p_"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_"),
+        *[F.coalesce(F.sum(f"{c}_{k}"), F.lit(0)).alias(f"{c}_{k}") for k in levels for c in ("tp", "fp")],
+    )
+    rest = {f"tn_{k}": F.col("n_") - F.col(f"fp_{k}") for k in levels} | {f"fn_{k}": F.col("p_") - F.col(f"tp_{k}") for k in levels}
+    return found.withColumns(rest).drop("p_", "n_")
 
 
-def binary_metrics(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One row: recall, specificity, f1, auc, tn, fp, fn, tp."""
-    counts = scores.agg(*confusion(threshold)).withColumns(rates())
-    return counts.crossJoin(auroc(scores)).select("recall", "specificity", "f1", "auc", *COUNTS)  # one row each
+def at_level(found: DataFrame, level: str) -> DataFrame:
+    """A summary's counts at one threshold under their plain names, with the rates."""
+    return found.withColumnsRenamed({f"{c}_{level}": c for c in COUNTS}).withColumns(rates())
+
+
+def auroc(scores: DataFrame, by: tuple[str, ...] = (), buckets: int = 1024) -> DataFrame:
+    """auc (by groups) of a score table."""
+    return summary(histogram(scores, by), {}, by, buckets).select(*by, "auc")
+
+
+def binary_metrics(scores: DataFrame, threshold: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
+    """recall, specificity, f1, auc, tn, fp, fn, tp: one row (a group); the scores are scanned once."""
+    return at_level(summary(histogram(scores, by), {"x": threshold}, by), "x").select(*by, "recall", "specificity", "f1", "auc", *COUNTS)
 
 
 def evaluation(scores: DataFrame, threshold: float) -> DataFrame:
     """threshold, metrics and matrix [[tn, fp], [fn, tp]] at 0.5 and at the tuned threshold: two rows, one pass."""
+    return evaluation_of(histogram(scores), threshold)
+
+
+def evaluation_of(counted: DataFrame, threshold: float) -> DataFrame:
     levels = {"0_5": 0.5, "optimized": float(threshold)}
-    counts = scores.agg(*[c.alias(f"{name}_{k}") for k, t in levels.items() for name, c in zip(COUNTS, confusion(t), strict=True)])
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.lit(t).alias("threshold"), *[F.col(f"{c}_{k}").alias(c) for c in COUNTS]) for k, t in levels.items()]))
-    report = counts.select(rows.alias("r")).select("r.*").withColumns(rates()).crossJoin(auroc(scores))
+    found = summary(counted, levels)
+    each = [F.struct(F.lit(k).alias("at"), F.lit(t).alias("threshold"), *[F.col(f"{c}_{k}").alias(c) for c in COUNTS]) for k, t in levels.items()]
+    report = found.select("auc", F.explode(F.array(*each)).alias("r")).select("auc", "r.*").withColumns(rates())
     return report.select("at", "threshold", "recall", "specificity", "f1", "auc", F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("matrix"))
 
 
@@ -78,16 +117,10 @@ def predictions(scores: DataFrame, threshold: float, key: str) -> DataFrame:
     )
 
 
-def log_loss() -> Column:
-    """Mean cross-entropy of scores, kept 1e-7 away from 0 and 1."""
-    p = F.greatest(F.least(F.col("prob").cast("double"), F.lit(1 - 1e-7)), F.lit(1e-7))
-    return F.avg(-F.ln(F.when(F.col("y") == 1, p).otherwise(1 - p)))
-
-
 def epoch_metrics(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     """epoch, then loss, recall, specificity, f1 and auc of phases train and val; `scores` has epoch, phase, y, prob."""
     by = ("epoch", "phase")
-    rows = scores.groupBy(*by).agg(*confusion(threshold), log_loss().alias("loss")).withColumns(rates()).join(auroc(scores, by, 16), list(by))
+    rows = at_level(summary(histogram(scores, by), {"x": threshold}, by, 16), "x")
     names = ("loss", "recall", "specificity", "f1", "auc")
     return rows.groupBy("epoch").agg(*[F.max(F.when(F.col("phase") == p, F.col(c))).alias(f"{p}_{c}") for p in ("train", "val") for c in names])
 

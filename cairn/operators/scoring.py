@@ -15,8 +15,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def score(rows: DataFrame, coef: list[list[float]], intercept: list[float]) -> DataFrame:
-    """Adds logits and prob_sick (float32) to rows with `features`."""
-    features = F.transform("features", lambda x: x.cast("double"))
+    """Adds logits and prob_sick (float32) to rows with `features`; null features give nulls, a size other than the model's is an error."""
+    wrong = F.raise_error(F.concat(F.lit(f"the model takes {len(coef[0])} features, not "), F.size("features").cast("string"))).cast("array<double>")
+    fits = F.col("features").isNull() | (F.size("features") == len(coef[0]))
+    features = F.when(fits, F.transform("features", lambda x: x.cast("double"))).otherwise(wrong)
     logits = F.array(*[dot(features, F.array(*[F.lit(float(w)) for w in ws])) + F.lit(float(b)) for ws, b in zip(coef, intercept, strict=True)])
     scored = rows.withColumn("logits", logits)
     return scored.withColumn("prob_sick", F.element_at(softmax(F.col("logits")), 2).cast("float"))

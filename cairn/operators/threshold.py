@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.probability import finite, grid, is_close
-from cairn.operators.metrics import ratio
+from cairn.functions.probability import grid, is_close
+from cairn.operators.metrics import histogram, ratio
 
 METRICS = ("youden_j", "f1", "balanced_accuracy")
 
@@ -24,34 +24,37 @@ def reached(prob: Column, points: list[float]) -> Column:
     return guess + more - less
 
 
-def curve(scores: DataFrame, low: float = 0.05, high: float = 0.95, steps: int = 181) -> DataFrame:
-    """step, threshold, tn, fp, fn, tp, youden_j, f1, balanced_accuracy for each grid point.
+def curve(scores: DataFrame, low: float = 0.05, high: float = 0.95, steps: int = 181, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, step, threshold, tn, fp, fn, tp, youden_j, f1, balanced_accuracy for each grid point (of each group).
 
-    Each score is binned once; the sweep is suffix sums over at most 2 * (steps + 1) counts.
+    A null or NaN score is an error; rows whose y is neither 0 nor 1 don't count.
     """
+    return curve_of(histogram(scores, by), low, high, steps, by)
+
+
+def curve_of(counted: DataFrame, low: float = 0.05, high: float = 0.95, steps: int = 181, by: tuple[str, ...] = ()) -> DataFrame:
+    """The curve from a histogram: each score is binned once; the sweep is suffix sums over at most steps + 1 counts a group."""
     points = grid(low, high, steps)
-    binned = scores.select("y", reached(finite(F.col("prob")), points).alias("k")).groupBy("k").agg(
-        F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")
-    )
-    every = scores.sparkSession.createDataFrame([(0, None)] + [(i + 1, p) for i, p in enumerate(points)], "step int, threshold double")
-    onward = Window.orderBy("step").rowsBetween(0, Window.unboundedFollowing)
-    rows = every.join(binned, F.col("step") == F.col("k"), "left")
+    binned = counted.select(*by, reached(F.col("prob"), points).alias("k"), "p", "n").groupBy(*by, "k").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    held = binned.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("p", "n")))).alias("held"))
+    places = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(p).cast("double").alias("threshold")) for i, p in enumerate([None, *points])])
+    rows = held.select(*by, "held", F.explode(places).alias("at")).select(*by, "at.*", F.try_element_at("held", F.col("at.step")).alias("cell"))
+    onward = Window.partitionBy(*by).orderBy("step").rowsBetween(0, Window.unboundedFollowing)
+    whole = Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for c, out in (("p", "tp"), ("n", "fp")):
-        rows = rows.withColumn(out, F.sum(F.coalesce(c, F.lit(0))).over(onward))
-    whole = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.withColumn(out, F.sum(F.coalesce(f"cell.{c}", F.lit(0))).over(onward))
     rows = rows.withColumn("fn", F.first("tp").over(whole) - F.col("tp")).withColumn("tn", F.first("fp").over(whole) - F.col("fp"))
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     tpr, tnr = ratio(tp, tp + fn), ratio(tn, tn + fp)
     present = (tp + fn > 0).cast("int") + (tn + fp > 0).cast("int")
-    scored = rows.where("step > 0").select(
-        "step", "threshold", "tn", "fp", "fn", "tp", (tpr + tnr - 1).alias("youden_j"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
+    return rows.where("step > 0").select(
+        *by, "step", "threshold", "tn", "fp", "fn", "tp", (tpr + tnr - 1).alias("youden_j"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
         F.when(present > 0, (tpr + tnr) / present).otherwise(F.lit(float("nan"))).alias("balanced_accuracy"),
     )
-    return scored
 
 
-def choose(points: DataFrame, metric: str = "youden_j") -> DataFrame:
-    """threshold, score: the grid is walked upward; a point takes over when its score is greater, or close to the best
+def choose(points: DataFrame, metric: str = "youden_j", by: tuple[str, ...] = ()) -> DataFrame:
+    """by, threshold, score: the grid is walked upward; a point takes over when its score is greater, or close to the best
     and the point nearer to 0.5. Starts from (0.5, -inf)."""
     if metric not in METRICS:
         raise ValueError(f"unknown threshold metric: {metric}")
@@ -64,8 +67,9 @@ def choose(points: DataFrame, metric: str = "youden_j") -> DataFrame:
         return F.when(better, state(x["t"], x["s"])).otherwise(best)
 
     start = state(F.lit(0.5), F.lit(float("-inf")))
-    return points.agg(F.aggregate(walk, start, take).alias("best")).select(F.col("best.t").alias("threshold"), F.col("best.s").alias("score"))
+    return points.groupBy(*by).agg(F.aggregate(walk, start, take).alias("best")).select(*by, F.col("best.t").alias("threshold"), F.col("best.s").alias("score"))
 
 
-def optimize(scores: DataFrame, metric: str = "youden_j", low: float = 0.05, high: float = 0.95, steps: int = 181) -> DataFrame:
-    return choose(curve(scores, low, high, steps), metric)
+def optimize(scores: DataFrame, metric: str = "youden_j", low: float = 0.05, high: float = 0.95, steps: int = 181, by: tuple[str, ...] = ()) -> DataFrame:
+    """The threshold of each group (of all rows without groups), from one scan of the scores."""
+    return choose(curve(scores, low, high, steps, by), metric, by)

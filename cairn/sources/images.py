@@ -81,9 +81,10 @@ def write_json(table: DataFrame, path: str) -> None:
 
 
 def save_model(spark: SparkSession, model: dict, path: str) -> None:
-    """One row: coef, intercept, epoch, best_score."""
-    row = (model["coef"], model["intercept"], model["epoch"], model["best_score"])
-    schema = "coef array<array<double>>, intercept array<double>, epoch int, best_score double"
+    """One row: coef, intercept, epoch, best_score, input_channels (1 if not given) and use_rgb (whether it has three)."""
+    channels = int(model.get("input_channels", 1))
+    row = (model["coef"], model["intercept"], model["epoch"], model["best_score"], channels, bool(model.get("use_rgb", channels == 3)))
+    schema = "coef array<array<double>>, intercept array<double>, epoch int, best_score double, input_channels int, use_rgb boolean"
     spark.createDataFrame([row], schema).write.mode("overwrite").parquet(path)
 
 
