@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import json
 import math
+import secrets
 from dataclasses import asdict, dataclass, field
+from multiprocessing.connection import Client, Listener
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ STATE = 9
 PARTS = "fold int, phase int, at int, prob float, value double, p long, n long"
 #: Batches of fewer rows than two lanes' are walked by one task at a time, larger ones by several at once.
 LANE_ROWS = 4096
+#: Rows that a task walks before it hands the state on, which takes a second.
+TURN_ROWS = 1 << 20
 MEASURES = ("recall", "specificity", "f1", "auc")
 
 
@@ -230,6 +234,48 @@ def unpack(text: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(text))
 
 
+class Lanes:
+    """Adds up arrays of all tasks of a barrier stage, again and again: the first task collects and answers.
+
+    Its address and a key go round once by the stage's own exchange, which takes a second; the arrays then go over a
+    connection a task. Sums are in the order of tasks. A connection that breaks fails the task, and so the stage.
+    """
+
+    def __init__(self, context: BarrierTaskContext):
+        self.first, hosts = context.partitionId() == 0, [info.address.rsplit(":", 1)[0] for info in context.getTaskInfos()]
+        key = secrets.token_bytes(32)
+        listener = Listener((hosts[0], 0), backlog=len(hosts), authkey=key) if self.first else None
+        said = context.allGather(json.dumps([*listener.address, key.hex()]) if self.first else "")
+        if self.first:
+            links = {}
+            while len(links) < len(hosts) - 1:
+                link = listener.accept()
+                links[link.recv()] = link
+            listener.close()
+            self.links = [links[i] for i in sorted(links)]
+        else:
+            host, port, key = json.loads(said[0])
+            self.links = [Client((host, port), authkey=bytes.fromhex(key))]
+            self.links[0].send(context.partitionId())
+
+    def total(self, own: np.ndarray) -> np.ndarray:
+        if not self.first:
+            self.links[0].send_bytes(own.tobytes())
+            return np.frombuffer(self.links[0].recv_bytes())
+        for link in self.links:
+            own = own + np.frombuffer(link.recv_bytes())
+        for link in self.links:
+            link.send_bytes(own.tobytes())
+        return own
+
+    def __enter__(self) -> Lanes:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for link in self.links:
+            link.close()
+
+
 def slots(rows: DataFrame) -> int:
     """Tasks that can run at the same time; a barrier stage takes no more."""
     return rows.sparkSession.sparkContext.defaultParallelism
@@ -242,8 +288,8 @@ def walked(rows: DataFrame, heads: dict[int, Head], steps: dict[int, int], dim:
     The rows are joined to their places once, laid out by place and read once. Steps follow one another, so batches of few rows are walked by
     one task at a time for each head: tasks hold consecutive batches and hand the state on by an exchange a task (folds
     run side by side). Batches of 2 * LANE_ROWS rows and more are cut into lanes: every task has a share of each batch
-    and the shares' sums are exchanged each step. A task holds a step's rows and a batch of Arrow, no more. A lost task
-    starts the stage anew, from the same state.
+    and the shares' sums are exchanged each step (`Lanes`). A task holds a step's rows and a batch of Arrow, no more. A
+    lost task starts the stage anew, from the same state.
     """
     live, size = sorted(f for f in heads if steps[f]), s.batch_size
     weights = list(s.class_weights) if s.class_weights is not None else None
@@ -255,7 +301,7 @@ def walked(rows: DataFrame, heads: dict[int, Head], steps: dict[int, int], dim:
     places = slots(rows)
     lanes = max(1, min(places, size // LANE_ROWS))
     groups = min(len(live), places)
-    turns = max(1, min(places // groups, max(steps[f] for f in live)))
+    turns = max(1, min(places // groups, -(-max(steps[f] for f in live) * size // TURN_ROWS)))
     per_fold = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("nth") + 1)
     placed = orders.withColumn("batch", F.floor(F.col("draw") / size)).withColumn("nth", F.array_position(F.array(*map(F.lit, live)), F.col("fold")).cast("int") - 1)
     placed = placed.where(F.col("batch") < per_fold([steps[f] for f in live]))
@@ -286,6 +332,8 @@ def walked(rows: DataFrame, heads: dict[int, Head], steps: dict[int, int], dim:
                     head.step(sums[2:] / max(sums[1], 1e-300), s)
                     states[f] = head, lost + sums[0] / max(sums[1], 1e-300)
                     yield from tally.add(f, prob, y)
+            if turns == 1:
+                break
             said = json.dumps({f: pack(np.append(h.numbers(), lost)) for f, (h, lost) in states.items()}) if now == mine else "{}"
             for text in context.allGather(said):
                 for f, numbers in json.loads(text).items():
@@ -300,17 +348,18 @@ def walked(rows: DataFrame, heads: dict[int, Head], steps: dict[int, int], dim:
         states, lost = {f: Head.of(start[f]) for f in live}, dict.fromkeys(live, 0.0)
         ahead = steps_of(batches, dim)
         step = next(ahead, None)
-        for number in range(max(steps[f] for f in live)):
-            sums = {f: np.zeros(2 + len(states[f].theta)) for f in live if number < steps[f]}
-            while step is not None and step[1] == number:
-                f, _, x, y, ids = step
-                sums[f], prob = sums_of(dropped(x, ids, 1 - s.dropout, s.seed + epoch), y, states[f].theta, s)
-                yield from tally.add(f, prob, y)
-                step = next(ahead, None)
-            whole = sum(unpack(text) for text in context.allGather(pack(np.concatenate(list(sums.values())))))
-            for f, own in zip(sums, np.split(whole, len(sums)), strict=True):
-                states[f].step(own[2:] / max(own[1], 1e-300), s)
-                lost[f] += own[0] / max(own[1], 1e-300)
+        with Lanes(context) as others:
+            for number in range(max(steps[f] for f in live)):
+                sums = {f: np.zeros(2 + len(states[f].theta)) for f in live if number < steps[f]}
+                while step is not None and step[1] == number:
+                    f, _, x, y, ids = step
+                    sums[f], prob = sums_of(dropped(x, ids, 1 - s.dropout, s.seed + epoch), y, states[f].theta, s)
+                    yield from tally.add(f, prob, y)
+                    step = next(ahead, None)
+                whole = others.total(np.concatenate(list(sums.values())))
+                for f, own in zip(sums, np.split(whole, len(sums)), strict=True):
+                    states[f].step(own[2:] / max(own[1], 1e-300), s)
+                    lost[f] += own[0] / max(own[1], 1e-300)
         yield from tally.flush()
         if context.partitionId() == 0:
             yield from ended(states, lost)

@@ -322,6 +322,29 @@ def fold_mean_std(spark, sf_dir):
     return rounded(metrics.fold_spread(folds, ["recall", "specificity", "f1"]), "mean", "std")
 
 
+def fold_choice_sql(metric: str) -> str:
+    """The choice of each fold of v_folds: the walk of choose_sql, all folds abreast."""
+    better = f"{metric} > s OR (abs({metric} - s) <= 1e-8::DOUBLE + 1e-5::DOUBLE * abs(s) AND abs(threshold - 0.5) < abs(t - 0.5))"
+    return f"""e AS (SELECT fold, prob, y, count(*) AS m FROM v_folds GROUP BY ALL), n AS (
+  SELECT fold, step, threshold, {", ".join(f"CAST(sum(CASE WHEN y = {y} AND prob {op} CAST(threshold AS FLOAT) THEN m ELSE 0 END) AS BIGINT) AS {c}" for c, y, op in (("tn", 0, "<"), ("fp", 0, ">="), ("fn", 1, "<"), ("tp", 1, ">=")))}
+  FROM g, e GROUP BY fold, step, threshold
+), curve AS (SELECT fold, step, threshold, recall + specificity - 1 AS youden_j FROM (SELECT *, {RATES} FROM n)), best AS (
+  SELECT DISTINCT fold, CAST(0 AS BIGINT) AS step, 0.5::DOUBLE AS t, '-inf'::DOUBLE AS s FROM e
+  UNION ALL SELECT c.fold, c.step, CASE WHEN {better} THEN threshold ELSE t END, CASE WHEN {better} THEN {metric} ELSE s END
+    FROM best b JOIN curve c ON c.fold = b.fold AND c.step = b.step + 1
+)"""
+
+
+GRID = curve_sql("v_scores").split("), e AS")[0] + ")"
+
+
+@query(f"""WITH RECURSIVE {v.SCORES}, v_folds AS (SELECT k % 10 AS fold, y, prob FROM v_scores), {GRID}, {fold_choice_sql("youden_j")}
+SELECT fold, round(t, 6) AS threshold, round(s, 6) AS score FROM best WHERE step = 181""")
+def fold_thresholds(spark, sf_dir):
+    rows = v.scores(spark, sf_dir).withColumn("fold", F.col("k") % 10)
+    return rounded(threshold.optimize(rows, "youden_j", by=("fold",)), "threshold", "score")
+
+
 # Losses
 
 SOFT = "list_transform({l}, lambda x: exp(x - list_max({l})) / list_sum(list_transform({l}, lambda z: exp(z - list_max({l})))))"
@@ -525,6 +548,66 @@ def image_predict(spark, sf_dir):
     return rounded(scoring.predict_images(v.pixels(spark, sf_dir, True), model, size=None), "prob_normal", "prob_sick", "confidence", digits=5)
 
 
+def logits_sql(models: list[tuple[list, list]], name: str = "l") -> str:
+    """CTE of vec_id, y and both logits of each model, by its place m."""
+    line = lambda ws, b: f"list_sum([{', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) * {w!r}::DOUBLE' for i, w in enumerate(ws))}]) + {b!r}::DOUBLE"
+    each = [f"SELECT {m} AS m, vec_id AS id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, {line(c[0], b[0])} AS l0, {line(c[1], b[1])} AS l1 FROM embeddings" for m, (c, b) in enumerate(models)]
+    return f"{name} AS ({' UNION ALL '.join(each)})"
+
+
+#: The sums of one gradient step under fixed weights: of weighted cross-entropy and of focal loss.
+STEP_SQL = f"""WITH {logits_sql([(COEF, INTERCEPT)])}, p AS (
+  SELECT id, y, 1 / (1 + exp(l1 - l0)) AS p0, 1 / (1 + exp(l0 - l1)) AS p1, CASE y WHEN 0 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS w FROM l
+), c AS (SELECT *, -ln(CASE y WHEN 0 THEN p0 ELSE p1 END) * w AS ce FROM p), k AS (
+  SELECT 'weighted_ce' AS loss_name, id, y, p0, p1, w, ce AS loss, w AS weight, 1.0::DOUBLE AS slope FROM c
+  UNION ALL SELECT 'focal', id, y, p0, p1, w, (1 - exp(-ce)) * (1 - exp(-ce)) * ce, 1.0::DOUBLE, 2 * (1 - exp(-ce)) * exp(-ce) * ce + (1 - exp(-ce)) * (1 - exp(-ce)) FROM c
+), s AS (SELECT loss_name, id, loss, weight, [slope * w * (p0 - CASE y WHEN 0 THEN 1 ELSE 0 END), slope * w * (p1 - CASE y WHEN 1 THEN 1 ELSE 0 END)] AS step FROM k)
+SELECT loss_name, 0 AS at_place, round(sum(loss), 6) AS value FROM s GROUP BY loss_name
+UNION ALL SELECT loss_name, 1, round(sum(weight), 6) FROM s GROUP BY loss_name
+UNION ALL SELECT loss_name, CAST(2 + c * 64 + i AS INTEGER), round(sum(step[c + 1] * CAST(embedding[i + 1] AS DOUBLE)), 6)
+  FROM s JOIN embeddings ON vec_id = id, (SELECT unnest([0, 1]) AS c), (SELECT unnest(range(64)) AS i) GROUP BY loss_name, c, i
+UNION ALL SELECT loss_name, CAST(130 + c AS INTEGER), round(sum(step[c + 1]), 6) FROM s, (SELECT unnest([0, 1]) AS c) GROUP BY loss_name, c"""
+
+
+@query(STEP_SQL)
+def head_step(spark, sf_dir):
+    rows, model = v.features(spark, sf_dir), {"coef": COEF, "intercept": INTERCEPT}
+    found = [(k, i, float(x)) for k in ("weighted_ce", "focal") for i, x in enumerate(head.gradient(rows, model, loss=k))]
+    return rounded(spark.createDataFrame(found, "loss_name string, at_place int, value double"), "value")
+
+
+HEAD_SCORES = f"""{logits_sql([(COEF, INTERCEPT)])}, v_scores AS (SELECT id AS k, y, CAST(1 / (1 + exp(l0 - l1)) AS FLOAT) AS prob FROM l),
+v_val AS (SELECT * FROM v_scores WHERE k % 10 = 8), v_test AS (SELECT * FROM v_scores WHERE k % 10 = 9), {curve_sql("v_val")}, {choose_sql("youden_j")},
+tuned AS (SELECT t FROM best WHERE step = 181)"""
+
+
+@query(f"""WITH RECURSIVE {HEAD_SCORES}, c AS (
+  SELECT '0_5' AS at_, 0.5::DOUBLE AS threshold, {confusion_sql("0.5")} FROM v_test
+  UNION ALL SELECT 'optimized', any_value(t), {confusion_sql("t")} FROM v_test, tuned
+), a AS ({auc_sql("v_test")}), r AS (SELECT *, {RATES} FROM c, a)
+SELECT at_ AS "at", round(threshold, 6) AS threshold, round(recall, 6) AS recall, round(specificity, 6) AS specificity, round(f1, 6) AS f1, round(auc, 6) AS auc, tn, fp, fn, tp FROM r""")
+def head_report_fixed(spark, sf_dir):
+    _, val, test = parts(spark, sf_dir)
+    rows = rounded(head.report(val, test, {"coef": COEF, "intercept": INTERCEPT}), "threshold", "recall", "specificity", "f1", "auc")
+    cells = {c: F.col("matrix")[i][j] for c, (i, j) in zip(metrics.COUNTS, ((0, 0), (0, 1), (1, 0), (1, 1)), strict=True)}
+    return rows.withColumns(cells).drop("matrix")
+
+
+#: Fixed heads of ten folds: the weights of the first, turned by a place a fold.
+FOLD_MODELS = [([ws[f:] + ws[:f] for ws in COEF], [b + f / 50 for b in INTERCEPT]) for f in range(10)]
+
+
+@query(f"""WITH {logits_sql(FOLD_MODELS)}, v_folds AS (SELECT m AS fold, y, CAST(1 / (1 + exp(l0 - l1)) AS FLOAT) AS prob FROM l WHERE id % 10 = m),
+c AS (SELECT fold, {confusion_sql("0.5")} FROM v_folds GROUP BY fold), a AS ({auc_sql("v_folds", "fold")}), r AS (SELECT recall, specificity, f1, auc FROM (SELECT *, {RATES} FROM c) x JOIN a ON x.fold = a.fold)
+SELECT metric, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM (UNPIVOT r ON recall, specificity, f1, auc INTO NAME metric VALUE value) GROUP BY metric""")
+def cv_mean_std(spark, sf_dir):
+    """Ten fixed heads, each tested on its own fold, in one pass over the features."""
+    rows = v.features(spark, sf_dir)
+    assigned = rows.select("id", (F.col("id") % 10).cast("int").alias("fold"), F.lit("test").alias("split"))
+    models = {f: {"coef": c, "intercept": b} for f, (c, b) in enumerate(FOLD_MODELS)}
+    return rounded(metrics.fold_spread(head.fold_metrics(rows, assigned, models), ["recall", "specificity", "f1", "auc"]), "mean", "std")
+
+
 def parts(spark, sf_dir):
     rows = v.features(spark, sf_dir)
     return rows.where("id % 10 < 8"), rows.where("id % 10 = 8"), rows.where("id % 10 = 9")
@@ -537,6 +620,26 @@ def head_history(spark, sf_dir):
     return spark.createDataFrame([tuple(r.values()) for r in rows], "epoch int, " + ", ".join(f"{c} double" for c in list(rows[0])[1:]))
 
 
+@query()
+def head_history_batches(spark, sf_dir):
+    """As the defaults train: batches of 64 rows, drawn by class weights, a short last one left out."""
+    train, val, _ = parts(spark, sf_dir)
+    rows, _ = head.fit_head(train, val, batch_size=64, strategy="sampler")
+    return spark.createDataFrame([tuple(r.values()) for r in rows], "epoch int, " + ", ".join(f"{c} double" for c in list(rows[0])[1:]))
+
+
+@query()
+def head_folds(spark, sf_dir):
+    """Ten heads fitted at once; the history of each. A fold tests on a tenth, validates on the next and trains on the rest."""
+    rows = v.features(spark, sf_dir)
+    away = F.pmod(F.col("id") - F.col("fold"), F.lit(10))
+    folds = rows.select("id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("fold"))
+    assigned = folds.withColumn("split", F.when(away == 0, "test").when(away == 1, "val").otherwise("train"))
+    found = [(f, *r.values()) for f, (history_, _) in head.fit_folds(rows, assigned).items() for r in history_]
+    names = ("train_loss", "val_loss", *(f"{p}_{m}" for p in ("train", "val") for m in head.MEASURES))
+    return spark.createDataFrame(found, "fold int, epoch int, " + ", ".join(f"{c} double" for c in names))
+
+
 @query()
 def head_report(spark, sf_dir):
     train, val, test = parts(spark, sf_dir)
