@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.paths import CLASSES, is_image
+from cairn.sources.trees import files_below
 
 IMAGE_COLUMNS = ("patient_id", "class", "image_path")
 
@@ -27,10 +28,11 @@ def parse_paths(paths: DataFrame, root: str, classes=CLASSES, column: str = "pat
 def scan_images(spark: SparkSession, root: str, classes=CLASSES) -> DataFrame:
     """parse_paths over a directory tree; only names are read, a missing class is skipped, no image gives no row.
 
-    Spark's listing leaves out names that begin with a dot or underscore.
+    Only the folders of known classes are entered. Tasks list the tree level by level (`trees.files_below`), names that
+    begin with a dot or underscore too.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    return parse_paths(files.select(F.regexp_replace("path", "^file:/+", "/").alias("path")), re.sub("^file:/+", "/", root), classes)
+    root = re.sub("^file:/+", "/", root).rstrip("/")
+    return parse_paths(files_below(spark, [f"{root}/{c}" for c in classes]), root, classes)
 
 
 def ordered_scan(images: DataFrame, classes=CLASSES) -> DataFrame:
