@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,13 +72,25 @@ def dice_ce(voxels: DataFrame, classes: int, dice_weight: float = 1.0, ce_weight
     return one.crossJoin(two).select((dice_weight * F.col("d") + ce_weight * F.col("c")).alias("loss"))  # one row each
 
 
+def bucketed(rows: DataFrame, order: str, buckets: int = 1024) -> DataFrame:
+    """Adds bucket_: ranges of the number `order` that hold about as many rows each, wherever the numbers lie.
+
+    The edges are approximate quantiles, found in one pass; a row's bucket is looked up in them. Null orders fall away.
+    """
+    keyed = rows.where(F.col(order).isNotNull()).withColumn("order_", F.col(order).cast("double"))
+    shares = [i / buckets for i in range(1, buckets)]
+    edges = sorted({e for e in keyed.approxQuantile("order_", shares, 1 / (4 * buckets)) if math.isfinite(e)})
+    places = Bucketizer(splits=[-math.inf, *(edges or [0.0]), math.inf], inputCol="order_", outputCol="bucket_")
+    return places.transform(keyed).drop("order_")
+
+
 def batches(rows: DataFrame, order: str, size: int = 64, drop_last: bool = False, buckets: int = 1024) -> DataFrame:
     """Adds batch: consecutive rows by a unique number `order`, `size` in each; `drop_last` leaves a short last one out.
 
-    The order's range is cut into fixed buckets whose running counts place the rows, so no task holds all rows.
+    Rows are placed by the running counts of ranges with about equally many rows (`bucketed`), so no task holds all
+    rows, however the numbers are spread.
     """
-    edge = rows.agg(F.min(order).alias("lo_"), F.max(order).alias("hi_"))
-    keyed = rows.crossJoin(edge).withColumn("bucket_", F.floor((F.col(order).cast("double") - F.col("lo_")) / (F.col("hi_").cast("double") - F.col("lo_") + 1) * buckets))  # one row
+    keyed = bucketed(rows, order, buckets)
     cells = keyed.groupBy("bucket_").agg(F.count("*").alias("n_"))
     before = Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

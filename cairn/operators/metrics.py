@@ -108,6 +108,29 @@ def evaluation_of(counted: DataFrame, threshold: float) -> DataFrame:
     return report.select("at", "threshold", "recall", "specificity", "f1", "auc", F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("matrix"))
 
 
+def report_record(
+    counted: DataFrame, tuned: tuple[float, float], model: dict, test_loss: float, run_name: str = "run", tuned_for: str = "youden_j", saved_for: str = "val_recall"
+) -> DataFrame:
+    """The test report as one nested row: the model's best epoch and score, the tuned (threshold, score) and what it was tuned for,
+    the loss, and metrics and matrix at 0.5 and at the threshold. `counted`: a histogram of the test scores."""
+    # The report's field names.
+    level, score = map(float, tuned)
+    levels = {"0_5": 0.5, "optimized": level}
+    found = summary(counted, levels)
+    cells = {k: {c: F.col(f"{c}_{k}") for c in COUNTS} for k in levels}
+    rate = lambda own: {
+        "recall": ratio(own["tp"], own["tp"] + own["fn"]), "specificity": ratio(own["tn"], own["tn"] + own["fp"]),
+        "f1": ratio(2 * own["tp"], 2 * own["tp"] + own["fp"] + own["fn"]), "auc": F.col("auc"),
+    }
+    metric = [F.struct(*[c.alias(n) for n, c in (rate(own) | own).items()]).alias(f"test_metrics_threshold_{k}") for k, own in cells.items()]
+    matrix = [F.array(F.array(own["tn"], own["fp"]), F.array(own["fn"], own["tp"])).alias(f"confusion_matrix_threshold_{k}") for k, own in cells.items()]
+    plain = {
+        "run_name": run_name, "best_epoch": int(model["epoch"]), "best_score": float(model["best_score"]), "save_best_metric": saved_for,
+        "val_optimized_threshold": level, "val_optimized_threshold_metric": tuned_for, "val_optimized_threshold_score": score, "test_loss": float(test_loss),
+    }
+    return found.select(*[F.lit(x).alias(n) for n, x in plain.items()], *metric, *matrix)
+
+
 def predictions(scores: DataFrame, threshold: float, key: str) -> DataFrame:
     """key, true_label, prob_sick and the decisions at 0.5 and at the tuned threshold."""
     prob = F.col("prob")

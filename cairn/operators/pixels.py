@@ -8,6 +8,8 @@ functions. Null pixels stay null.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -50,8 +52,16 @@ def weights(size: int, out: int) -> np.ndarray:
     return table
 
 
-def per_shape(images: DataFrame, step) -> DataFrame:
-    """`step` takes a stack of blocks of one shape, (n, h, w, c) or (n, c, h, w), and gives another; pixels, h and w change."""
+#: Bytes of doubles that a stack of images may take, before or after its step.
+STACK = 1 << 26
+
+
+def per_shape(images: DataFrame, step, out_area: int) -> DataFrame:
+    """`step` takes a stack of blocks of one shape, (n, h, w, c) or (n, c, h, w), and gives another of `out_area` pixels; pixels, h and w change.
+
+    Stacks are cut by the larger of both sizes, so a task holds STACK bytes of doubles (or one image), however many
+    images come at once and however far they are enlarged.
+    """
     floats = dict(images.dtypes)["pixels"] in ("array<float>", "array<double>")
 
     def run(batches):
@@ -60,16 +70,20 @@ def per_shape(images: DataFrame, step) -> DataFrame:
             batch = whole.filter(whole["pixels"].is_valid())
             sizes = np.stack([batch[k].to_numpy(zero_copy_only=False) for k in "hwc"], 1)
             for h, w, c in np.unique(sizes, axis=0).tolist():
-                part = batch.filter(pa.array((sizes == (h, w, c)).all(axis=1)))
-                flat = part["pixels"].flatten().to_numpy(zero_copy_only=False)
-                stack = step(flat.reshape(len(part), *((c, h, w) if floats else (h, w, c))))
-                columns = {n: part[n] for n in part.schema.names}
-                kind = part.schema.field("pixels").type
-                made = pa.array(stack.ravel(), kind.value_type)
-                columns["pixels"] = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * (len(made) // len(part))), made, type=kind)
-                for k, size in zip("hw", stack.shape[2:] if floats else stack.shape[1:3], strict=True):
-                    columns[k] = pa.array(np.full(len(part), size), part.schema.field(k).type)
-                yield pa.RecordBatch.from_arrays(list(columns.values()), schema=whole.schema)
+                alike, n = batch.filter(pa.array((sizes == (h, w, c)).all(axis=1))), max(1, STACK // (8 * c * max(h * w, out_area, h * math.isqrt(out_area), 1)))
+                for part in (alike.slice(lo, n) for lo in range(0, len(alike), n)):
+                    yield stepped(part, h, w, c, whole.schema)
+
+    def stepped(part, h, w, c, schema):
+        flat = part["pixels"].flatten().to_numpy(zero_copy_only=False)
+        stack = step(flat.reshape(len(part), *((c, h, w) if floats else (h, w, c))))
+        columns = {n: part[n] for n in part.schema.names}
+        kind = part.schema.field("pixels").type
+        made = pa.array(stack.ravel(), kind.value_type)
+        columns["pixels"] = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * (len(made) // len(part))), made, type=kind)
+        for k, size in zip("hw", stack.shape[2:] if floats else stack.shape[1:3], strict=True):
+            columns[k] = pa.array(np.full(len(part), size), part.schema.field(k).type)
+        return pa.RecordBatch.from_arrays(list(columns.values()), schema=schema)
 
     return images.mapInArrow(run, images.schema)
 
@@ -84,7 +98,7 @@ def resize(images: DataFrame, size: int) -> DataFrame:
         out = np.einsum("ij,njkc->nikc", weights(nhwc.shape[1], size), across)
         return out.transpose(0, 3, 1, 2).astype(stack.dtype) if floats else np.clip(np.floor(np.round(out, 9) + 0.5), 0, 255).astype(stack.dtype)
 
-    return per_shape(images, step)
+    return per_shape(images, step, size * size)
 
 
 def to_tensor(images: DataFrame) -> DataFrame:
@@ -111,43 +125,69 @@ def coin(name: str, seed: int, epoch: int) -> Column:
     return uniform(seed, epoch, F.lit(name), F.col("image_id"))
 
 
-def moved(images: DataFrame, source) -> Column:
-    """Pixels taken from the place (row, column) that `source(y, x)` gives for each place; 0 outside."""
-    h, w, c, floats = F.col("h"), F.col("w"), F.col("c"), dict(images.dtypes)["pixels"] in ("array<float>", "array<double>")
+@dataclass(frozen=True)
+class Move:
+    """Where a step takes pixels from: `source(y, x)` of each place, in terms of the columns it needs."""
 
-    def pixel(i):
-        place = i % (h * w) if floats else F.floor(i / c).cast("int")
-        y, x = source(F.floor(place / w).cast("int"), place % w)
-        at = i - place + y * w + x if floats else (y * w + x) * c + i % c
-        return F.when((y >= 0) & (y < h) & (x >= 0) & (x < w), F.col("pixels")[at.cast("int")]).otherwise(F.lit(0))
+    columns: dict[str, Column]
+    source: Callable[[Column, Column], tuple[Column, Column]]
 
-    return once(F.transform(F.sequence(F.lit(0), h * w * c - 1), pixel).cast(dict(images.dtypes)["pixels"]))
 
+def mirroring(p: float = 0.5, seed: int = 42, epoch: int = 0) -> Move:
+    """Mirrored columns where the image's coin falls below p."""
+    return Move({"flip_": coin("flip", seed, epoch) < p}, lambda y, x: (y, F.when(F.col("flip_"), F.col("w") - 1 - x).otherwise(x)))
 
-def flip(images: DataFrame, p: float = 0.5, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """Mirrors columns where the image's coin falls below p."""
-    mirrored = moved(images, lambda y, x: (y, F.col("w") - 1 - x))
-    return images.withColumn("pixels", F.when(coin("flip", seed, epoch) < p, mirrored).otherwise(F.col("pixels")))
 
+def shifting(share: float = 0.1, seed: int = 42, epoch: int = 0) -> Move:
+    """A shift by whole pixels, at most `share` of each side."""
+    shift = lambda side, name: F.round((2 * coin(name, seed, epoch) - 1) * share * F.col(side)).cast("int")
+    return Move({"dy_": shift("h", "dy"), "dx_": shift("w", "dx")}, lambda y, x: (y - F.col("dy_"), x - F.col("dx_")))
 
-def translate(images: DataFrame, share: float = 0.1, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """Shifts by whole pixels, at most `share` of each side; zeros come in."""
-    shift = lambda side, name: F.round((2 * coin(name, seed, epoch) - 1) * share * side).cast("int")
-    shifted = images.withColumns({"dy_": shift(F.col("h"), "dy"), "dx_": shift(F.col("w"), "dx")})
-    return shifted.withColumn("pixels", moved(images, lambda y, x: (y - F.col("dy_"), x - F.col("dx_")))).drop("dy_", "dx_")
 
-
-def rotate(images: DataFrame, degrees: float = 15, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """By an angle of at most `degrees`; nearest neighbour about the centre, same size; zeros come in."""
+def turning(degrees: float = 15, seed: int = 42, epoch: int = 0) -> Move:
+    """A turn about the centre by an angle of at most `degrees`, nearest neighbour."""
     angle = F.radians((2 * coin("rotate", seed, epoch) - 1) * degrees)
-    turned = images.withColumns({"cos_": F.cos(angle), "sin_": F.sin(angle)})
     cos, sin, cy, cx = F.col("cos_"), F.col("sin_"), (F.col("h") - 1) / 2, (F.col("w") - 1) / 2
 
     def source(y, x):
         along = F.floor(cos * (x - cx) - sin * (y - cy) + cx + 0.5).cast("int")
         return F.floor(sin * (x - cx) + cos * (y - cy) + cy + 0.5).cast("int"), along
 
-    return turned.withColumn("pixels", moved(images, source)).drop("cos_", "sin_")
+    return Move({"cos_": F.cos(angle), "sin_": F.sin(angle)}, source)
+
+
+def gathered(images: DataFrame, *moves: Move) -> DataFrame:
+    """The images after all moves, the first one first, same size; zeros come in wherever a move looks outside.
+
+    The moves' places are composed before any pixel is touched: each place of the result looks up one pixel.
+    """
+    kind = dict(images.dtypes)["pixels"]
+    h, w, c, floats = F.col("h"), F.col("w"), F.col("c"), kind in ("array<float>", "array<double>")
+    columns = {n: x for m in moves for n, x in m.columns.items()}
+
+    def pixel(i):
+        place = i % (h * w) if floats else F.floor(i / c).cast("int")
+        y, x, inside = F.floor(place / w).cast("int"), place % w, F.lit(True)
+        for m in reversed(moves):
+            y, x = m.source(y, x)
+            inside = inside & (y >= 0) & (y < h) & (x >= 0) & (x < w)
+        at = i - place + y * w + x if floats else (y * w + x) * c + i % c
+        return F.when(inside, F.col("pixels")[at.cast("int")]).otherwise(F.lit(0))
+
+    places = F.sequence(F.lit(0), h * w * c - 1)
+    return images.withColumns(columns).withColumn("pixels", once(F.transform(places, pixel).cast(kind))).drop(*columns)
+
+
+def flip(images: DataFrame, p: float = 0.5, seed: int = 42, epoch: int = 0) -> DataFrame:
+    return gathered(images, mirroring(p, seed, epoch))
+
+
+def translate(images: DataFrame, share: float = 0.1, seed: int = 42, epoch: int = 0) -> DataFrame:
+    return gathered(images, shifting(share, seed, epoch))
+
+
+def rotate(images: DataFrame, degrees: float = 15, seed: int = 42, epoch: int = 0) -> DataFrame:
+    return gathered(images, turning(degrees, seed, epoch))
 
 
 def sharpen(images: DataFrame, factor: float = 1.2, p: float = 0.3, seed: int = 42, epoch: int = 0) -> DataFrame:
@@ -185,8 +225,8 @@ def prepare(images: DataFrame, size: int | None = 224, train: bool = False, chan
     """Resize, (rotate, flip, translate, sharpen), to tensor, (noise), repeat, normalise; steps in brackets for training."""
     images = resize(images, size) if size else images
     if train:
-        for step in (rotate, flip, translate, sharpen):
-            images = step(images, seed=seed, epoch=epoch)
+        images = gathered(images, *(m(seed=seed, epoch=epoch) for m in (turning, mirroring, shifting)))
+        images = sharpen(images, seed=seed, epoch=epoch)
     images = to_tensor(images)
     if train:
         images = noise(images, seed=seed, epoch=epoch)

@@ -9,7 +9,9 @@ from cairn.functions import probability as pr
 from cairn.functions.paths import decode_label, encode_label
 from cairn.operators import balance, head, history, losses, metrics, pixels, scoring, splits, threshold
 from cairn.plans import standins as v
+from cairn.sources import publication
 from cairn.sources.images import parse_paths
+from cairn.sources.scratch import scratch_folder
 
 QUERIES, SQL = {}, {}
 
@@ -140,6 +142,38 @@ def label_encode(spark, sf_dir):
     return rows.withColumn("decoded", decode_label(F.col("label")))
 
 
+# Published files, read back
+
+
+@query(f"WITH {SPLIT} SELECT i.patient_id, i.class, image_path, split FROM v_images i JOIN assigned a ON i.patient_id = a.patient_id")
+def split_roundtrip(spark, sf_dir):
+    folder = scratch_folder(spark, "splits")
+    publication.publish(spark, folder, {"splits": publication.Table(split_images(spark, sf_dir), "csv", ("split",), ("image_path",))})
+    return publication.published(spark, folder, "splits", check=True)
+
+
+@query(f"""WITH {KFOLD} SELECT format('fold_{{:02d}}', CAST(fold AS INTEGER)) AS fold, split, i.patient_id, i.class, image_path
+FROM v_images i JOIN assigned a ON i.patient_id = a.patient_id""")
+def fold_files(spark, sf_dir):
+    folder, assigned, images = scratch_folder(spark, "folds"), kfold_assign(spark, sf_dir), v.images(spark, sf_dir)
+    named = splits.split_images(images, assigned).withColumn("fold", splits.fold_name(F.col("fold")))
+    publication.publish_folds(spark, folder, named, splits.fold_summary(images, assigned))
+    return publication.published(spark, folder, "folds", check=True)
+
+
+FOLD_COUNTS = [f"n_{s}_{x}" for x in ("patients", "images") for s in ("train", "val", "test")]
+
+
+@query(f"""WITH {KFOLD}, s AS (SELECT format('fold_{{:02d}}', CAST(fold AS INTEGER)) AS fold,
+  {", ".join(f"count(DISTINCT i.patient_id) FILTER (split = '{s}') AS n_{s}_patients, count(*) FILTER (split = '{s}') AS n_{s}_images" for s in ("train", "val", "test"))}
+  FROM v_images i JOIN assigned a ON i.patient_id = a.patient_id GROUP BY fold)
+SELECT '[' || string_agg('{{"fold":"' || fold || '"' || {" || ".join(f"""',"{c}":' || {c}""" for c in FOLD_COUNTS)} || '}}', ',' ORDER BY fold) || ']' AS value FROM s""")
+def folds_summary_json(spark, sf_dir):
+    folder = scratch_folder(spark, "folds")
+    publication.publish(spark, folder, {"folds_summary": publication.Table(publication.json_list(kfold_summary(spark, sf_dir), "fold"), "text")})
+    return publication.published(spark, folder, "folds_summary", check=True)
+
+
 # Balance
 
 LABELS = f"{v.IMAGES}, l AS (SELECT image_path, CASE class WHEN 'Normal' THEN 0 ELSE 1 END AS label FROM v_images)"
@@ -593,6 +627,39 @@ def head_report_fixed(spark, sf_dir):
     return rows.withColumns(cells).drop("matrix")
 
 
+@query(f"""WITH RECURSIVE {HEAD_SCORES}, b AS (
+  SELECT y, -ln(CASE y WHEN 0 THEN 1 / (1 + exp(l1 - l0)) ELSE 1 / (1 + exp(l0 - l1)) END) AS nll, CASE y WHEN 0 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS w,
+    (row_number() OVER (ORDER BY id) - 1) // 64 AS batch FROM l WHERE id % 10 = 9
+), o AS (SELECT avg(loss) AS test_loss FROM (SELECT sum(nll * w) / sum(w) AS loss FROM b GROUP BY batch)), c AS (
+  SELECT '0_5' AS at_, {confusion_sql("0.5")} FROM v_test UNION ALL SELECT 'optimized', {confusion_sql("t")} FROM v_test, tuned
+), a AS ({auc_sql("v_test")}), r AS (SELECT *, {RATES} FROM c, a), f AS (
+  SELECT {", ".join(f"max({m}) FILTER (at_ = '{k}') AS {m}_{k}" for k in ("0_5", "optimized") for m in ("recall", "specificity", "f1", "auc", "tn", "fp", "fn", "tp"))} FROM r
+)
+SELECT 'fixed' AS run_name, 3 AS best_epoch, 0.5::DOUBLE AS best_score, 'val_recall' AS save_best_metric, round(t, 6) AS val_optimized_threshold,
+  'youden_j' AS val_optimized_threshold_metric, round(s, 6) AS val_optimized_threshold_score, round(test_loss, 6) AS test_loss,
+  {", ".join(f"{f'round({m}_{k}, 6)' if m in ('recall', 'specificity', 'f1', 'auc') else f'{m}_{k}'} AS {m}_{k}" for k in ("0_5", "optimized") for m in ("recall", "specificity", "f1", "auc", "tn", "fp", "fn", "tp"))},
+  {", ".join(f"concat('[[', tn_{k}, ',', fp_{k}, '],[', fn_{k}, ',', tp_{k}, ']]') AS matrix_{k}" for k in ("0_5", "optimized"))}
+FROM f, o, best WHERE step = 181""")
+def report_json(spark, sf_dir):
+    """The test report of a fixed head, written as one nested JSON record and read back."""
+    _, val, test = parts(spark, sf_dir)
+    model = {"coef": COEF, "intercept": INTERCEPT, "epoch": 3, "best_score": 0.5}
+    chosen = threshold.optimize(head.scored(val, model)).first()
+    rows = head.scored(test, model)
+    loss = losses.epoch_loss(rows, "id", weights=[0.6, 1.0]).first()["loss"]
+    record = metrics.report_record(metrics.histogram(rows), (chosen["threshold"], chosen["score"]), model, loss, "fixed")
+    folder = scratch_folder(spark, "report")
+    publication.publish(spark, folder, {"test_metrics": publication.Table(record, "json")})
+    held = publication.published(spark, folder, "test_metrics", check=True)
+    flat = []
+    for k in ("0_5", "optimized"):
+        own = F.col(f"test_metrics_threshold_{k}")
+        flat += [F.round(own[m], 6).alias(f"{m}_{k}") for m in head.MEASURES] + [own[c].alias(f"{c}_{k}") for c in metrics.COUNTS]
+        flat.append(F.to_json(F.col(f"confusion_matrix_threshold_{k}")).alias(f"matrix_{k}"))
+    plain = [c for c in held.columns if not c.endswith(("_0_5", "_optimized"))]
+    return rounded(held.select(*plain, *flat), "val_optimized_threshold", "val_optimized_threshold_score", "test_loss")
+
+
 #: Fixed heads of ten folds: the weights of the first, turned by a place a fold.
 FOLD_MODELS = [([ws[f:] + ws[:f] for ws in COEF], [b + f / 50 for b in INTERCEPT]) for f in range(10)]
 

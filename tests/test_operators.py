@@ -298,3 +298,39 @@ def test_steps_on_pixels_keep_nulls_and_other_channels(spark):
     turned = {r.image_id: r.pixels for r in pixels.flip(rows, 1.0).collect()}
     assert turned[1] == block.reshape(2, 3, 3)[:, ::-1].ravel().tolist() and turned[3] is None
     assert {r.image_id: r.pixels for r in pixels.sharpen(rows, 1.0, 1.1).collect()}[2] == list(range(16))
+
+
+@pytest.mark.parametrize("far", [10**12, 2**62])
+def test_batches_of_unevenly_spread_numbers(spark, far):
+    """An outlying number doesn't put all others into one range."""
+    rows = spark.createDataFrame([(i, i % 7) for i in [*range(999), far]] + [(None, 1)], "id long, x int")
+    cells = losses.bucketed(rows, "id", 64).groupBy("bucket_").count().collect()
+    assert sum(r["count"] for r in cells) == 1000 and max(r["count"] for r in cells) <= 2 * -(-1000 // 64)
+    found = {r.id: r.batch for r in losses.batches(rows, "id", 64).collect()}
+    assert found == {i: n // 64 for n, i in enumerate([*range(999), far])}
+    assert losses.batches(rows, "id", 64, True).count() == 960 and losses.batches(rows.limit(0), "id").count() == 0
+
+
+def test_moves_are_one_lookup_a_pixel(spark):
+    """Turn, mirror and shift together give what they give one after another."""
+    block = np.random.default_rng(7).integers(1, 256, (9, 7, 3))
+    rows = frame(spark, block, 5).union(frame(spark, block[:4, :6, :1], 6)).union(frame(spark, block, 8))
+    moves = [pixels.turning(40), pixels.mirroring(0.7), pixels.shifting(0.3)]
+    one = rows
+    for m in moves:
+        one = pixels.gathered(one, m)
+    together = pixels.gathered(rows, *moves)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, together.collect())) and together.columns == rows.columns
+    lambdas = lambda *ms: pixels.gathered(frame(spark, block), *ms)._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction")
+    assert lambdas(*moves) == lambdas(moves[0])
+    tensors = pixels.gathered(pixels.to_tensor(rows), *moves)
+    back = {r.image_id: np.round(np.array(r.pixels) * 255).reshape(r.c, r.h, r.w).transpose(1, 2, 0).ravel().tolist() for r in tensors.collect()}
+    assert back == {r.image_id: r.pixels for r in together.collect()}
+
+
+def test_enlarging_holds_few_images_at_once(spark, monkeypatch):
+    monkeypatch.setattr(pixels, "STACK", 8 * 40 * 40 * 3)
+    rows = spark.range(50).select(F.col("id").alias("image_id"), F.lit(2).alias("h"), F.lit(3).alias("w"), F.lit(1).alias("c"), F.array(*[(F.col("id") + i).cast("int") for i in range(6)]).alias("pixels"))
+    grown = pixels.resize(rows, 40)
+    assert grown.where("h = 40 and w = 40 and size(pixels) = 1600").count() == 50
+    assert {r.image_id: r.pixels[0] for r in grown.collect()} == {i: i for i in range(50)}

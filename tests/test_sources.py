@@ -1,5 +1,6 @@
 """Trees, images that a table names, and published tables."""
 
+import json
 import os
 import struct
 import zlib
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions.paths import CLASSES, EXTENSIONS
-from cairn.sources import images, split_images, trees
+from cairn.sources import images, publication, split_images, trees
 
 
 def filtered(kind, line, above, step):
@@ -137,3 +138,61 @@ def test_png_equals_spark_s_decoder(spark, tmp_path, kind):
         assert pixels.tolist() == data[..., 0].ravel().tolist()
     else:
         assert pixels.tolist() == (data * (255 // (top - 1))).ravel().tolist()
+
+
+# Published tables
+
+
+def fold_rows(spark):
+    rows = [(f"fold_{f:02d}", s, f"P/{i}", f'a "b",{i}\\n.png' if i % 3 else None, i, [1.5, float(i)], "") for f in (1, 2) for s in ("train", "test") for i in range(20)]
+    return spark.createDataFrame(rows, "fold string, split string, patient_id string, image_path string, n int, x array<double>, empty string")
+
+
+def same(a, b):
+    assert a.columns == b.columns or set(a.columns) == set(b.columns)
+    assert sorted(map(repr, a.select(*sorted(a.columns)).collect())) == sorted(map(repr, b.select(*sorted(a.columns)).collect()))
+
+
+def test_published_tables_come_back_whole(spark, tmp_path):
+    folder, rows = f"file://{tmp_path}/out", fold_rows(spark)
+    tables = {"csv": publication.Table(rows.drop("x"), "csv", ("fold", "split"), ("image_path",)), "json": publication.Table(rows, "json", ("fold",)), "parquet": publication.Table(rows, "parquet")}
+    assert publication.publish(spark, folder, tables | {"none": publication.Table(rows.limit(0), "parquet")}) == 1
+    for name, t in tables.items():
+        same(publication.published(spark, folder, name, check=True), t.rows)
+    assert publication.published(spark, folder, "none").count() == 0
+    names = {p.parent.relative_to(tmp_path).as_posix().split("/csv/")[1] for p in tmp_path.rglob("csv/**/part-*.csv")}
+    assert names == {f"fold=fold_{f:02d}/split={s}" for f in (1, 2) for s in ("train", "test")}
+    one = spark.read.option("header", True).option("escape", '"').csv(next(iter({str(p) for p in tmp_path.rglob("csv/fold=fold_01/split=test/part-*")})))
+    listed = [r.image_path for r in one.collect()]
+    assert listed == sorted(listed, key=lambda p: (p is not None, p or ""))
+    with pytest.raises(FileNotFoundError, match="no published other"):
+        publication.published(spark, folder, "other")
+    with pytest.raises(FileNotFoundError):
+        publication.published(spark, f"file://{tmp_path}/nothing", "csv")
+
+
+def test_a_publication_cut_short_shows_nothing(spark, tmp_path, monkeypatch):
+    folder, rows = f"file://{tmp_path}/out", fold_rows(spark).drop("x")
+    first = rows.where("n < 5")
+    publication.publish(spark, folder, {"t": publication.Table(first)})
+    real = publication.counted
+    monkeypatch.setattr(publication, "counted", lambda table: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        publication.publish(spark, folder, {"t": publication.Table(rows)})
+    monkeypatch.setattr(publication, "counted", real)
+    same(publication.published(spark, folder, "t"), first)
+    assert publication.publish(spark, folder, {"t": publication.Table(rows)}) == 2
+    same(publication.published(spark, folder, "t", check=True), rows)
+    same(publication.published(spark, folder, "t", version=1, check=True), first)
+    file = next(p for p in tmp_path.rglob("data/000002*/t/part-*.csv"))
+    file.write_text(file.read_text().replace("P/7", "P/8"))
+    (file.parent / f".{file.name}.crc").unlink()
+    with pytest.raises(ValueError, match="as published"):
+        publication.published(spark, folder, "t", check=True)
+
+
+def test_folds_summary_is_a_json_list(spark, tmp_path):
+    summary = spark.createDataFrame([("fold_02", 3, None), ("fold_01", 5, 1)], "fold string, n_train_patients int, n_val_images int")
+    publication.publish_folds(spark, str(tmp_path), fold_rows(spark).drop("x"), summary)
+    value = publication.published(spark, str(tmp_path), "folds_summary").first().value
+    assert json.loads(value) == [{"fold": "fold_01", "n_train_patients": 5, "n_val_images": 1}, {"fold": "fold_02", "n_train_patients": 3, "n_val_images": None}]
