@@ -100,18 +100,20 @@ def write_shards(ordered: DataFrame, folder: str, per_shard: int = 4096) -> dict
     `ordered` is as training_order returns it: each shard lies whole in one partition, by slot; other rows are an error.
     `folder` is a URI that executors reach (file:, hdfs:, s3:, ...). A file is written under another name and moved
     when whole, so a task that runs twice leaves one file; a run that was cut short goes on where the folder has its
-    shards already. An empty table gives a manifest of no rows.
+    shards already: these are read and compared byte by byte, and a shard of other sequences, or of another order, is an
+    error. An empty table gives a manifest of no rows.
     """
 
     def write(batches):
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
-        shard = out = draft = held = None
+        shard = out = draft = held = there = None
         rows = stride = slot = 0
 
         def finish() -> pa.RecordBatch:
             if out is None:
+                there.close()
                 if held != rows * stride:
                     raise ValueError(f"shard {shard} is there already with other rows")
             else:
@@ -132,6 +134,7 @@ def write_shards(ordered: DataFrame, folder: str, per_shard: int = 4096) -> dict
                         shard, rows, stride, slot, out = number, 0, len(ids), at, None
                         info = store.get_file_info(name(shard))
                         held = info.size if info.type == fs.FileType.File else None
+                        there = None if held is None else store.open_input_stream(name(shard))
                         if held is None:
                             draft = f"{root}/.{uuid.uuid4().hex}"
                             out = store.open_output_stream(draft)
@@ -139,6 +142,8 @@ def write_shards(ordered: DataFrame, folder: str, per_shard: int = 4096) -> dict
                         raise ValueError(f"slot {at} isn't next in shard {shard}: rows must come as training_order returns them")
                     if out is not None:
                         out.write(ids)
+                    elif there.read(stride) != ids:
+                        raise ValueError(f"shard {shard} is there already with other sequences or in another order")
                     rows += 1
             if shard is not None:
                 yield finish()

@@ -181,6 +181,8 @@ def test_shards_round_trip(spark, docs, tmp_path):
     files[2].write_bytes(b"x")
     with pytest.raises(Exception, match="there already"):
         ordering.write_shards(ordered, folder, 16)
+    with pytest.raises(Exception, match="other sequences or in another order"):  # shards of another key have the same sizes
+        ordering.write_shards(ordering.training_order(ordered.drop("slot", "shard", "place"), key=18, per_shard=16), folder, 16)
     none = ordering.write_shards(ordered.limit(0), f"file://{tmp_path}/none", 16)
     assert none["rows"] == 0 and ordering.read_shards(spark, f"file://{tmp_path}/none").count() == 0
     tokenizer = Tokenizer.from_file(BPE)
