@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -23,23 +24,52 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{root}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+#: Folders that `temporary` removes, a list for each of those that are open.
+_open: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("open", default=())
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Tables written inside go from the shared folder at the end, but for lasting ones, which go with an outer `temporary`, if any.
+
+    What reads them must be written before that, as a lasting table.
+    """
+    mine = []
+    token = _open.set((*_open.get(), mine))
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        for folder in mine:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folder(spark: SparkSession, name: str, lasting: bool) -> str:
+    path = f"{shared_folder(spark)}/{name}"
+    around = _open.get()[: -1 if lasting else None]
+    if around:
+        around[-1].append(path)
+    return path
+
+
+def materialise(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Writes `df` once in the shared folder and returns a reader of it: cuts lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/cairn-{uuid.uuid4().hex}"
+    path = _folder(df.sparkSession, f"cairn-{uuid.uuid4().hex}", lasting)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
-def bucketed(df: DataFrame, by: str):
+def bucketed(df: DataFrame, *by: str):
     """A reader of `df`, written once in the shared folder in as many buckets of `by` as a shuffle has partitions.
 
-    Joins by that column don't shuffle it again. The table's name goes at the end, its files stay.
+    Joins by those columns don't shuffle it again. The table's name goes at the end, its files with `temporary`.
     """
     spark, name = df.sparkSession, f"cairn_{uuid.uuid4().hex}"
     n = min(partitions(spark), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
-    out = df.repartition(n, by).write.option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
-    out.format("parquet").bucketBy(n, by).saveAsTable(name)
+    out = df.repartition(n, *by).write.option("compression", "zstd").option("path", _folder(spark, name, False))
+    out.format("parquet").bucketBy(n, *by).saveAsTable(name)
     try:
         yield spark.table(name)
     finally:

@@ -1,8 +1,10 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import ngram_join, queries, substring_dedup, suffix_dedup
+from cairn.llm import _io, ngram_join, queries, substring_dedup, suffix_dedup
 from tests.llm import brute
 from tests.oracle import SF
 
@@ -138,6 +140,37 @@ def test_ngram_join_counts_every_link(spark, docs, texts, monkeypatch, rule, blo
     assert all(got[d] == 29 for d in copies)
 
 
+def test_ngram_join_verifies_each_text_of_an_id(spark):
+    """Rows of one id with other texts: each text's links are found, by that text."""
+    p, q = [" ".join(f"{k}{i}" for i in range(40)) for k in "pq"]
+    rows = spark.createDataFrame([(1, p), (1, q), (2, p + " more"), (3, q + " more"), (3, q + " more")], "doc_id long, text string")
+    got = ngram_join.near_duplicates(rows).collect()
+    assert sorted((r.doc_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (3, 1, 1)]
+    groups = {(r.doc_id, r.n_shingles): r.set_group for r in got}
+    assert len({r.set_group for r in got}) == 2 and groups[2, 37] != groups[3, 37]
+    plain = ngram_join.near_duplicates(rows, count_links=False).collect()
+    assert {tuple(r)[:2] + tuple(r)[3:] for r in plain} == {tuple(r)[:2] + tuple(r)[3:] for r in got}
+    assert {r.n_links for r in plain} == {None}
+
+
+def test_scratch_goes_when_the_join_is_done(spark, docs):
+    """Two tables stay, which the result reads; within an outer `temporary` these go too."""
+    folder = Path(_io.shared_folder(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    found = ngram_join.near_duplicates(docs)
+    assert len(set(folder.iterdir()) - before) == 2 and found.count() == docs.count()
+    before = set(folder.iterdir())
+    with _io.temporary(spark):
+        rows = _io.materialise(ngram_join.near_duplicates(docs), lasting=True)
+    assert len(set(folder.iterdir()) - before) == 1 and rows.count() == docs.count()
+
+
+def test_groups_follow_the_data(docs, texts, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUPED", 100)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()}
+    assert got.pop(None)[1] is None and got == brute.ngram_join(texts)
+
+
 @pytest.mark.parametrize("operator", [suffix_dedup.remove_repeats, substring_dedup.remove_repeats, ngram_join.near_duplicates])
 def test_empty_and_null_tables(spark, docs, operator):
     assert operator(docs.limit(0)).count() == 0
