@@ -353,3 +353,18 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
         bins[r.sequence_id] += r.length
     assert max(bins.values()) <= 1024
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_near_duplicates_stage_with_repeated_ids(spark):
+    """Of an id with several texts each is judged by its own group; reruns on other partitions keep the same rows."""
+    p, q, r = [" ".join(f"{k}{i}" for i in range(40)) for k in "pqr"]
+    near = p + " more"
+    given = [(1, p), (1, p), (1, near), (1, q), (5, near), (5, r), (None, p), (2, ""), (2, None), (2, p)]
+    docs = spark.createDataFrame([(d, t, f"s{k}") for k, (d, t) in enumerate(given)], "doc_id long, text string, id string")
+    runs = [corpus_pipeline.one_of_near_duplicates(spark, docs.repartition(n), "").collect() for n in (1, 4)]
+    assert sorted(map(str, runs[0])) == sorted(map(str, runs[1]))
+    kept = Counter((row.doc_id, row.text) for row in runs[0])
+    one = kept.pop((1, p), 0) + kept.pop((1, near), 0)
+    empty = kept.pop((2, ""), 0) + kept.pop((2, None), 0)
+    assert (one, empty) == (1, 1) and kept == {(1, q): 1, (5, r): 1, (None, p): 1}
+    assert corpus_pipeline.one_of_near_duplicates(spark, docs.limit(0), "").count() == 0
