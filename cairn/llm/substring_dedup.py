@@ -15,8 +15,8 @@ from cairn.llm._repeats import ALONE, SPAN, VERDICT, Spec, classed, context_rows
 
 #: Bytes of suffixes in a group; longer prefixes split a group with more.
 GROUP_BYTES = 1 << 23
-#: Prefixes that are too frequent are told to all tasks up to this many (some 100 MB at most), else they are joined.
-BROADCAST_PREFIXES = 100_000
+#: Prefixes that are too frequent are told to all tasks up to this many bytes (32 a prefix beside its words), else they are joined.
+BROADCAST_BYTES = 1 << 25
 #: Equal suffixes of one batch beyond this many are sent once.
 OFTEN = 8
 
@@ -67,10 +67,10 @@ def prefixed(suffixes: DataFrame, length: int, group_bytes: int = GROUP_BYTES) -
         size = F.sum(F.octet_length("suffix") + 32)
         often = rows.where("suffix is not null").groupBy(prefix(k).alias(f"p{k}")).agg(size.alias("size")).where(F.col("size") > group_bytes)
         often = materialise(often.select(f"p{k}"))
-        n = often.count()
-        if not n:
+        told = often.agg(F.sum(F.octet_length(f"p{k}") + 32)).first()[0]
+        if told is None:
             break
-        often = F.broadcast(often) if n <= BROADCAST_PREFIXES else often
+        often = F.broadcast(often) if told <= BROADCAST_BYTES else often.hint("merge")
         longer.append((k, often))
         rows = rows.join(often, prefix(k) == often[f"p{k}"], "left_semi")
     for k, often in longer:

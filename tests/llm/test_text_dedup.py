@@ -53,10 +53,13 @@ def test_index_family_levels_grow_geometrically(spark):
     assert sum(r.n for _, level in family.levels for r in level.collect()) == len(seen)
 
 
-def test_prefixes_grow_until_groups_are_small(spark):
+@pytest.mark.parametrize("told", [1 << 25, 0])
+def test_prefixes_grow_until_groups_are_small(spark, monkeypatch, told):
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", told)
     words = [" ".join([*("a b c d".split()), *(f"{i % 3}" for _ in range(4)), *(f"{i}" for _ in range(5))]) for i in range(60)]
     rows = spark.createDataFrame([(1, i, 0, 0, w) for i, w in enumerate([*words, *["z " * 12 + "z"] * 50])], substring_dedup.SUFFIX)
     found = substring_dedup.prefixed(rows, 13, 800).withColumn("size", F.octet_length("suffix") + 32)
+    assert ("BroadcastHashJoin" in found._jdf.queryExecution().toString()) == (told > 0)
     groups = {r.prefix: (r.n, r.size) for r in found.groupBy("prefix").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
     assert sum(n for n, _ in groups.values()) == 110
     assert all(size <= 800 or len(p.split()) == 13 for p, (_, size) in groups.items())
