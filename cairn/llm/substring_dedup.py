@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm._io import materialise, partitions
-from cairn.llm._repeats import ALONE, SPAN, VERDICT, Spec, classed, context_rows, cut_rows, judged, spans
+from cairn.llm._io import materialise, partitions, text_buffer
+from cairn.llm._repeats import ALONE, HOT, SPAN, VERDICT, Spec, classed, context_rows, cut_rows, judged, spans
 
 #: Bytes of suffixes in a group; longer prefixes split a group with more.
 GROUP_BYTES = 1 << 23
@@ -19,25 +17,31 @@ GROUP_BYTES = 1 << 23
 BROADCAST_BYTES = 1 << 25
 #: Equal suffixes of one batch beyond this many are sent once.
 OFTEN = 8
+#: Bytes that are compared at a time.
+CELLS = 1 << 20
 
-SUFFIX = "cls long, doc long, start long, at long, suffix string"
-SUFFIX_ARROW = pa.schema([*((c, pa.int64()) for c in ("cls", "doc", "start", "at")), ("suffix", pa.string())])
+SUFFIX = "cls long, doc long, start long, at long, n long, suffix string"
+SUFFIX_ARROW = pa.schema([*((c, pa.int64()) for c in ("cls", "doc", "start", "at", "n")), ("suffix", pa.string())])
 
 
 class Suffixes:
-    """Suffixes of records as `length` words with one space between. Of a seed without another class one is enough."""
+    """Suffixes of records, a space after each word: a suffix of n windows runs from its first word to its record's end.
+
+    Of a seed without another class one window is enough; of a hot seed each suffix is one window, so that equal ones meet.
+    """
 
     def __init__(self, length: int):
         self.length, self.out, self.found = length, [], {}
 
     def add(self, text: bytes, doc: int, records) -> None:
         words = text.split()
-        flat = b" ".join(words)
+        flat = b" ".join([*words, b""])
         edges = np.cumsum([0, *(len(w) + 1 for w in words)]).tolist()
         for cls, _, start, count, kind in zip(*(x.tolist() for x in records), strict=True):
             for at in range(1 if kind == ALONE else count):
-                suffix = flat[edges[start + at] : edges[start + at + self.length] - 1]
-                self.found.setdefault(suffix, []).append((cls, doc, start, at))
+                n = 1 if kind in (ALONE, HOT) else count - at
+                suffix = flat[edges[start + at] : edges[start + at + n - 1 + self.length]]
+                self.found.setdefault(suffix, []).append((cls, doc, start, at, n))
 
     def rows(self):
         for suffix, places in self.found.items():
@@ -56,10 +60,11 @@ def prefix(words: int) -> Column:
 
 
 def prefixed(suffixes: DataFrame, length: int, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Adds `prefix`: the fewest words of 4, 8 or all (for length 13) that suffixes of at most `group_bytes` begin with.
+    """Adds `prefix`: the fewest words of 4, 8 or `length` that suffixes of at most `group_bytes` begin with; and `flat`.
 
     The counts cover all suffixes. Only suffixes under prefixes that are too frequent are counted again by more words. A
-    group that is still too large holds one whole suffix, which its task reads as a stream.
+    prefix of `length` words is a window itself: its suffixes are cut to it (`flat`), so however many they are, its
+    subtree is one node, which a task reads as a stream.
     """
     steps = [k for k in (4, 8) if k < length]
     rows, longer = suffixes, []
@@ -75,73 +80,121 @@ def prefixed(suffixes: DataFrame, length: int, group_bytes: int = GROUP_BYTES) -
         rows = rows.join(often, prefix(k) == often[f"p{k}"], "left_semi")
     for k, often in longer:
         suffixes = suffixes.join(often, prefix(k) == often[f"p{k}"], "left")
-    if not longer:
-        return suffixes.withColumn("prefix", prefix(steps[0]) if steps else F.col("suffix"))
-    last = [*steps, length][len(longer)]
-    chosen = reduce(lambda rest, step: F.when(F.col(f"p{step[0]}").isNull(), prefix(step[0])).otherwise(rest), reversed(longer), prefix(last))
-    return suffixes.withColumn("prefix", chosen).drop(*(f"p{k}" for k, _ in longer))
-
-
-def common_words(before: list[str], after: list[str]) -> int:
-    """Words that two suffixes share from their start."""
-    n = 0
-    for x, y in zip(before, after, strict=True):
-        if x != y:
-            break
-        n += 1
-    return n
+    chosen = prefix([*steps, length][len(longer)])
+    for k, _ in reversed(longer):
+        chosen = F.when(F.col(f"p{k}").isNull(), prefix(k)).otherwise(chosen)
+    flat = F.lit(len(longer) == len(steps))
+    for k, _ in longer:
+        flat = flat & F.col(f"p{k}").isNotNull()
+    cut = F.when(flat, F.concat(prefix(length), F.lit(" "))).otherwise(F.col("suffix"))
+    return suffixes.withColumns({"prefix": chosen, "flat": flat, "suffix": cut}).drop(*(f"p{k}" for k, _ in longer))
+
+
+def common_bytes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes each string shares with the one before it; 0 for the first."""
+    sizes, out = np.diff(offsets), np.zeros(len(offsets) - 1, np.int64)
+    most = np.minimum(sizes[1:], sizes[:-1])
+    live, at, width = np.arange(1, len(sizes)), 0, 32
+    while len(live):
+        step = max(1, CELLS // width)
+        for own in (live[lo : lo + step] for lo in range(0, len(live), step)):
+            k = at + np.arange(width)
+            one, two = (data[np.minimum(offsets[x, None] + k, len(data) - 1)] for x in (own, own - 1))
+            apart = (one != two) | (k >= most[own - 1, None])
+            out[own] = at + np.where(apart.any(axis=1), apart.argmax(axis=1), width)
+        live = live[out[live] == at + width]
+        at, width = at + width, min(2 * width, CELLS)
+    return out
+
 
+def depths(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For sorted suffixes, the depth in words of the node that joins each to the one before; 0 for the first."""
+    spaces = np.concatenate([[0], np.cumsum(data == 0x20)])
+    return spaces[offsets[:-1] + common_bytes(data, offsets)] - spaces[offsets[:-1]]
 
-def depths(suffixes: list[str], length: int) -> list[int]:
-    """For sorted suffixes, the depth in words of the node that joins each to the one before; 0 for the first.
 
-    Neighbours that share neither all nor their first letters need no splitting.
+def nodes(depth: np.ndarray, least: int):
+    """The internal nodes of subtrees that are at least `least` words deep, the shallow ones first: (depth, their first
+    leaves, the ends of their leaves). `depth` is that of each sorted leaf and the one before.
+
+    A node's leaves are neighbours that share no fewer words than it is deep, and two of them no more.
     """
-    out = [0] * len(suffixes)
-    for i in range(1, len(suffixes)):
-        one, two = suffixes[i - 1], suffixes[i]
-        out[i] = length if one == two else 0 if one[:1] != two[:1] else common_words(one.split(" "), two.split(" "))
+    for d in np.unique(depth[depth >= least]).tolist():
+        first = np.flatnonzero(depth < d)
+        own = np.add.reduceat((depth == d).astype(np.int64), first) > 0
+        yield d, first[own], np.append(first[1:], len(depth))[own]
+
+
+def repeated_windows(depth: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """For each leaf, how many windows from its start on the deepest node above it has that an earlier document is under too."""
+    out = np.zeros(len(doc), np.int64)
+    for d, first, end in nodes(depth, length):
+        size = end - first
+        leaves = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        own = doc[leaves]
+        least = np.minimum.reduceat(own, np.cumsum(size) - size)
+        out[leaves[own > np.repeat(least, size)]] = d - length + 1
     return out
 
 
-def subtrees(length: int):
-    """Batches of suffixes in the order of (suffix, doc): each with whether an earlier document has it too.
+def subtrees(length: int, held_bytes: int = 2 * GROUP_BYTES):
+    """Batches of suffixes in the order of (suffix, doc) to verdicts, of `held_bytes` at a time and what ends their last node.
 
-    A subtree of suffixes of `length` words is its sorted leaves and the depths of the nodes that join neighbours. The
-    nodes as deep as a window is long are the maximal repeats; a leaf under one repeats when the node's first leaf is
-    of a smaller document. The last leaf's node goes on into the next batch.
+    Suffixes that share their first `length` words are held together: they lie in one group, whose size is bounded. Only
+    a flat group may be parted, since its one node's first leaf is of its least document, which goes on into what follows.
     """
 
+    def grow(table: pa.Table, before, last: bool):
+        """Verdicts of the first rows, the number of these rows, and (suffix, least document) of a node that goes on."""
+        data, offsets = text_buffer(table["suffix"].combine_chunks())
+        doc = table["doc"].to_numpy()
+        depth = depths(data, offsets)
+        edges = np.flatnonzero(depth < length)
+        parted = table["flat"][-1].as_py() and not last
+        end = len(doc) if last or parted else int(edges[-1])
+        n = repeated_windows(depth[:end], doc[:end], length)
+        goes_on = before is not None and data[: offsets[1]].tobytes() == before[0]
+        if goes_on:
+            first_end = edges[1] if len(edges) > 1 else len(doc)
+            n[:first_end] = doc[:first_end] > before[1]
+        after = None
+        if parted:
+            least = before[1] if goes_on and len(edges) == 1 else int(doc[edges[-1]])
+            after = data[offsets[-2] :].tobytes(), least
+        columns = [table[c].slice(0, end).combine_chunks() for c in ("cls", "doc", "start", "at")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n)], names=["cls", "doc", "start", "at", "n"]), end, after
+
     def run(batches):
-        last = least = None
+        held, size, before = [], 0, None
         for batch in batches:
-            suffixes, doc = batch["suffix"].to_pylist(), batch["doc"].to_numpy()
-            first = np.full(len(doc), doc[0] if len(doc) else 0)
-            depth = np.array(depths(suffixes, length))
-            if len(doc):
-                depth[0] = length if suffixes[0] == last else 0
-                node = np.maximum.accumulate(np.where(depth < length, np.arange(len(doc)), 0))
-                first = doc[node]
-                if depth[0] == length:
-                    first[: np.flatnonzero(np.append(depth < length, True))[0]] = least
-                last, least = suffixes[-1], int(first[-1])
-            columns = [batch["cls"], batch["doc"], batch["start"], batch["at"], pa.array((doc > first).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["cls", "doc", "start", "at", "n"])
+            held.append(batch)
+            size += batch.nbytes
+            if size >= held_bytes and batch.num_rows:
+                table = pa.Table.from_batches(held)
+                said, end, after = grow(table, before, last=False)
+                if end:
+                    yield said
+                    before = after
+                held = table.slice(end).to_batches()
+                size = sum(b.nbytes for b in held)
+        if sum(b.num_rows for b in held):
+            yield grow(pa.Table.from_batches(held), before, last=True)[0]
 
     return run
 
 
 def tree_verdicts(suffixes: DataFrame, length: int, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Splits suffixes by prefix into groups, sorts each into a subtree, and says what repeats.
+    """Splits suffixes by prefix into groups, makes subtrees of each, and says what repeats.
 
-    Whole prefixes go to as many partitions as hold `group_bytes` each on average.
+    Whole groups go to as many partitions as hold `group_bytes` each on average.
     """
     size = suffixes.agg(F.sum(F.octet_length("suffix") + 32)).first()[0] or 0
     parts = max(size // group_bytes + 1, partitions(suffixes.sparkSession))
     given = prefixed(suffixes.where("suffix is not null"), length, group_bytes)
-    leaves = given.repartition(parts, "prefix").select("cls", "doc", "start", "at", "suffix").sortWithinPartitions("suffix", "doc")
-    known = suffixes.where("suffix is null").select("cls", "doc", "start", "at", F.lit(1).cast("long"))
-    found = materialise(leaves.mapInArrow(subtrees(length), VERDICT).union(known))
+    leaves = given.select("cls", "doc", "start", "at", "suffix", "flat", F.xxhash64("prefix").alias("group")).repartition(parts, "group")
+    leaves = leaves.drop("group").sortWithinPartitions("suffix", "doc")
+    known = suffixes.where("suffix is null").select("cls", "doc", "start", "at", "n")
+    found = materialise(leaves.mapInArrow(subtrees(length, 2 * group_bytes), VERDICT).union(known))
     heads = found.where("at = 0").select("cls", "doc", "start", F.lit(0).cast("long"), F.lit(0).cast("long"))
     return found.where("n > 0").union(heads)
 
@@ -151,8 +204,10 @@ def remove_repeats(docs: DataFrame, length: int = 13, **spread) -> DataFrame:
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A word goes when a window of `length` words that covers it also starts
     in a document of smaller doc_id; windows are judged on the input and don't cross documents. One text of each class
-    of equal records goes to the trees, where suffixes are compared word by word; equal records (by two 64-bit
-    fingerprints, of seed and text) follow it. Suffixes are split by prefixes of as many words as leave a group small.
+    of equal records goes to the trees, where suffixes are compared by their words; equal records (by two 64-bit
+    fingerprints, of seed and text) follow it. Suffixes run to the end of their record and are split by prefixes of as
+    many words as leave a group small; a suffix's run of removed words is as long as the deepest node of `length` words or
+    more that an earlier document is under too.
     Null text has no words. Rows without doc_id lose nothing and count for nothing. Rows that repeat a doc_id with its
     text get the same spans; where the texts of an id differ, that of the least hash is the document and the other rows
     lose nothing and count for nothing. Columns of docs named n_words, spans or kept are replaced. Empty tables give

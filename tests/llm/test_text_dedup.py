@@ -56,20 +56,75 @@ def test_index_family_levels_grow_geometrically(spark):
 @pytest.mark.parametrize("told", [1 << 25, 0])
 def test_prefixes_grow_until_groups_are_small(spark, monkeypatch, told):
     monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", told)
-    words = [" ".join([*("a b c d".split()), *(f"{i % 3}" for _ in range(4)), *(f"{i}" for _ in range(5))]) for i in range(60)]
-    rows = spark.createDataFrame([(1, i, 0, 0, w) for i, w in enumerate([*words, *["z " * 12 + "z"] * 50])], substring_dedup.SUFFIX)
+    words = [" ".join([*("a b c d".split()), *(f"{i % 3}" for _ in range(4)), *(f"{i}" for _ in range(5)), ""]) for i in range(60)]
+    rows = spark.createDataFrame([(1, i, 0, 0, 1, w) for i, w in enumerate([*words, *["z " * 13] * 50])], substring_dedup.SUFFIX)
     found = substring_dedup.prefixed(rows, 13, 800).withColumn("size", F.octet_length("suffix") + 32)
     assert ("BroadcastHashJoin" in found._jdf.queryExecution().toString()) == (told > 0)
     groups = {r.prefix: (r.n, r.size) for r in found.groupBy("prefix").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
     assert sum(n for n, _ in groups.values()) == 110
     assert all(size <= 800 or len(p.split()) == 13 for p, (_, size) in groups.items())
-    assert {len(p.split()) for p in groups} == {13}
+    assert {len(p.split()) for p in groups} == {13} and found.where("not flat").isEmpty()
     few = substring_dedup.prefixed(rows.where("doc < 60"), 13, 2000).select("prefix").distinct().collect()
     assert {len(r.prefix.split()) for r in few} == {8}
     got = {(r.doc, r.n) for r in substring_dedup.tree_verdicts(rows, 13, 800).where("n > 0").collect()}
     assert got == {(i, 1) for i in range(61, 110)}
 
 
+def sorted_suffixes(rng, n, reach):
+    """Sorted suffixes of 3 to `reach` words of a small vocabulary, a space after each word; some words begin another."""
+    words = ["a", "ab", "a\x01", "é" * 40]
+    return sorted("".join(words[k] + " " for k in rng.integers(0, 4, rng.integers(3, reach + 1))).encode() for _ in range(n))
+
+
+@pytest.mark.parametrize(("n", "reach"), [(1, 3), (400, 3), (400, 7), (60, 40)])
+def test_nodes_equal_a_plain_finder(monkeypatch, n, reach):
+    """Nodes of 3 words and more are the beginnings that several suffixes share and that they don't all go on from alike."""
+    monkeypatch.setattr(substring_dedup, "CELLS", 256)
+    rng = np.random.default_rng(reach)
+    suffixes = sorted_suffixes(rng, n, reach) + [b"z " * 300, b"z " * 300, b"z " * 301]
+    offsets = np.cumsum([0, *map(len, suffixes)])
+    depth = substring_dedup.depths(np.frombuffer(b"".join(suffixes), np.uint8), offsets)
+    got = {(d, a, b) for d, first, end in substring_dedup.nodes(depth, 3) for a, b in zip(first.tolist(), end.tolist(), strict=True)}
+    under = {}
+    for i, suffix in enumerate(suffixes):
+        words = suffix.split(b" ")[:-1]
+        for d in range(3, len(words) + 1):
+            under.setdefault(tuple(words[:d]), []).append((i, words[d] if d < len(words) else None))
+    expected = {(len(p), own[0][0], own[-1][0] + 1) for p, own in under.items() if len(own) > 1 and (len({w for _, w in own}) > 1 or own[0][1] is None)}
+    assert got == expected and len({d for d, _, _ in got}) > (reach > 3)
+    doc = rng.integers(0, 5, len(suffixes))
+    windows = substring_dedup.repeated_windows(depth, doc, 3)
+    for i, suffix in enumerate(suffixes):
+        words = suffix.split(b" ")[:-1]
+        shared = [d for d in range(3, len(words) + 1) if any(doc[j] < doc[i] for j, _ in under[tuple(words[:d])])]
+        assert windows[i] == max(shared, default=2) - 2
+
+
+@pytest.mark.parametrize("held", [1, 400, 1 << 20])
+def test_trees_are_held_node_by_node(held):
+    """Whatever is held at a time, verdicts are the same; a flat group is read as a stream."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = sorted([(s, int(rng.integers(0, 9)), False) for s in sorted_suffixes(rng, 300, 6)] + [(b"m m m ", d // 7 + 2, True) for d in range(200)])
+    offsets = np.cumsum([0, *(len(s) for s, _, _ in rows)])
+    doc = np.array([d for _, d, _ in rows])
+    expected = substring_dedup.repeated_windows(substring_dedup.depths(np.frombuffer(b"".join(s for s, _, _ in rows), np.uint8), offsets), doc, 3)
+    zero = pa.array(np.zeros(len(rows), np.int64))
+    columns = {"cls": zero, "doc": doc, "start": zero, "at": zero, "suffix": [s.decode() for s, _, _ in rows], "flat": [f for _, _, f in rows]}
+    batches = pa.table(columns).to_batches(max_chunksize=17)
+    said = list(substring_dedup.subtrees(3, held)(iter(batches)))
+    assert np.concatenate([b["n"].to_numpy() for b in said]).tolist() == expected.tolist()
+    assert max(b.num_rows for b in said) < 120 or held > 400
+
+
+def test_suffixes_reach_the_end_of_their_record():
+    made = substring_dedup.Suffixes(3)
+    made.add(b"a b  c d\te f g", 5, [np.array([x, y]) for x, y in ((1, 2), (0, 0), (0, 4), (3, 1), (substring_dedup.ALONE + 1, substring_dedup.HOT))])
+    rows = [tuple(r.values()) for batch in made.rows() for r in batch.to_pylist()]
+    assert rows == [(1, 5, 0, 0, 3, "a b c d e "), (1, 5, 0, 1, 2, "b c d e "), (1, 5, 0, 2, 1, "c d e "), (2, 5, 4, 0, 1, "e f g ")]
+
+
 #: The Thue-Morse word on a and b, and its complement: polynomials modulo 2^64 can't tell them apart.
 TWINS = [tuple("".join("ab"[(bin(i).count("1") + turn) % 2] for i in range(n)) for turn in (0, 1)) for n in (1024, 2048)]
 
