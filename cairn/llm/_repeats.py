@@ -33,10 +33,12 @@ from cairn.llm._hash import GRAM, SpanHash, grams, mix, sliding_min, word_hashes
 from cairn.llm._io import materialise, row_chunks, slices, text_buffer
 
 #: Kinds of rows: a record, one of a spread seed, a seed that is spread elsewhere, a follower; a class whose seed has no
-#: other class, one that shares its seed, a seed with very many classes.
-NORMAL, SPREAD, MARKER, FOLLOWER, ALONE, SHARED, HOT = range(7)
+#: other class, one that shares its seed, a seed with very many classes; a follower of a class with many in its batch.
+NORMAL, SPREAD, MARKER, FOLLOWER, ALONE, SHARED, HOT, CROWDED = range(8)
 #: Bit of a record that stands for followers of its batch.
 LEADS = 8
+#: A class with more followers in a batch than this deals all such followers to this many tasks when they meet its verdict.
+CROWD = 64
 SEGMENT = 1 << 20
 #: Records whose texts a task holds before it gives them out.
 HELD = 20_000
@@ -142,8 +144,10 @@ def to_records(spec: Spec):
             if not len(lead):
                 continue
             name = class_names(seed[follows], text[follows]).view(np.uint64)
-            yield rows(name, np.zeros(len(name), np.uint64), doc[follows], start[follows], count[follows], FOLLOWER)
-            leads = np.diff(np.append(lead, len(doc))) > 1
+            followers = np.diff(np.append(lead, len(doc))) - 1
+            crowded = np.repeat(followers > CROWD, followers)
+            yield rows(name, np.zeros(len(name), np.uint64), doc[follows], start[follows], count[follows], np.where(crowded, CROWDED, FOLLOWER))
+            leads = followers > 0
             doc, start, count, seed, text = (x[lead] for x in (doc, start, count, seed, text))
             _, own, n = np.unique(seed, return_inverse=True, return_counts=True)
             hot = n[own] > spec.hot
@@ -183,7 +187,7 @@ def settled(spec: Spec):
             seed, text = (batch[c].to_numpy().view(np.uint64) for c in ("seed", "text"))
             doc, start, kind = (batch[c].to_numpy() for c in ("doc", "start", "kind"))
             count, leads, kind = kind >> 4, kind & LEADS > 0, kind & (LEADS - 1)
-            passed = kind == FOLLOWER
+            passed = (kind == FOLLOWER) | (kind == CROWDED)
             if passed.any():
                 yield longs(cls=seed[passed].view(np.int64), seed=np.zeros(passed.sum()), doc=doc[passed], start=start[passed], count=count[passed], kind=kind[passed])
             marks = kind == MARKER
@@ -240,7 +244,7 @@ def classed(given: DataFrame, spec: Spec) -> DataFrame:
     """Classes and followers of all rows with id and text, written once."""
     records = given.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text").mapInArrow(to_records(spec), RECORDS)
     # Followers only pass; a spread seed's records meet by class.
-    spread = F.when(F.col("kind") % LEADS == SPREAD, F.xxhash64("seed", "text")).when(F.col("kind") % 16 == FOLLOWER, F.xxhash64("doc", "start")).otherwise(F.col("seed"))
+    spread = F.when(F.col("kind") % LEADS == SPREAD, F.xxhash64("seed", "text")).when((F.col("kind") % 16).isin(FOLLOWER, CROWDED), F.xxhash64("doc", "start")).otherwise(F.col("seed"))
     records = records.repartition(spread).sortWithinPartitions("seed", "text", "doc", "start")
     return materialise(records.mapInArrow(settled(spec), CLASSED))
 
@@ -301,10 +305,21 @@ VERDICT = "cls long, doc long, start long, at long, n long"
 
 
 def spans(classes: DataFrame, verdicts: DataFrame, spec: Spec) -> DataFrame:
-    """doc, first, n: runs of repeated windows of records that stand for classes, and of their followers."""
+    """doc, first, n: runs of repeated windows of records that stand for classes, and of their followers.
+
+    A class's followers that are crowded in their batches go to CROWD tasks, each with the class's first place. The other
+    ones are at most CROWD of a batch. A batch has CROWD of them for each class that is copied, so copies are no more than
+    the followers.
+    """
     said = verdicts.where("n > 0")
     leads = verdicts.where("n = 0").groupBy("cls").agg(F.min(F.struct("doc", "start")).alias("lead"))
-    followers = classes.where(F.col("kind") == FOLLOWER).select("cls", "doc", "start", "count").join(leads, "cls")
+    crowded = F.col("kind") == CROWDED
+    crowds = classes.where(crowded).groupBy("cls").agg(F.lit(CROWD).alias("deals"))
+    dealt = F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(0))))
+    leads = leads.join(crowds, "cls", "left").select("cls", "lead", dealt.alias("deal"))
+    deal = F.when(crowded, F.pmod(F.xxhash64("doc", "start"), F.lit(CROWD)) + 1).otherwise(0).cast("int")
+    followers = classes.where(F.col("kind").isin(FOLLOWER, CROWDED)).select("cls", "doc", "start", "count", deal.alias("deal"))
+    followers = followers.join(leads, ["cls", "deal"]).drop("deal")
     later = F.col("doc") > F.col("lead.doc")
     if spec.within:
         whole, own = followers.where(later | (F.col("start") > F.col("lead.start"))), None

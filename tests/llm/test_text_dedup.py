@@ -125,6 +125,31 @@ def test_suffixes_reach_the_end_of_their_record():
     assert rows == [(1, 5, 0, 0, 3, "a b c d e "), (1, 5, 0, 1, 2, "b c d e "), (1, 5, 0, 2, 1, "c d e "), (2, 5, 4, 0, 1, "e f g ")]
 
 
+@pytest.mark.parametrize("within", [True, False])
+def test_followers_of_a_crowded_class_are_dealt(spark, monkeypatch, within):
+    """600 followers of one class meet its verdict by (class, deal), and get what they would get without."""
+    from cairn.llm import _repeats as rep
+
+    monkeypatch.setattr(rep, "CROWD", 8)
+    kinds = [(7, 0, d, 0, 5, rep.CROWDED if d % 3 else rep.FOLLOWER) for d in range(2, 602)]
+    classes = spark.createDataFrame([(7, 0, 1, 0, 5, rep.SHARED), *kinds, (8, 0, 9, 40, 3, rep.FOLLOWER)], rep.CLASSED)
+    verdicts = spark.createDataFrame([(7, 4, 0, 0, 0), (8, 3, 5, 0, 0)], rep.VERDICT)
+    found = rep.spans(classes, verdicts, rep.Spec(by_word=True, seed=4, length=13, within=within))
+    assert sorted(map(tuple, found.collect())) == sorted([*((d, 0, 5) for d in range(5, 602)), (9, 40, 3)])
+    keys = "hashpartitioning(cls#" in found._jdf.queryExecution().toString()
+    assert keys and ", deal#" in found._jdf.queryExecution().toString()
+
+
+def test_very_many_copies(spark):
+    """300 copies of a text, each after a word of its own, in one batch."""
+    prose = " ".join(f"word{i}" for i in range(60))
+    texts = {i: f"own{i} {prose}" for i in range(300)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    assert byte_digest(suffix_dedup.remove_repeats(rows))[0] == brute.suffix_dedup(texts)
+    got = substring_dedup.remove_repeats(rows).select("doc_id", "kept").collect()
+    assert {r.doc_id: r.kept for r in got} == {0: texts[0], **{i: f"own{i}" for i in range(1, 300)}}
+
+
 #: The Thue-Morse word on a and b, and its complement: polynomials modulo 2^64 can't tell them apart.
 TWINS = [tuple("".join("ab"[(bin(i).count("1") + turn) % 2] for i in range(n)) for turn in (0, 1)) for n in (1024, 2048)]
 
