@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm._hash import mix, word_hashes
-from cairn.llm._io import row_chunks, text_buffer
+from cairn.llm._io import materialise, row_chunks, text_buffer
 
 UNDETERMINED = "und"
 MARK = 0x2581
 #: In training (not in scoring) letter runs are counted in parts of this many letters.
 TRAINED_RUN = 128
+#: Letters of words of one length whose counts a task expects at a time.
+TRAINED_CELLS = 1 << 15
 #: Sums are rescaled every so many letters.
 RESCALE = 8
 
@@ -245,32 +247,63 @@ def train(labelled: DataFrame, vocabulary_path: str, docs_a_language: int = 1000
     bounds = F.create_map(*(F.lit(x) for lang, n in sorted(rows.items()) for x in (lang, sample_bound(n, docs_a_language))))
     drawn = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
     counted = labelled.where(drawn < F.element_at(bounds, F.col("lang"))).select("lang", "text").mapInArrow(count, "lang string, word string, n long")
-    counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
-    if counted.empty:
+    counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = materialise(counted.repartition("word").sortWithinPartitions("word", "lang"))
+    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    if not totals:
         return None
-    languages = sorted(counted["lang"].unique())
-    table = counted.pivot_table(index="word", columns="lang", values="n", fill_value=0)[languages]
-    weights = table.to_numpy(float)
-    alphabet = sorted({c for w in table.index for c in w})
+    languages = sorted(totals)
+    alphabet = sorted(r["letter"] for r in counted.select("word").mapInArrow(letters_of, "letter string").distinct().collect())
     pieces = Pieces(list(dict.fromkeys([*vocabulary(vocabulary_path), *alphabet, "▁"])))
-    spelled = [spell("▁" + w).astype(np.int64) for w in table.index]
-    sizes = np.array([len(w) for w in spelled])
-    groups = []
-    for n in np.unique(sizes):
-        own = np.flatnonzero(sizes == n)
-        for part in np.array_split(own, -(-len(own) // 4096)):
-            groups.append((part, pieces.ids(np.stack([spelled[i] for i in part]))))
     probs = np.full((pieces.unknown + 2, len(languages)), 1 / (pieces.unknown + 1))
     probs[-1] = 0
     for _ in range(rounds):
-        counts = sum(expected_counts(ids, probs, weights[part]) for part, ids in groups) + 0.01
+        counts = summed_counts(counted, LanguageModel(languages, pieces, probs, np.zeros(len(languages)))) + 0.01
         counts[-1] = 0
         probs = counts / counts.sum(axis=0)
     whole = np.array([rows[k] for k in languages], float)
-    share = weights.sum(axis=0) * whole / np.minimum(whole, docs_a_language)
+    share = np.array([totals[k] for k in languages], float) * whole / np.minimum(whole, docs_a_language)
     return LanguageModel(languages, pieces, probs, np.log(share / share.sum()))
 
 
+def letters_of(batches):
+    """The letters of batches of words, each once a task."""
+    seen = set()
+    for batch in batches:
+        seen.update(*batch["word"].to_pylist())
+    yield pa.record_batch({"letter": pa.array(sorted(seen), pa.string())})
+
+
+def summed_counts(counted: DataFrame, model: LanguageModel) -> np.ndarray:
+    """Expected piece counts of all words of `counted` (lang, word, n) under the model: (pieces, languages).
+
+    Tasks hold the words; a count a piece and language comes to the driver. Tasks' counts are added in order of size, so
+    reruns agree.
+    """
+
+    def expect(batches):
+        counts = np.zeros_like(model.probs)
+        for batch in batches:
+            words, own = np.unique(np.array(batch["word"].to_pylist(), object), return_inverse=True)
+            weights = np.zeros((len(words), len(model.languages)))
+            np.add.at(weights, (own, np.searchsorted(model.languages, batch["lang"].to_pylist())), batch["n"].to_numpy())
+            spelled = [spell("▁" + w).astype(np.int64) for w in words]
+            sizes = np.array([len(w) for w in spelled], np.int64)
+            for n in np.unique(sizes).tolist():
+                same = np.flatnonzero(sizes == n)
+                for lo in range(0, len(same), max(1, TRAINED_CELLS // n)):
+                    part = same[lo : lo + max(1, TRAINED_CELLS // n)]
+                    counts += expected_counts(model.pieces.ids(np.stack([spelled[i] for i in part])), model.probs, weights[part])
+        piece, lang = np.nonzero(counts)
+        yield pa.record_batch({"piece": pa.array(piece, pa.int32()), "lang": pa.array(lang, pa.int32()), "n": pa.array(counts[piece, lang])})
+
+    added = F.aggregate(F.array_sort(F.collect_list("n")), F.lit(0.0), lambda total, n: total + n)
+    table = counted.mapInArrow(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(added.alias("n")).toArrow()
+    out = np.zeros_like(model.probs)
+    out[table["piece"].to_numpy(), table["lang"].to_numpy()] = table["n"].to_numpy()
+    return out
+
+
 def identify_languages(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """Replaces or adds lang_pred and score; all other columns of `docs` stay.
 

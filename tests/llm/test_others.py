@@ -2,6 +2,7 @@ from fractions import Fraction
 import random
 import hashlib
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -237,6 +238,35 @@ def test_expected_counts_are_those_of_all_segmentations():
     assert counts == pytest.approx(np.array([2 * one, 2 * one, 2 * two, 2 * (one + two), 0, 0]) / (one + two))
 
 
+def test_tasks_expect_the_counts_of_training(spark, monkeypatch):
+    own, vocabulary = language.expected_counts, queries.public_tokenizers.path("piece_bpe_32k.model")
+    texts = [(1, "der Hund und die Katze " * 3, "de"), (2, "ein Haus, größer", "de"), (3, "the dog and the house", "en"), (4, "日本" * 90 + " 12", "en")]
+
+    driver = os.getpid()
+
+    def by_tasks(*given):
+        assert os.getpid() != driver, "words come to the driver"
+        return own(*given)
+
+    monkeypatch.setattr(language, "expected_counts", by_tasks)
+    model = language.train(spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3), vocabulary, rounds=2)
+    assert model.languages == ["de", "en"] and {"日", "ß"} <= set(model.pieces.pieces)
+    words = {}
+    for _, text, lang in texts:
+        runs = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        for word in (run[lo : lo + language.TRAINED_RUN] for run in runs for lo in range(0, len(run), language.TRAINED_RUN)):
+            words.setdefault(word, [0.0, 0.0])[model.languages.index(lang)] += 1
+    probs = np.full_like(model.probs, 1 / (model.pieces.unknown + 1))
+    probs[-1] = 0
+    for _ in range(2):
+        counts = sum(own(model.pieces.ids(language.spell("▁" + w).astype(np.int64)[None]), probs, np.array([n])) for w, n in words.items()) + 0.01
+        counts[-1] = 0
+        probs = counts / counts.sum(axis=0)
+    assert model.probs == pytest.approx(probs, rel=1e-9)
+    shares = np.sum(list(words.values()), axis=0)
+    assert np.exp(model.priors) == pytest.approx(shares / shares.sum())
+
+
 def test_the_training_sample_never_becomes_empty():
     for rows in (1, 1000, 10**8, 4 * 10**9, 10**10, 10**14, 10**17):
         assert language.sample_bound(rows, 1000) / 2**62 * rows == pytest.approx(min(rows, 1000), rel=1e-3)
