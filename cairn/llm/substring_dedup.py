@@ -18,7 +18,7 @@ BROADCAST_BYTES = 1 << 25
 #: Equal suffixes of one batch beyond this many are sent once.
 OFTEN = 8
 #: Bytes that are compared at a time.
-CELLS = 1 << 20
+CELLS = 1 << 18
 
 SUFFIX = "cls long, doc long, start long, at long, n long, suffix string"
 SUFFIX_ARROW = pa.schema([*((c, pa.int64()) for c in ("cls", "doc", "start", "at", "n")), ("suffix", pa.string())])
@@ -109,8 +109,8 @@ def common_bytes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def depths(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For sorted suffixes, the depth in words of the node that joins each to the one before; 0 for the first."""
-    spaces = np.concatenate([[0], np.cumsum(data == 0x20)])
-    return spaces[offsets[:-1] + common_bytes(data, offsets)] - spaces[offsets[:-1]]
+    spaces = np.flatnonzero(data == 0x20)
+    return np.searchsorted(spaces, offsets[:-1] + common_bytes(data, offsets)) - np.searchsorted(spaces, offsets[:-1])
 
 
 def nodes(depth: np.ndarray, least: int):

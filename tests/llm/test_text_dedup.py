@@ -1,3 +1,4 @@
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -100,6 +101,34 @@ def test_nodes_equal_a_plain_finder(monkeypatch, n, reach):
         assert windows[i] == max(shared, default=2) - 2
 
 
+def test_no_task_holds_two_python_workers(docs):
+    def chained(node, above=False):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return chained(node.initialPlan())
+        if name == "MapInArrow" and above:
+            return True
+        above = name == "MapInArrow" or above and "Exchange" not in name
+        return any(chained(node.children().apply(i), above) for i in range(node.children().size()))
+
+    for rows in (substring_dedup.remove_repeats(docs), suffix_dedup.remove_repeats(docs)):
+        assert not chained(rows._jdf.queryExecution().executedPlan())
+
+
+def test_depths_take_little_more_memory_than_the_suffixes():
+    rng = np.random.default_rng(4)
+    suffixes = sorted(b" ".join(b"w%d" % w for w in rng.integers(0, 1000, 20)) + b" " for _ in range(40_000))
+    data, offsets = np.frombuffer(b"".join(suffixes), np.uint8), np.cumsum([0, *map(len, suffixes)])
+    tracemalloc.start()
+    depth = substring_dedup.depths(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(data)
+    for i in (1, 2, 777, 39_999):
+        one, two = suffixes[i - 1].split(), suffixes[i].split()
+        assert depth[i] == next((k for k in range(20) if one[k] != two[k]), 20)
+
+
 @pytest.mark.parametrize("held", [1, 400, 1 << 20])
 def test_trees_are_held_node_by_node(held):
     """Whatever is held at a time, verdicts are the same; a flat group is read as a stream."""
