@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm._hash import mix
-from cairn.llm._io import materialise
+from cairn.llm._io import materialise, shuffles_freed, temporary
 from cairn.llm.packing import encoder
 
 MANIFEST = "manifest.json"
@@ -67,8 +67,9 @@ def token_sequences(docs: DataFrame, vocabulary: str, length: int = 1024, end_id
 def training_order(sequences: DataFrame, key: int = 17, per_shard: int = 4096) -> DataFrame:
     """Adds slot, shard and place (bytes from the shard's start) to `sequences` (doc_id, piece, ids of one size, any others).
 
-    Sequences are sorted by (doc_id, piece, hash of the ids) into ranges and written once; a row's number is its place
-    in its file, after the rows of the files before. So numbers follow the data, not files or partitions, and only one
+    Sequences are made once, for the ranges' bounds are sampled from what is written, sorted by (doc_id, piece, hash of
+    the ids) into ranges and written again; the first table goes then. A row's number is its place in its file, after the
+    rows of the files before. So numbers follow the data, not files or partitions, and only one
     count a range reaches the driver. The keyed permutation turns numbers into slots. Rows come back range-partitioned
     by whole shards and sorted by slot: a reader of any range of slots reads on, and write_shards writes the partitions
     as they are.
@@ -77,7 +78,9 @@ def training_order(sequences: DataFrame, key: int = 17, per_shard: int = 4096) -
     """
     sequences = sequences.drop("slot", "shard", "place")
     by = [F.col("doc_id").asc_nulls_first(), F.col("piece").asc_nulls_first(), F.xxhash64("ids").asc_nulls_first()]
-    rows = materialise(sequences.repartitionByRange(*by).sortWithinPartitions(*by))
+    with temporary(sequences.sparkSession), shuffles_freed(sequences.sparkSession):
+        given = materialise(sequences)
+        rows = materialise(given.repartitionByRange(*by).sortWithinPartitions(*by), lasting=True)
     rows = rows.select("*", F.col("_metadata.file_name").alias("file_"), F.col("_metadata.row_index").alias("row_"))
     counts = {r["file_"]: r["count"] for r in rows.groupBy("file_").count().collect()}
     size, before = 0, {}
@@ -94,7 +97,7 @@ def training_order(sequences: DataFrame, key: int = 17, per_shard: int = 4096) -
     return placed.select(*sequences.columns, "slot", "shard", "place").repartitionByRange("shard").sortWithinPartitions("slot")
 
 
-def write_shards(ordered: DataFrame, folder: str, per_shard: int = 4096) -> dict:
+def write_shards(ordered: DataFrame, folder: str, per_shard: int = 4096, waves: int = 1) -> dict:
     """Writes each shard as one file of fixed-stride rows in slot order, and a manifest, which is returned: per_shard, rows, stride.
 
     `ordered` is as training_order returns it: each shard lies whole in one partition, by slot; other rows are an error.
@@ -102,6 +105,7 @@ def write_shards(ordered: DataFrame, folder: str, per_shard: int = 4096) -> dict
     when whole, so a task that runs twice leaves one file; a run that was cut short goes on where the folder has its
     shards already: these are read and compared byte by byte, and a shard of other sequences, or of another order, is an
     error. An empty table gives a manifest of no rows.
+    Shards are written in `waves`, each of every `waves`-th shard, so that a shuffle holds the ids of one wave alone.
     """
 
     def write(batches):
@@ -152,8 +156,15 @@ def write_shards(ordered: DataFrame, folder: str, per_shard: int = 4096) -> dict
                 out.close()
                 store.delete_file(draft)
 
-    written = ordered.select("shard", "slot", "place", "ids").mapInArrow(write, "shard long, rows long, stride long")
-    n, rows, last, least, most = written.agg(F.count("*"), F.sum("rows"), F.max("shard"), F.min("stride"), F.max("stride")).first()
+    ordered = ordered.select("shard", "slot", "place", "ids")
+    sums = []
+    with shuffles_freed(ordered.sparkSession):
+        for wave in range(waves):
+            own = ordered.where(F.col("shard") % waves == wave) if waves > 1 else ordered
+            written = own.mapInArrow(write, "shard long, rows long, stride long")
+            sums.append(written.agg(F.count("*"), F.sum("rows"), F.max("shard"), F.min("stride"), F.max("stride")).first())
+    n, *held = sum(s[0] for s in sums), *zip(*(s[1:] for s in sums if s[0]), strict=True)
+    rows, last, least, most = (f(x) for f, x in zip((sum, max, min, max), held, strict=True)) if n else (0, None, None, None)
     if n and (last + 1 != n or least != most or -(-rows // per_shard) != n):
         raise ValueError("shards are missing, or their rows differ in size")
     manifest = {"per_shard": per_shard, "rows": rows or 0, "stride": most or 0}

@@ -3,6 +3,7 @@ import random
 import hashlib
 import math
 import os
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -152,6 +153,23 @@ def test_shards_are_written_from_their_partitions(spark, docs, tmp_path):
     assert not list((tmp_path / "b").glob(".*")), "a failed task takes its draft away"
 
 
+def test_sequences_are_made_once(spark, docs, tmp_path):
+    def noted(batches):
+        (tmp_path / f"task-{os.getpid()}-{time.time_ns()}").touch()
+        yield from batches
+
+    sequences = ordering.token_sequences(docs, BPE, 32).coalesce(1)
+    scratch = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(scratch.iterdir())
+    ordered = ordering.training_order(sequences.mapInArrow(noted, sequences.schema), per_shard=16)
+    assert len(set(scratch.iterdir()) - before) == 1, "one table stays"
+    assert ordering.write_shards(ordered, f"file://{tmp_path}/a", 16) == ordering.write_shards(ordered, f"file://{tmp_path}/b", 16, waves=3)
+    one, two = ({f.name: f.read_bytes() for f in (tmp_path / k).glob("shard-*.bin")} for k in "ab")
+    assert one == two and len(one) > 3 and len(list(tmp_path.glob("task-*"))) == 1
+    none = ordering.training_order(sequences.limit(0), per_shard=16)
+    assert ordering.write_shards(none, f"file://{tmp_path}/c", 16, waves=3) == {"per_shard": 16, "rows": 0, "stride": 0}
+
+
 @pytest.mark.parametrize("parts", [3, 5, 50])
 def test_slots_dont_follow_the_partitioning(spark, docs, parts):
     sequences = ordering.token_sequences(docs, BPE, 32)
