@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm._hash import mix, word_hashes
-from cairn.llm._io import materialise, row_chunks, text_buffer
+from cairn.llm._io import materialise, row_chunks, text_buffer, trimmed
 
 UNDETERMINED = "und"
 MARK = 0x2581
@@ -246,7 +246,7 @@ def train(labelled: DataFrame, vocabulary_path: str, docs_a_language: int = 1000
         return None
     bounds = F.create_map(*(F.lit(x) for lang, n in sorted(rows.items()) for x in (lang, sample_bound(n, docs_a_language))))
     drawn = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
-    counted = labelled.where(drawn < F.element_at(bounds, F.col("lang"))).select("lang", "text").mapInArrow(count, "lang string, word string, n long")
+    counted = labelled.where(drawn < F.element_at(bounds, F.col("lang"))).select("lang", "text").mapInArrow(trimmed(count), "lang string, word string, n long")
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = materialise(counted.repartition("word").sortWithinPartitions("word", "lang"))
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -298,7 +298,7 @@ def summed_counts(counted: DataFrame, model: LanguageModel) -> np.ndarray:
         yield pa.record_batch({"piece": pa.array(piece, pa.int32()), "lang": pa.array(lang, pa.int32()), "n": pa.array(counts[piece, lang])})
 
     added = F.aggregate(F.array_sort(F.collect_list("n")), F.lit(0.0), lambda total, n: total + n)
-    table = counted.mapInArrow(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(added.alias("n")).toArrow()
+    table = counted.mapInArrow(trimmed(expect), "piece int, lang int, n double").groupBy("piece", "lang").agg(added.alias("n")).toArrow()
     out = np.zeros_like(model.probs)
     out[table["piece"].to_numpy(), table["lang"].to_numpy()] = table["n"].to_numpy()
     return out
@@ -326,4 +326,4 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None) -> DataFram
                 )
 
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(predict, schema)
+    return kept.mapInArrow(trimmed(predict), schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm._io import materialise
+from cairn.llm._io import materialise, trimmed
 
 SPECIAL = "<|endoftext|>"
 
@@ -30,10 +30,10 @@ def encoder(vocabulary: str):
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    whole = Tokenizer.from_file(vocabulary)
+    whole = cache(lambda: Tokenizer.from_file(vocabulary))  # where texts ask for it
     ranks = re.sub(r"\.json$", ".tiktoken", vocabulary)
     if ranks == vocabulary or not os.path.exists(ranks):
-        return lambda texts: [np.array(x.ids, "<u4") for x in whole.encode_batch(texts, add_special_tokens=False)]
+        return lambda texts: [np.array(x.ids, "<u4") for x in whole().encode_batch(texts, add_special_tokens=False)]
     import public_tokenizers
     import tiktoken
 
@@ -43,7 +43,7 @@ def encoder(vocabulary: str):
 
     def encode(texts):
         return [
-            np.array(whole.encode(t, add_special_tokens=False).ids if SPECIAL in t else fast.encode_ordinary(t), "<u4") for t in texts
+            np.array(whole().encode(t, add_special_tokens=False).ids if SPECIAL in t else fast.encode_ordinary(t), "<u4") for t in texts
         ]
 
     return encode
@@ -58,7 +58,12 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id:
     """
 
     def cut(batches):
-        encode = encoder(vocabulary)
+        try:
+            yield from pieces(encoder(vocabulary), batches)
+        finally:
+            encoder.cache_clear()  # else each of the executor's idle workers comes to hold one
+
+    def pieces(encode, batches):
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -75,7 +80,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id:
 
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: 5 + with_ids]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(cut), schema)
 
 
 def fullest(counts: dict[int, int], room: int, lengths: list[int]) -> dict[int, int]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm._io import materialise
+from cairn.llm._io import materialise, trimmed_group
 from cairn.llm._repeats import ALONE, HOT, SPAN, Spec, classed, context_rows, cut_rows, judged, spans
 
 #: The documents enter the index in so many batches, by ranges of doc_id.
@@ -175,7 +175,7 @@ class IndexFamily:
         """Merges the last two levels while they are of one size, as the power of two below it."""
         while len(self.levels) > 1 and self.levels[-2][0].bit_length() <= self.levels[-1][0].bit_length():
             (n, one), (m, two) = self.levels[-2:]
-            both = one.union(two).groupBy("part").applyInArrow(merge_levels(self.length), INDEXED)
+            both = one.union(two).groupBy("part").applyInArrow(trimmed_group(merge_levels(self.length)), INDEXED)
             self.levels[-2:] = [(n + m, materialise(both))]
 
     def add(self, batch: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ class IndexFamily:
         rows = batch.select("part", "cls", "doc", "start", "at", F.col("count").alias("n"), "text", F.lit(None).cast("binary").alias("array"))
         for _, level in self.levels:
             rows = rows.union(level)
-        found = materialise(rows.groupBy("part").applyInArrow(scan_batch(self.length), INDEXED))
+        found = materialise(rows.groupBy("part").applyInArrow(trimmed_group(scan_batch(self.length)), INDEXED))
         fresh = found.where("array is not null")
         size = fresh.agg(F.sum("n")).first()[0]
         if size:

@@ -1,12 +1,14 @@
+import ctypes
 import re
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cairn.llm import _graph, _hash, _io, _repeats
+from cairn.llm import _graph, _hash, _io, _repeats, packing
 from tests.llm import brute
 
 
@@ -57,3 +59,38 @@ def test_every_window_has_one_record(texts):
     row, start, count, _, _ = _repeats.anchored(_hash.grams(data), offsets, spec)
     got = sorted((int(r), int(s) - int(offsets[r]) + i) for r, s, c in zip(row, start, count) for i in range(c))
     assert got == [(r, p) for r, t in enumerate(texts) for p in range(len(t) - 13)]
+
+
+def held() -> float:
+    """MB of this process without mapped files."""
+    with open("/proc/self/smaps_rollup") as lines:
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", lines.read())[1]) / 1024
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="the C library can't trim")
+def test_free_memory_goes_back_when_a_task_ends():
+    pins = []
+
+    def hoard(batches):
+        for batch in batches:
+            small = [bytes(50_000) for _ in range(2_000)]  # 100 MB of the heap
+            pins.append(bytes(50_000))  # which can't shrink below this
+            del small
+            yield batch
+
+    before = held()
+    assert list(_io.trimmed(hoard)(iter([1, 2]))) == [1, 2]
+    assert held() < before + 40
+    assert _io.trimmed_group(lambda table: next(hoard([table])))(3) == 3
+    assert held() < before + 40
+
+
+def test_workers_hold_no_tokenizer_when_pieces_are_made(spark, docs):
+    assert packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")).count() >= docs.count()
+
+    def holding(batches):
+        for _ in batches:
+            yield pa.record_batch({"held": [packing.encoder.cache_info().currsize]})
+
+    asked = spark.range(0, 12, 1, 12).mapInArrow(holding, "held long").collect()
+    assert {r.held for r in asked} == {0}
