@@ -55,10 +55,13 @@ def _folder(spark: SparkSession, name: str, lasting: bool) -> str:
     return path
 
 
-def materialise(df: DataFrame, lasting: bool = False) -> DataFrame:
-    """Writes `df` once in the shared folder and returns a reader of it: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, lasting: bool = False, by: list[str] | None = None) -> DataFrame:
+    """Writes `df` once in the shared folder and returns a reader of it: cuts lineage, survives lost executors.
+
+    With `by` (the last columns), rows lie in a folder for each of their values.
+    """
     path = _folder(df.sparkSession, f"cairn-{uuid.uuid4().hex}", lasting)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by or None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm._hash import mix
-from cairn.llm._io import materialise, shuffles_freed, temporary
+from cairn.llm._io import materialise, row_chunks, shuffles_freed, temporary, text_buffer, trimmed
 from cairn.llm.packing import encoder
 
 MANIFEST = "manifest.json"
+#: Bytes of texts whose ids a task holds at a time, and bytes of sequences that it gives out at a time.
+TEXT_BYTES, GIVEN_BYTES = 1 << 22, 1 << 23
 
 
 def feistel(index: np.ndarray, size: int, key: int, rounds: int = 4) -> np.ndarray:
@@ -47,24 +49,36 @@ def token_sequences(docs: DataFrame, vocabulary: str, length: int = 1024, end_id
     def cut(batches):
         encode = encoder(vocabulary)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = np.append(encode([text or ""])[0], np.uint32(end_id))
-                if ids.max() >= 1 << 16:
+            for lo, hi in row_chunks(text_buffer(batch["text"])[1], TEXT_BYTES):
+                made = encode([text or "" for text in batch["text"].slice(lo, hi - lo).to_pylist()])
+                if max(int(ids.max(initial=0)) for ids in made) >= 1 << 16:
                     raise ValueError("ids are written in 16 bits")
-                full = np.full(-(-len(ids) // length) * length, end_id, "<u2")
-                full[: len(ids)] = ids
-                raw = full.tobytes()
-                for piece, lo in enumerate(range(0, len(full), length)):
-                    rows.append((doc_id, piece, min(length, len(ids) - lo), raw[lo * 2 : (lo + length) * 2]))
-            for lo in range(0, len(rows), 4096):
-                columns = zip(zip(*rows[lo : lo + 4096], strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["doc_id", "piece", "n_ids", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, n_ids int, ids binary")
-
-
-def training_order(sequences: DataFrame, key: int = 17, per_shard: int = 4096) -> DataFrame:
+                sizes = np.array([len(ids) + 1 for ids in made])
+                pieces = -(-sizes // length)
+                last = np.cumsum(pieces)
+                full = np.full(last[-1] * length, end_id, "<u2")
+                for at, ids in zip(((last - pieces) * length).tolist(), made, strict=True):
+                    full[at : at + len(ids)] = ids
+                row = np.repeat(np.arange(hi - lo), pieces)
+                piece = np.arange(last[-1]) - (last - pieces)[row]
+                n = np.minimum(length, sizes[row] - piece * length)
+                step = max(1, GIVEN_BYTES // (2 * length))
+                for a in range(0, len(row), step):
+                    b = min(len(row), a + step)
+                    places = pa.py_buffer(np.arange(b - a + 1, dtype=np.int32) * (2 * length))
+                    ids = pa.Array.from_buffers(pa.binary(), b - a, [None, places, pa.py_buffer(full[a * length : b * length])])
+                    columns = [batch["doc_id"].take(pa.array(lo + row[a:b])), pa.array(piece[a:b], pa.int32()), pa.array(n[a:b], pa.int32()), ids]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "n_ids", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(cut), "doc_id long, piece int, n_ids int, ids binary")
+
+
+def wave_name(waves: int) -> str:
+    """The column that says in which of so many waves a row's shard is written."""
+    return f"wave_of_{waves}"
+
+
+def training_order(sequences: DataFrame, key: int = 17, per_shard: int = 4096, waves: int = 1) -> DataFrame:
     """Adds slot, shard and place (bytes from the shard's start) to `sequences` (doc_id, piece, ids of one size, any others).
 
     Sequences are made once, for the ranges' bounds are sampled from what is written, sorted by (doc_id, piece, hash of
@@ -75,12 +89,28 @@ def training_order(sequences: DataFrame, key: int = 17, per_shard: int = 4096) -
     as they are.
     Null ids come first. Rows that agree in the three are interchangeable and get slots of their own. An empty table
     gives none. Columns of sequences named slot, shard or place are replaced.
+    Slots are written with the rows, once. With `waves`, so are the waves of write_shards: each wave's rows lie in a folder
+    of their own (a column, `wave_name`, is added), so that a wave reads no others.
     """
-    sequences = sequences.drop("slot", "shard", "place")
-    by = [F.col("doc_id").asc_nulls_first(), F.col("piece").asc_nulls_first(), F.xxhash64("ids").asc_nulls_first()]
-    with temporary(sequences.sparkSession), shuffles_freed(sequences.sparkSession):
-        given = materialise(sequences)
-        rows = materialise(given.repartitionByRange(*by).sortWithinPartitions(*by), lasting=True)
+    wave = [wave_name(waves)] if waves > 1 else []
+    sequences = sequences.drop("slot", "shard", "place", *wave)
+    hashed = "hash_" + "_" * max(map(len, sequences.columns))  # a name that no column has
+    by = [F.col(c).asc_nulls_first() for c in ("doc_id", "piece", hashed)]
+    spark = sequences.sparkSession
+    with temporary(spark):
+        with temporary(spark), shuffles_freed(spark):
+            given = materialise(sequences.withColumn(hashed, F.xxhash64("ids")))
+            rows = materialise(given.repartitionByRange(*by).sortWithinPartitions(*by).drop(hashed), lasting=True)
+        rows = slotted(rows, key).withColumns({name: F.floor(F.col("slot") / per_shard) % waves for name in wave})
+        rows = materialise(rows, lasting=True, by=wave)
+    placed = rows.withColumn("shard", F.floor(F.col("slot") / per_shard))
+    placed = placed.withColumn("place", (F.col("slot") % per_shard) * F.length("ids"))
+    return placed.select(*sequences.columns, "slot", "shard", "place", *wave).repartitionByRange("shard").sortWithinPartitions("slot")
+
+
+def slotted(rows: DataFrame, key: int) -> DataFrame:
+    """Adds slot to `rows`, a table written in ranges that are sorted."""
+    columns = rows.columns
     rows = rows.select("*", F.col("_metadata.file_name").alias("file_"), F.col("_metadata.row_index").alias("row_"))
     counts = {r["file_"]: r["count"] for r in rows.groupBy("file_").count().collect()}
     size, before = 0, {}
@@ -92,9 +122,7 @@ def training_order(sequences: DataFrame, key: int = 17, per_shard: int = 4096) -
     def slot(file: pd.Series, row: pd.Series) -> pd.Series:
         return pd.Series(feistel(file.map(before).to_numpy(np.int64) + row.to_numpy(), size, key))
 
-    placed = rows.withColumn("slot", slot("file_", "row_")).withColumn("shard", F.floor(F.col("slot") / per_shard))
-    placed = placed.withColumn("place", (F.col("slot") % per_shard) * F.length("ids"))
-    return placed.select(*sequences.columns, "slot", "shard", "place").repartitionByRange("shard").sortWithinPartitions("slot")
+    return rows.select(*columns, slot("file_", "row_").alias("slot"))
 
 
 def write_shards(ordered: DataFrame, folder: str, per_shard: int = 4096, waves: int = 1) -> dict:
@@ -105,7 +133,8 @@ def write_shards(ordered: DataFrame, folder: str, per_shard: int = 4096, waves:
     when whole, so a task that runs twice leaves one file; a run that was cut short goes on where the folder has its
     shards already: these are read and compared byte by byte, and a shard of other sequences, or of another order, is an
     error. An empty table gives a manifest of no rows.
-    Shards are written in `waves`, each of every `waves`-th shard, so that a shuffle holds the ids of one wave alone.
+    Shards are written in `waves`, each of every `waves`-th shard, so that a shuffle holds the ids of one wave alone. Where
+    training_order was given as many, a wave reads its own rows; else each wave reads all.
     """
 
     def write(batches):
@@ -156,12 +185,12 @@ def write_shards(ordered: DataFrame, folder: str, per_shard: int = 4096, waves:
                 out.close()
                 store.delete_file(draft)
 
-    ordered = ordered.select("shard", "slot", "place", "ids")
+    own_wave = F.col(wave_name(waves)) if wave_name(waves) in ordered.columns else F.col("shard") % waves
     sums = []
     with shuffles_freed(ordered.sparkSession):
         for wave in range(waves):
-            own = ordered.where(F.col("shard") % waves == wave) if waves > 1 else ordered
-            written = own.mapInArrow(write, "shard long, rows long, stride long")
+            own = ordered.where(own_wave == wave) if waves > 1 else ordered
+            written = own.select("shard", "slot", "place", "ids").mapInArrow(write, "shard long, rows long, stride long")
             sums.append(written.agg(F.count("*"), F.sum("rows"), F.max("shard"), F.min("stride"), F.max("stride")).first())
     n, *held = sum(s[0] for s in sums), *zip(*(s[1:] for s in sums if s[0]), strict=True)
     rows, last, least, most = (f(x) for f, x in zip((sum, max, min, max), held, strict=True)) if n else (0, None, None, None)

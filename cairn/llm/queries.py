@@ -92,11 +92,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sequences in training order, written as shards in the shared folder, with the digest of each as read from there."""
     sequences = ordering.token_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    ordered, folder = ordering.training_order(sequences), f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    ordered, folder = ordering.training_order(sequences, waves=8), f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
     manifest = ordering.write_shards(ordered, folder, waves=8)
     held = ordering.read_shards(spark, folder).select(F.col("slot").alias("held"), F.sha2("ids", 256).alias("ids_sha256"))
     rows = ordered.select("doc_id", "piece", "n_ids", "slot", "shard", (F.col("slot") % manifest["per_shard"] * manifest["stride"]).alias("place"))
-    rows = rows.join(held, F.col("slot") == F.col("held"), "left").drop("held")
+    # The digests are as many as the sequences, which Spark can't see.
+    rows = rows.join(held.hint("merge"), F.col("slot") == F.col("held"), "left").drop("held")
     return rows.repartitionByRange("slot").sortWithinPartitions("slot")
 
 

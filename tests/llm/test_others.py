@@ -153,6 +153,26 @@ def test_shards_are_written_from_their_partitions(spark, docs, tmp_path):
     assert not list((tmp_path / "b").glob(".*")), "a failed task takes its draft away"
 
 
+def test_waves_read_their_own_rows(spark, docs, tmp_path):
+    sequences = ordering.token_sequences(docs, BPE, 32)
+    ordered = ordering.training_order(sequences, per_shard=16, waves=3)
+    plan = ordered.where(F.col(ordering.wave_name(3)) == 1).select("slot", "ids")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(wave_of_3" in plan and "Python" not in plan, "slots are made once"
+    content = {}
+    for waves in (1, 2, 3):
+        ordering.write_shards(ordered, f"file://{tmp_path}/{waves}", 16, waves=waves)
+        content[waves] = [f.read_bytes() for f in sorted((tmp_path / str(waves)).glob("shard-*.bin"))]
+    ordering.write_shards(ordering.training_order(sequences, per_shard=16), f"file://{tmp_path}/plain", 16)
+    content[0] = [f.read_bytes() for f in sorted((tmp_path / "plain").glob("shard-*.bin"))]
+    assert len(content[0]) > 3 and all(c == content[0] for c in content.values())
+    none = ordering.training_order(sequences.limit(0), per_shard=16, waves=3)
+    assert ordering.write_shards(none, f"file://{tmp_path}/none", 16, waves=3) == {"per_shard": 16, "rows": 0, "stride": 0}
+
+
+def test_digests_of_shards_are_not_broadcast(spark):
+    assert "Broadcast" not in queries.op8_training_order(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sequences_are_made_once(spark, docs, tmp_path):
     def noted(batches):
         (tmp_path / f"task-{os.getpid()}-{time.time_ns()}").touch()
