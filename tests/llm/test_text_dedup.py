@@ -1,7 +1,9 @@
 import tracemalloc
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,6 +279,44 @@ def test_scratch_goes_when_the_join_is_done(spark, docs):
     assert len(set(folder.iterdir()) - before) == 1 and rows.count() == docs.count()
 
 
+@pytest.mark.parametrize("share", [1, 0.97, 0.9, 0.5, 0])
+def test_linked_sets_share_one_of_few_keys(share):
+    """However many of their tokens are frequent."""
+    rng, rule, pool, texts = np.random.default_rng(5), ngram_join.Jaccard(width=1), [f"w{i}" for i in range(4000)], []
+    for n in (5, 9, 40, 300, 2000):
+        one = rng.permutation(pool)[: n + n // 4]
+        texts += [one[:n], one, np.r_[one[: n - n // 10], one[n : n + n // 10]]]
+    batch = pa.record_batch({"text": pa.array([" ".join(t) for t in texts])})
+    sizes, row, value = ngram_join.batch_sets(batch, 1)
+    often = np.unique(value[(value >> np.uint64(8)) % np.uint64(100) < 100 * share])
+    names = ngram_join.set_names(sizes, row, value).tolist()
+    keys = {c: set() for c in names}
+    for part in ngram_join.postings(rule, SimpleNamespace(value=often))([batch]):
+        for key, cls in zip(part["key"].to_pylist(), part["cls"].to_pylist(), strict=True):
+            keys[cls] |= {key} - {None}
+    keys, linked = [keys[c] for c in names], 0
+    for a, n in enumerate(sizes.tolist()):
+        assert len(keys[a]) <= 4 * n
+        for b in range(a):
+            both = len(np.intersect1d(texts[a], texts[b]))
+            if 100 * both >= rule.percent * (n + sizes[b] - both):
+                linked += 1
+                assert keys[a] & keys[b]
+    assert linked >= 10
+
+
+def test_an_index_made_again_replaces_the_one_before(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(_io, "shared_folder", lambda spark: f"file://{tmp_path}")
+    rule, made, real = ngram_join.Jaccard(floor=3, heavy=3, small=2), [], ngram_join.postings
+    monkeypatch.setattr(ngram_join, "postings", lambda *a: made.append(a) or real(*a))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(ngram_join.profile(rule), ", ".join(f"{c} long" for c in ngram_join.PROFILE.names))
+    with _io.temporary(spark):
+        index, counts = ngram_join.indexed(docs.select("text"), rows, rule, 4)
+        assert len(made) > 1 and index.count() > counts.count() > 0
+        assert len(list(tmp_path.iterdir())) == 3  # the frequent tokens, the index and its counts
+    assert not list(tmp_path.iterdir())
+
+
 def test_groups_follow_the_data(docs, texts, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUPED", 100)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()}
