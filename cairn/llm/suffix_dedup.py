@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm._io import materialise, trimmed_group
+from cairn.llm._io import materialise, shuffles_freed, trimmed_group
 from cairn.llm._repeats import ALONE, HOT, SPAN, Spec, classed, context_rows, cut_rows, judged, spans
 
 #: The documents enter the index in so many batches, by ranges of doc_id.
@@ -230,10 +230,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, whole_characters: bool =
     """
     docs = docs.drop("n_bytes", "spans", "kept")
     spec = Spec(by_word=False, seed=24, length=length, within=True, **spread)
-    given = judged(docs)
-    classes = classed(given, spec)
-    contexts = materialise(context_rows(given, classes, lambda: Contexts(length), CONTEXT))
-    found = spans(classes, index_verdicts(contexts, length, batches), spec)
+    with shuffles_freed(docs.sparkSession):
+        given = judged(docs)
+        classes = classed(given, spec)
+        contexts = materialise(context_rows(given, classes, lambda: Contexts(length), CONTEXT))
+        found = spans(classes, index_verdicts(contexts, length, batches), spec)
     fields = [f for f in docs.schema.fields if f.name != "text"]
     kind = T._parse_datatype_string(f"n_bytes long, spans {SPAN}, kept binary")
 

@@ -317,6 +317,15 @@ def test_an_index_made_again_replaces_the_one_before(spark, docs, tmp_path, monk
     assert not list(tmp_path.iterdir())
 
 
+@pytest.mark.parametrize(("module", "operator"), [(ngram_join, ngram_join.near_duplicates), (suffix_dedup, suffix_dedup.remove_repeats)])
+def test_each_step_frees_its_shuffles(spark, docs, monkeypatch, module, operator):
+    name, said = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before, real = spark.conf.get(name), module.materialise
+    monkeypatch.setattr(module, "materialise", lambda *a, **k: said.append(spark.conf.get(name)) or real(*a, **k))
+    operator(docs.where("doc_id < 20").select("doc_id", "text"))
+    assert len(said) > 1 and set(said) == {"true"} and spark.conf.get(name) == before
+
+
 def test_groups_follow_the_data(docs, texts, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUPED", 100)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()}
