@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.sources.scratch import shuffles_freed  # noqa: F401  for the modules beside this one
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read: `spark.checkpoint.dir`, or in local mode a temporary one."""
@@ -72,18 +74,6 @@ def materialise(df: DataFrame, lasting: bool = False, by: list[str] | None = Non
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def shuffles_freed(spark: SparkSession):
-    """Spark removes the shuffle files of what runs inside as soon as that has ended, not when the driver collects garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 @contextlib.contextmanager
 def bucketed(df: DataFrame, *by: str):
     """A reader of `df`, written once in the shared folder in as many buckets of `by` as a shuffle has partitions.

@@ -62,6 +62,18 @@ def split_images(images: DataFrame, assigned: DataFrame) -> DataFrame:
     return images.join(assigned.select("patient_id", *keys), "patient_id").select(*images.columns, *keys)
 
 
+def with_folds(images: DataFrame, assigned: DataFrame) -> DataFrame:
+    """The images with folds_: the folds (their names) and splits of their patient, as one text; `spread_folds` takes it apart."""
+    own = assigned.groupBy("patient_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("/", "fold", "split"))), ",").alias("folds_"))
+    return images.join(own, "patient_id").select(*images.columns, "folds_")
+
+
+def spread_folds(images: DataFrame, columns: list[str]) -> DataFrame:
+    """A row of `columns`, fold and split for each fold of an image of `with_folds`."""
+    spread = images.select(*columns, F.explode(F.split("folds_", ",")).alias("own_"))
+    return spread.select(*columns, *[F.split_part("own_", F.lit("/"), F.lit(k)).alias(c) for k, c in ((1, "fold"), (2, "split"))])
+
+
 def leaks(assigned: DataFrame) -> DataFrame:
     """Patients that stand in more than one split (of a fold)."""
     by = [c for c in ("fold",) if c in assigned.columns]

@@ -156,8 +156,8 @@ def split_roundtrip(spark, sf_dir):
 FROM v_images i JOIN assigned a ON i.patient_id = a.patient_id""")
 def fold_files(spark, sf_dir):
     folder, assigned, images = scratch_folder(spark, "folds"), kfold_assign(spark, sf_dir), v.images(spark, sf_dir)
-    named = splits.split_images(images, assigned).withColumn("fold", splits.fold_name(F.col("fold")))
-    publication.publish_folds(spark, folder, named, splits.fold_summary(images, assigned))
+    named = assigned.withColumn("fold", splits.fold_name(F.col("fold")))
+    publication.publish_folds(spark, folder, images, splits.fold_summary(images, assigned), named)
     return publication.published(spark, folder, "folds", check=True)
 
 

@@ -8,12 +8,16 @@ nothing, so readers see the publication before it, whole.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.operators import splits
+from cairn.sources.scratch import shuffles_freed
+
 FILES = "array<struct<file string, rows long, digest string>>"
 MANIFEST = f"version long, name string, format string, base string, columns string, files {FILES}"
 #: A null is an empty field, an empty text two quotes.
@@ -22,12 +26,25 @@ OPTIONS = {"csv": {"header": "true", "escape": '"', "quote": '"', "nullValue": "
 
 @dataclass
 class Table:
-    """A table to publish: its format (csv, json, parquet, text), the columns that name its folders, and the order of rows in a file."""
+    """A table to publish: its format (csv, json, parquet, text), the columns that name its folders, and the order of rows in a file.
+
+    `spread` makes the table's rows of `rows` when these are dealt to their tasks by `order`: many rows of one, which no
+    shuffle moves. `compression`: of the files, where the format has it not by itself.
+    """
 
     rows: DataFrame
     format: str = "csv"
     by: tuple[str, ...] = ()
     order: tuple[str, ...] = ()
+    spread: Callable[[DataFrame], DataFrame] | None = None
+    compression: str | None = None
+
+    def laid(self) -> DataFrame:
+        """The rows, dealt to tasks and ordered as they are written."""
+        if self.spread:
+            return self.spread(self.rows.repartitionByRange(*self.order)).sortWithinPartitions(*self.by, *self.order)
+        keys = (*self.by, *self.order)
+        return self.rows.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else self.rows
 
 
 def read_files(spark: SparkSession, base: str, kind: str, columns: str, files: list[str]) -> DataFrame:
@@ -63,9 +80,9 @@ def publish(spark: SparkSession, folder: str, tables: dict[str, Table]) -> int:
     draft, rows = f"{folder}/data/{version:06d}-{uuid.uuid4().hex}", []
     for name, t in tables.items():
         base = f"{draft}/{name}"
-        laid = t.rows.repartitionByRange(*t.by, *t.order).sortWithinPartitions(*t.by, *t.order) if t.by or t.order else t.rows
-        laid.write.format(t.format).options(**OPTIONS[t.format]).partitionBy(*t.by).save(base)
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.rows.schema)
+        laid, options = t.laid(), OPTIONS[t.format] | ({"compression": t.compression} if t.compression else {})
+        laid.write.format(t.format).options(**options).partitionBy(*t.by).save(base)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema)
         found = counted(read_files(spark, base, t.format, columns, [base])).orderBy("file").collect()
         rows.append((version, name, t.format, base, columns, [tuple(r) for r in found]))
     spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").json(f"{folder}/manifests")
@@ -96,9 +113,16 @@ def json_list(rows: DataFrame, order: str) -> DataFrame:
     return rows.agg(F.to_json(held, {"ignoreNullFields": "false"}).alias("value"))
 
 
-def publish_folds(spark: SparkSession, folder: str, images: DataFrame, summary: DataFrame) -> int:
+def publish_folds(spark: SparkSession, folder: str, images: DataFrame, summary: DataFrame, assigned: DataFrame | None = None) -> int:
     """The images of every fold and split in folders fold=fold_NN/split=..., by path, and folds_summary as a JSON list.
 
-    `images`: with fold (its name) and split; `summary`: a row a fold.
+    `images`: with fold (its name) and split, or without them, and `assigned` has these of each patient_id; then an image
+    is moved once for all folds. `summary`: a row a fold. The folds' files are gzip: they name each image once a fold.
     """
-    return publish(spark, folder, {"folds": Table(images, "csv", ("fold", "split"), ("image_path",)), "folds_summary": Table(json_list(summary, "fold"), "text")})
+    spread = None
+    if assigned is not None:
+        names, images = images.columns, splits.with_folds(images, assigned)
+        spread = lambda rows: splits.spread_folds(rows, names)
+    folds = Table(images, "csv", ("fold", "split"), ("image_path",), spread, "gzip")
+    with shuffles_freed(spark):
+        return publish(spark, folder, {"folds": folds, "folds_summary": Table(json_list(summary, "fold"), "text")})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -16,3 +17,15 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='cairn-')}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Spark removes the shuffle files of what runs inside as soon as that has ended, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -1,12 +1,13 @@
 """A data source of the images that a split table names: `spark.read.format("split_images").load(folder)`.
 
-The folder holds CSV files with patient_id, class and image_path (as `write_splits` writes them). Only these files are
+The folder holds CSV files (plain or gzip) with patient_id, class and image_path (as `write_splits` writes them). Only these files are
 listed; partitions are byte ranges of them, and each task fetches and decodes the images of its lines by their paths.
 """
 
 from __future__ import annotations
 
 import csv
+import gzip
 import io
 import os
 import struct
@@ -130,7 +131,8 @@ class SplitImagesReader(DataSourceReader):
             names = [os.path.join(d, n) for d, _, files in os.walk(self.path) for n in files if not n.startswith((".", "_"))]
         else:
             names = [self.path]
-        return [Range(n, lo, min(lo + self.bytes, os.path.getsize(n))) for n in sorted(names) for lo in range(0, os.path.getsize(n), self.bytes)]
+        sizes = {n: table_bytes(n) for n in sorted(names)}
+        return [Range(n, lo, min(lo + self.bytes, size)) for n, size in sizes.items() for lo in range(0, size, self.bytes)]
 
     def read(self, partition: Range):
         path, start, end = partition.value
@@ -155,7 +157,7 @@ class SplitImagesReader(DataSourceReader):
     @staticmethod
     def lines(path: str, start: int, end: int):
         """The rows whose lines begin in (start, end], after the header's; the first range also has the one at its start."""
-        with open(path, "rb") as file:
+        with gzip.open(path) if path.endswith(".gz") else open(path, "rb") as file:
             header = next(csv.reader([file.readline().decode()]))
             if missing := sorted(set(COLUMNS) - set(header)):
                 raise ValueError(f"{path}: missing columns {missing}")
@@ -167,6 +169,15 @@ class SplitImagesReader(DataSourceReader):
                     yield dict(zip(header, row, strict=True))
 
 
+def table_bytes(path: str) -> int:
+    """Bytes of a table, of a gzip file (of one member, below 4 GB) when it is unpacked."""
+    if not path.endswith(".gz"):
+        return os.path.getsize(path)
+    with open(path, "rb") as file:
+        file.seek(-4, os.SEEK_END)
+        return int.from_bytes(file.read(), "little")
+
+
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     *plain, pixels = zip(*rows, strict=True)
     kinds = [pa.string()] * 3 + [pa.int32()] * 3

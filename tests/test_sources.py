@@ -196,3 +196,23 @@ def test_folds_summary_is_a_json_list(spark, tmp_path):
     publication.publish_folds(spark, str(tmp_path), fold_rows(spark).drop("x"), summary)
     value = publication.published(spark, str(tmp_path), "folds_summary").first().value
     assert json.loads(value) == [{"fold": "fold_01", "n_train_patients": 5, "n_val_images": 1}, {"fold": "fold_02", "n_train_patients": 3, "n_val_images": None}]
+
+
+def test_folds_move_each_image_once(spark, tmp_path):
+    images = spark.createDataFrame([(f"P/{i % 7}", "Sick", f"P/{i % 7}/{i}.png") for i in range(50)] + [("P/none", "Sick", "x.png")], "patient_id string, class string, image_path string")
+    deal = [(f"fold_{f:02d}", f"P/{p}", "test" if p == f else "train") for f in (1, 2, 3) for p in range(7)]
+    assigned = spark.createDataFrame(deal, "fold string, patient_id string, split string")
+    summary = spark.createDataFrame([("fold_01", 1)], "fold string, n int")
+    publication.publish_folds(spark, f"file://{tmp_path}", images, summary, assigned)
+    found = publication.published(spark, f"file://{tmp_path}", "folds", check=True)
+    assert found.columns == ["patient_id", "class", "image_path", "fold", "split"]
+    same(found, images.join(assigned, "patient_id").select(*found.columns))
+    files = sorted(tmp_path.rglob("folds/fold=*/split=*/part-*"))
+    assert {p.suffix for p in files} == {".gz"}
+    for folder in {p.parent for p in files}:
+        reader = split_images.SplitImagesReader({"path": str(folder), "bytes": "100"})
+        rows = [r for part in reader.partitions() for r in reader.lines(*part.value)]
+        _, fold, split = (x.split("=")[-1] for x in folder.parts[-3:])
+        assert sorted(r["image_path"] for r in rows) == sorted(r.image_path for r in found.where(f"fold = '{fold}' and split = '{split}'").collect())
+    listed = [r["image_path"] for r in split_images.SplitImagesReader.lines(str(files[0]), 0, 10**6)]
+    assert listed == sorted(listed)
